@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +99,7 @@ def open_map(uri: str, dtype) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about max_bytes of text each (a longer text is alone)."""
     col = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
     start = 0
     while start < len(sizes):
         ends = np.cumsum(sizes[start:])
