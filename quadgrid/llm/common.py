@@ -68,7 +68,7 @@ class AtomicWriter:
     def __init__(self, uri: str):
         self.fs, self.path = filesystem(uri)
         self.part = f"{self.path}.{uuid.uuid4().hex[:8]}.tmp"
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

@@ -1,7 +1,7 @@
 """All registered queries of this subpackage, with SQL where SQL can express them."""
 
-from . import line_dedup, packing, token_files, url_filter
+from . import line_dedup, packing, token_files, url_filter, warc
 
-MODULES = (token_files, packing, url_filter, line_dedup)
+MODULES = (token_files, packing, url_filter, warc, line_dedup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
