@@ -168,6 +168,18 @@ class LineIndex:
                 found[group], keep[group] = self.shard(s).probe(h[group, 0], h[group, 1])
         return found, keep
 
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        """For an index of plain 64-bit keys (index_keys)."""
+        keys = keys.view(np.uint64)
+        return self.probe(np.stack([keys, keys], axis=1))[0]
+
+
+def index_keys(keys: DataFrame) -> LineIndex:
+    """The index of one column of distinct 64-bit integers."""
+    (name,) = keys.columns
+    key = F.col(name)
+    return build_index(keys.select(key.alias("h1"), key.alias("h2"), F.lit(1).cast("bigint").alias("n_docs"), key.alias("keep_id")))
+
 
 def build_index(frequent: DataFrame) -> LineIndex:
     """Write the shards' files from rows (h1, h2, n_docs, keep_id)."""
