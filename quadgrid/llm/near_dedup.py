@@ -6,12 +6,15 @@ another, so that 110 hash evaluations give 44 bands of five: two documents at a
 0.75 share no band with a chance of about 7 in a million.
 
 1. Documents with equal shingle sets are one class; its smallest doc_id stands for it.
-2. In each band's bucket every class is paired with the least and the greatest (a bucket of up
-   to three is then done). Pairs whose sketches (a byte of each signature value) are clearly
-   apart go; the others are compared on their full sets.
-3. The links' components are found. Where a bucket of four or more still holds several
-   components, all its pairs across components are compared as well, in blocks of bounded
-   size, so that no link between different components is missed.
+2. In each bucket of the first bands every class is paired with the least one. Pairs whose
+   sketches (a byte of each signature value) are clearly apart go; the others are compared on
+   their full sets. The links' components are found.
+3. In each bucket of any band that holds several components, the classes are paired with the
+   least and the greatest where these are of another component (a bucket of up to three is
+   then done), compared, and joined to components again.
+4. Where a bucket of four or more still holds several components, all its pairs across
+   components are compared as well, in blocks of bounded size, so that no link between
+   different components is missed.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; with
 fewer than five words the whole text is the one shingle; rows that share a doc_id are one node
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX_A, WordHashes, chunks, cut, encode, mix, shingle_hashes, table
 from .components import connected_components
+from .id_filter import rows_by_id
 
 GROUPS, ROWS = 22, 5
 PERMUTATIONS = GROUPS * ROWS
@@ -37,6 +41,8 @@ PERCENT = 75
 #: Sketches further apart than this estimate can't be at 0.75 (six standard deviations below).
 SKETCH_LEAST = 0.57
 BLOCK = 2048
+#: Bands whose buckets are paired first; most near copies share one of them.
+FIRST_BANDS = 8
 
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -147,7 +153,7 @@ def drop_clearly_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 near = similarity_estimate(_sketch_rows(batch.column(2)), _sketch_rows(batch.column(3))) >= SKETCH_LEAST
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    joined = pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb")
+    joined = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "sa", "sb")
     return cut(joined.mapInArrow(run, "a long, b long").distinct(), "near-pairs")
 
 
@@ -186,8 +192,8 @@ def pairs_across(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union, as a table."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the full sets of the documents that some bucket pairs, as a table."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -196,6 +202,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                 found = [shingle_set(t, hashes).tobytes() for t in piece.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
+    texts = rows_by_id(docs.select(F.col("doc_id").cast("bigint"), "text"), ids, inside=True)
+    return cut(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "shingles")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose full shingle sets have 100 * intersection >= percent * union, as a table."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -210,12 +223,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "shingles")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb")
+    joined = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "sa", "sb")
     return cut(joined.mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
@@ -228,30 +238,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     marked = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("rep <> doc_id").select("doc_id", "rep").distinct(), "copies")
     nodes = full.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    bands = nodes.select("doc_id", F.explode("keys").alias("key"))
+    bands = nodes.select("doc_id", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    members = cut(bands.join(buckets, "key"), "buckets")
-    tell("members", members)
+    members = cut(bands.join(buckets.hint("merge"), "key"), "buckets")
     sketches = nodes.select("doc_id", "sketch")
-    star = members.where("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))
-    star = star.unionByName(members.where("doc_id <> hi AND doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("hi").alias("b"))).distinct()
-    near = drop_clearly_apart(star, sketches)
-    tell("near", near)
-    links = confirm(near, docs, percent)
-    # A copy set apart above is a link too; a doc_id may have several rows and so several sets.
-    links = links.unionByName(marked.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    found = connected_components(links)
-    label = found.select(F.col("node").alias("doc_id"), "component")
-    open_ = members.where("n > 3").select("key", "doc_id").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = open_.join(mixed, "key", "left_semi").join(sketches, "doc_id")
-    more = cut(pairs_across(rest).join(near, ["a", "b"], "left_anti"), "more-pairs")
-    tell("more", more)
-    if more.limit(1).count():
-        more_links = confirm(more, docs, percent)
-        tell("more_links", more_links)
-        if more_links.limit(1).count():
-            label = connected_components(links.unionByName(more_links)).select(F.col("node").alias("doc_id"), "component")
+    sets = shingle_sets(docs, members.select("doc_id"))
+    # Copies set apart above are links too; a doc_id may have several rows and so several sets.
+    links = marked.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    tested, label = None, None
+
+    def go_on(name: str, pairs: DataFrame) -> None:
+        nonlocal links, tested, label
+        pairs = pairs.distinct()
+        near = drop_clearly_apart(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sketches)
+        tell(name, near)
+        tested = near if tested is None else tested.unionByName(near)
+        found = confirm(near, sets, percent)
+        if label is None or found.limit(1).count():
+            links = links.unionByName(found)
+            label = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The rows of buckets with several components, with the components of the bucket's ends."""
+        rows = rows.select("key", "doc_id", "lo", "hi").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        ends = rows.groupBy("key").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("component", "doc_id").alias("lo_component"), F.max_by("component", "doc_id").alias("hi_component")
+        )
+        return cut(rows.join(ends.where("x < y").drop("x", "y"), "key"), "open-buckets")
+
+    pair = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
+    go_on("first", members.where(F.col("band") < FIRST_BANDS).where("doc_id <> lo").select(*pair("lo", "doc_id")))
+    mixed = still_open(members)
+    ends = mixed.where("component <> lo_component").select(*pair("lo", "doc_id"))
+    go_on("ends", ends.unionByName(mixed.where("component <> hi_component").select(*pair("doc_id", "hi"))))
+    rest = still_open(members.where("n > 3")).select("key", "doc_id", "component").join(sketches.hint("merge"), "doc_id")
+    go_on("across", pairs_across(rest))
     out = rows.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
