@@ -1,4 +1,221 @@
 """The registered queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import model as m
+from ..functions.keys import color_ramp
+from ..operators import algebra, query, series, stats, tiles, workload
+
+_W = (40, 160, 8, 40)  # the window of the single queries
+LEVELS = 4
+
+
+def _tiles(cells, tile=tiles.TILE):
+    return tiles.build_tiles(cells, tile)
+
+
+def _event_tiles(s, d):
+    return tiles.build_tiles(m.event_cells(s, d), 8, ["t"])
+
+
+def _summary(s, d):
+    strong = query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), True)
+    return strong.agg(F.count_if("result").alias("n_true"), F.count_if(~F.col("result")).alias("n_false"))
+
+
+def _ts_dense(s, d):
+    c = m.event_cells(s, d).where(F.col("t").between(3, 9))
+    return query.values_window(c, 2, 9, 5, 17)
+
+
+def _ts_get_cell(s, d):
+    i = F.col("id")
+    q = s.range(200).select(i.alias("query_id"), m.int_(i * 7 % 33).alias("t"), m.int_(i * 5 % 18).alias("row"), m.int_(i * 11 % 26).alias("col"))
+    return query.get_cell_batch(q, m.event_cells(s, d), ("t", "row", "col"))
+
+
+def _roundtrip(s, d):
+    cells = m.embedding_cells(s, d)
+    return tiles.mismatches(cells, tiles.tile_cells(_tiles(cells))).agg(F.count("*").alias("n_mismatch"))
+
+
+def _zigzag(s, d):
+    return series.zigzag_deltas(series.snapshot_deltas(m.event_cells(s, d), 4))
+
+
+def _fixed(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    points = o.select(F.col("o_orderkey").cast("bigint").alias("query_id"), m.int_(F.col("o_orderkey") % 64).alias("row"), m.int_(F.col("o_custkey") % 64).alias("col"))
+    return workload.fixed_windows(points, m.DEMAND, 9, 5)
+
+
+def _children(s, d):
+    return tiles.children(tiles.pyramid(_tiles(m.demand_cells(s, d), 8), LEVELS))
+
+
+def _pointwise(op):
+    return lambda s, d: algebra.pointwise(m.demand_cells(s, d), m.supply_cells(s, d), op)
+
+
+QUERIES = {
+    "raster_info": lambda s, d: tiles.info(m.embedding_cells(s, d)),
+    "get_cell_batch": lambda s, d: query.get_cell_batch(m.access_queries(s), m.embedding_cells(s, d)),
+    "get_cell_total": lambda s, d: query.get_cell_batch(m.access_queries(s), m.embedding_cells(s, d)).agg(m.long_(F.sum("value")).alias("total")),
+    "values_window": lambda s, d: query.values_window(m.embedding_cells(s, d), *_W),
+    "values_window_dense": lambda s, d: query.values_window_dense(m.embedding_cells(s, d), *_W),
+    "cells_by_value": lambda s, d: query.cells_by_value(m.embedding_cells(s, d), *_W, 50, 200),
+    "cells_by_value_batch": lambda s, d: query.cells_by_value_batch(m.region_queries(s), _tiles(m.demand_cells(s, d))),
+    "cells_by_value_count": lambda s, d: query.count_by_value_batch(m.region_queries(s), _tiles(m.demand_cells(s, d))),
+    "check_strong_batch": lambda s, d: query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), True),
+    "check_weak_batch": lambda s, d: query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), False),
+    "check_summary": _summary,
+    "tile_stats": lambda s, d: _tiles(m.embedding_cells(s, d)).select("tile_row", "tile_col", "min_value", "max_value", "is_uniform", "n_cells"),
+    "pyramid": lambda s, d: tiles.pyramid(_tiles(m.demand_cells(s, d), 8), LEVELS).select("level", "node_row", "node_col", "min_value", "max_value"),
+    "pyramid_children": _children,
+    "algebra_sum": _pointwise("sum"),
+    "algebra_sub": _pointwise("sub"),
+    "algebra_mul": _pointwise("mul"),
+    "algebra_tiles_sum": lambda s, d: tiles.tile_cells(algebra.pointwise_tiles(_tiles(m.embedding_cells(s, d)), _tiles(m.label_zones(s, d)), "sum")),
+    "scalar_sum": lambda s, d: algebra.scalar(m.embedding_cells(s, d), 17, "sum"),
+    "scalar_sub": lambda s, d: algebra.scalar(m.embedding_cells(s, d), 17, "sub"),
+    "scalar_mul": lambda s, d: algebra.scalar(m.embedding_cells(s, d), -3, "mul"),
+    "scalar_tiles_mul": lambda s, d: algebra.scalar_tiles(_tiles(m.embedding_cells(s, d)), -3, "mul").select("tile_row", "tile_col", "min_value", "max_value"),
+    "threshold": lambda s, d: algebra.threshold(m.embedding_cells(s, d), 100),
+    "threshold_tiles": lambda s, d: tiles.tile_cells(algebra.threshold_tiles(_tiles(m.demand_cells(s, d), 4), 30)),
+    "threshold_pct": lambda s, d: algebra.ones_percent(algebra.threshold(m.embedding_cells(s, d), 100)),
+    "zonal_totals": lambda s, d: algebra.zonal_totals(m.embedding_cells(s, d), m.label_zones(s, d)),
+    "zonal_sum": lambda s, d: algebra.zonal_sum(m.embedding_cells(s, d), m.label_zones(s, d)),
+    "weighted_sum": lambda s, d: algebra.weighted_sum(_tiles(m.supply_cells(s, d), 2)),
+    "ts_get_cell": _ts_get_cell,
+    "ts_values_window": _ts_dense,
+    "ts_cells_by_value": lambda s, d: query.cells_by_value_batch(m.series_queries(s), _event_tiles(s, d), 8, ["t"]),
+    "ts_check_strong": lambda s, d: query.check_batch(m.series_queries(s), _event_tiles(s, d), True, 8, ["t"]),
+    "ts_check_weak": lambda s, d: query.check_batch(m.series_queries(s), _event_tiles(s, d), False, 8, ["t"]),
+    "ts_info": lambda s, d: series.info(m.event_cells(s, d)),
+    "ts_delta_snapshot": lambda s, d: series.snapshot_deltas(m.event_cells(s, d), 4),
+    "ts_delta_zigzag": _zigzag,
+    "ts_reconstruct": lambda s, d: series.reconstruct(series.snapshot_deltas(m.event_cells(s, d), 4)),
+    "ts_adaptive_snapshots": lambda s, d: series.adaptive_snapshots(m.event_cells(s, d), 0.4),
+    "value_frequency": lambda s, d: stats.value_frequency(m.event_cells(s, d)),
+    "value_entropy": lambda s, d: stats.entropy(stats.value_frequency(m.event_cells(s, d))).select(F.round("entropy", 6).alias("entropy")),
+    "block_frequency": lambda s, d: stats.block_frequency(m.event_cells(s, d), 2, ["t"]),
+    "dictionary_blocks": lambda s, d: stats.dictionary_blocks(m.event_cells(s, d), 2, ["t"]),
+    "block_mean": lambda s, d: stats.block_mean(m.demand_cells(s, d), 8),
+    "color_ramp": lambda s, d: m.demand_cells(s, d).select("row", "col", *[c.alias(k) for k, c in color_ramp(F.col("value")).items()]),
+    "verify_roundtrip": _roundtrip,
+    "fixed_windows": _fixed,
+}
+
+# The derived rasters in DuckDB; each query's WITH takes the ones it needs.
+_CTE = {
+    "emb": """emb AS (SELECT cast(vec_id AS INTEGER) AS "row", cast(i - 1 AS INTEGER) AS col, cast(floor(cast(embedding[i] AS DOUBLE) * 1000) AS INTEGER) AS value
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))""",
+    "zones": """zones AS (SELECT cast(vec_id AS INTEGER) AS "row", cast(i - 1 AS INTEGER) AS col, label AS value
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))""",
+    "demand": """demand AS (SELECT cast(a.i AS INTEGER) AS "row", cast(b.i AS INTEGER) AS col, cast(coalesce(v, 0) AS BIGINT) AS value
+        FROM range(64) a(i) CROSS JOIN range(64) b(i) LEFT JOIN (SELECT l_partkey % 64 AS x, (l_orderkey // 7) % 64 AS y, cast(sum(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2) ON x = a.i AND y = b.i)""",
+    "supply": """supply AS (SELECT cast(a.i AS INTEGER) AS "row", cast(b.i AS INTEGER) AS col, cast(coalesce(v, 0) AS BIGINT) AS value
+        FROM range(64) a(i) CROSS JOIN range(48) b(i) LEFT JOIN (SELECT l_partkey % 64 AS x, l_suppkey % 48 AS y, count(*) AS v FROM lineitem GROUP BY 1, 2) ON x = a.i AND y = b.i)""",
+    "ev": """ev AS (SELECT cast(t.i AS INTEGER) AS t, cast(a.i AS INTEGER) AS "row", cast(b.i AS INTEGER) AS col, cast(coalesce(v, 0) AS BIGINT) AS value
+        FROM range(30) t(i) CROSS JOIN range(16) a(i) CROSS JOIN range(24) b(i) LEFT JOIN (SELECT day(ts) - 1 AS z, user_id % 16 AS x, hour(ts) AS y, count(*) AS v FROM events GROUP BY 1, 2, 3) ON z = t.i AND x = a.i AND y = b.i)""",
+    "q": """q AS (SELECT i AS query_id, i * 7 % 64 AS xini, least(63, i * 7 % 64 + i % 9) AS xend, i * 13 % 64 AS yini, least(63, i * 13 % 64 + i % 5) AS yend,
+        CASE WHEN i % 8 = 0 THEN 0 ELSE i * 17 % 400 END AS valini, CASE WHEN i % 8 = 0 THEN 100000 ELSE i * 17 % 400 + 20 + i * 5 % 200 END AS valend FROM range(64) r(i))""",
+    "tq": """tq AS (SELECT i AS query_id, i * 7 % 16 AS xini, least(15, i * 7 % 16 + i % 4) AS xend, i * 13 % 24 AS yini, least(23, i * 13 % 24 + i % 5) AS yend,
+        i % 30 AS tini, least(29, i % 30 + i % 6) AS tend, CASE WHEN i % 4 = 0 THEN 0 ELSE i % 3 END AS valini, CASE WHEN i % 4 = 0 THEN 1000 ELSE i % 3 + 1 END AS valend FROM range(32) r(i))""",
+    "points": """points AS (SELECT i AS query_id, cast(i * 37 % 508 AS INTEGER) AS "row", cast(i * 11 % 68 AS INTEGER) AS col FROM range(200) r(i))""",
+    "delta": """delta AS (SELECT e.t, cast(e.t - e.t % 4 AS INTEGER) AS snap_t, e."row", e.col, cast(CASE WHEN e.t % 4 = 0 THEN e.value ELSE e.value - s.value END AS BIGINT) AS delta
+        FROM ev e JOIN ev s ON s.t = e.t - e.t % 4 AND s."row" = e."row" AND s.col = e.col)""",
+    "nodes": """nodes AS (SELECT cast(l.i AS INTEGER) AS level, cast(("row" // 8) // cast(2 ** l.i AS INTEGER) AS INTEGER) AS node_row, cast((col // 8) // cast(2 ** l.i AS INTEGER) AS INTEGER) AS node_col,
+        min(value) AS min_value, max(value) AS max_value FROM demand CROSS JOIN range(4) l(i) GROUP BY 1, 2, 3)""",
+    "blocks": """blocks AS (SELECT string_agg(cast(value AS VARCHAR), ',' ORDER BY "row", col) AS block, count(*) AS size FROM ev GROUP BY t, "row" // 2, col // 2)""",
+}
+
+
+def _sql(needs: str, body: str) -> str:
+    return "WITH " + ",\n".join(_CTE[n] for n in needs.split()) + "\n" + body
+
+
+_IN_W = '"row" BETWEEN 40 AND 160 AND col BETWEEN 8 AND 40'
+_MATCH = '"row" BETWEEN xini AND xend AND col BETWEEN yini AND yend'
+_CELL = 'SELECT query_id, p."row", p.col, coalesce(value, 0) AS value FROM points p LEFT JOIN emb USING ("row", col)'
+
+
+def _check(on: str, cells: str, agg: str, empty: str, extra: str = "") -> str:
+    return f"SELECT query_id, coalesce({agg}(value BETWEEN valini AND valend), {empty}) AS result FROM {on} LEFT JOIN {cells} ON {_MATCH}{extra} GROUP BY query_id"
+
+
+def _algebra(op: str) -> str:
+    return _sql("demand supply", f'SELECT a."row", a.col, a.value {op} b.value AS value FROM demand a JOIN supply b ON a."row" = b."row" AND a.col = b.col')
+
+
+_TIME = " AND t BETWEEN tini AND tend"
+ORACLES = {
+    "raster_info": _sql("emb", 'SELECT cast(max("row") + 1 AS INTEGER) AS n_rows, cast(max(col) + 1 AS INTEGER) AS n_cols, count(*) AS n_cells, min(value) AS min_value, max(value) AS max_value FROM emb'),
+    "get_cell_batch": _sql("points emb", _CELL),
+    "get_cell_total": _sql("points emb", f"SELECT cast(sum(value) AS BIGINT) AS total FROM ({_CELL})"),
+    "values_window": _sql("emb", f'SELECT "row", col, value FROM emb WHERE {_IN_W}'),
+    "values_window_dense": _sql("emb", f'SELECT cast(("row" - 40) * 33 + col - 8 AS INTEGER) AS pos, value FROM emb WHERE {_IN_W}'),
+    "cells_by_value": _sql("emb", f'SELECT "row", col FROM emb WHERE {_IN_W} AND value BETWEEN 50 AND 200'),
+    "cells_by_value_batch": _sql("demand q", f'SELECT query_id, "row", col FROM q JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend'),
+    "cells_by_value_count": _sql("demand q", f"SELECT query_id, count(value) AS n_cells FROM q LEFT JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend GROUP BY query_id"),
+    "check_strong_batch": _sql("demand q", _check("q", "demand", "bool_and", "true")),
+    "check_weak_batch": _sql("demand q", _check("q", "demand", "bool_or", "false")),
+    "check_summary": _sql("demand q", f"SELECT count(*) FILTER (WHERE result) AS n_true, count(*) FILTER (WHERE NOT result) AS n_false FROM ({_check('q', 'demand', 'bool_and', 'true')})"),
+    "tile_stats": _sql("emb", 'SELECT cast("row" // 16 AS INTEGER) AS tile_row, cast(col // 16 AS INTEGER) AS tile_col, min(value) AS min_value, max(value) AS max_value, min(value) = max(value) AS is_uniform, count(*) AS n_cells FROM emb GROUP BY 1, 2'),
+    "pyramid": _sql("demand nodes", "SELECT * FROM nodes"),
+    "pyramid_children": _sql(
+        "demand nodes",
+        "SELECT p.level, p.node_row, p.node_col, c.node_row AS child_row, c.node_col AS child_col, c.min_value AS child_min, c.max_value AS child_max FROM nodes p JOIN nodes c ON c.level + 1 = p.level AND c.node_row // 2 = p.node_row AND c.node_col // 2 = p.node_col",
+    ),
+    "algebra_sum": _algebra("+"),
+    "algebra_sub": _algebra("-"),
+    "algebra_mul": _algebra("*"),
+    "algebra_tiles_sum": _sql("emb zones", 'SELECT a."row", a.col, cast(a.value AS BIGINT) + b.value AS value FROM emb a JOIN zones b ON a."row" = b."row" AND a.col = b.col'),
+    "scalar_sum": _sql("emb", 'SELECT "row", col, cast(value AS BIGINT) + 17 AS value FROM emb'),
+    "scalar_sub": _sql("emb", 'SELECT "row", col, cast(value AS BIGINT) - 17 AS value FROM emb'),
+    "scalar_mul": _sql("emb", 'SELECT "row", col, cast(value AS BIGINT) * -3 AS value FROM emb'),
+    "scalar_tiles_mul": _sql("emb", 'SELECT cast("row" // 16 AS INTEGER) AS tile_row, cast(col // 16 AS INTEGER) AS tile_col, min(cast(value AS BIGINT) * -3) AS min_value, max(cast(value AS BIGINT) * -3) AS max_value FROM emb GROUP BY 1, 2'),
+    "threshold": _sql("emb", 'SELECT "row", col, CASE WHEN value >= 100 THEN 1 ELSE 0 END AS value FROM emb'),
+    "threshold_tiles": _sql("demand", 'SELECT "row", col, CASE WHEN value >= 30 THEN 1 ELSE 0 END AS value FROM demand'),
+    "threshold_pct": _sql("emb", "SELECT cast(floor(count(*) FILTER (WHERE value >= 100) * 100 / count(*)) AS BIGINT) AS pct FROM emb"),
+    "zonal_totals": _sql("emb zones", 'SELECT z.value AS zone, cast(sum(a.value) AS BIGINT) AS total FROM emb a JOIN zones z ON a."row" = z."row" AND a.col = z.col GROUP BY 1'),
+    "zonal_sum": _sql("emb zones", 'SELECT a."row", a.col, cast(sum(a.value) OVER (PARTITION BY z.value) AS BIGINT) AS value FROM emb a JOIN zones z ON a."row" = z."row" AND a.col = z.col'),
+    "weighted_sum": _sql("supply", "SELECT cast(sum(value) AS BIGINT) AS total FROM supply"),
+    "ts_get_cell": _sql(
+        "ev",
+        'SELECT i AS query_id, cast(i * 7 % 33 AS INTEGER) AS t, cast(i * 5 % 18 AS INTEGER) AS "row", cast(i * 11 % 26 AS INTEGER) AS col, coalesce(value, 0) AS value FROM range(200) r(i) LEFT JOIN ev ON t = i * 7 % 33 AND "row" = i * 5 % 18 AND col = i * 11 % 26',
+    ),
+    "ts_values_window": _sql("ev", 'SELECT t, "row", col, value FROM ev WHERE t BETWEEN 3 AND 9 AND "row" BETWEEN 2 AND 9 AND col BETWEEN 5 AND 17'),
+    "ts_cells_by_value": _sql("ev tq", f'SELECT query_id, t, "row", col FROM tq JOIN ev ON {_MATCH}{_TIME} AND value BETWEEN valini AND valend'),
+    "ts_check_strong": _sql("ev tq", _check("tq", "ev", "bool_and", "true", _TIME)),
+    "ts_check_weak": _sql("ev tq", _check("tq", "ev", "bool_or", "false", _TIME)),
+    "ts_info": _sql("ev", 'SELECT cast(count(DISTINCT t) AS INTEGER) AS n_times, cast(max("row") + 1 AS INTEGER) AS n_rows, cast(max(col) + 1 AS INTEGER) AS n_cols, min(value) AS min_value, max(value) AS max_value FROM ev'),
+    "ts_delta_snapshot": _sql("ev delta", "SELECT * FROM delta"),
+    "ts_delta_zigzag": _sql("ev delta", 'SELECT t, snap_t, "row", col, cast(CASE WHEN delta <= 0 THEN -2 * delta ELSE 2 * delta - 1 END AS BIGINT) AS code FROM delta WHERE t <> snap_t'),
+    "ts_reconstruct": _sql("ev", "SELECT * FROM ev"),
+    "ts_adaptive_snapshots": _sql(
+        "ev",
+        'SELECT t, s AS is_snapshot, max(CASE WHEN s THEN t END) OVER (ORDER BY t) AS snap_t FROM (SELECT t, t = 0 OR count(*) FILTER (WHERE value <> before) > 0.4 * count(*) AS s FROM (SELECT *, lag(value) OVER (PARTITION BY "row", col ORDER BY t) AS before FROM ev) GROUP BY t)',
+    ),
+    "value_frequency": _sql("ev", "SELECT value, count(*) AS n FROM ev GROUP BY value"),
+    "value_entropy": _sql("ev", "SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT cast(count(*) AS DOUBLE) AS n FROM ev GROUP BY value)"),
+    "block_frequency": _sql("ev blocks", "SELECT block, count(*) AS n FROM blocks GROUP BY block"),
+    "dictionary_blocks": _sql(
+        "ev blocks",
+        """, f AS (SELECT block, count(*) AS n, max(size) AS size FROM blocks GROUP BY block),
+        hw AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT cast(n AS DOUBLE) AS n FROM f)),
+        hv AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT cast(count(*) AS DOUBLE) AS n FROM ev GROUP BY value))
+        SELECT row_number() OVER (ORDER BY n DESC, block) AS codeword, block, n FROM f, hw, hv WHERE floor(32 * size + n * hw.h) <= floor(n * size * hv.h)""",
+    ),
+    "block_mean": _sql("demand", 'SELECT cast("row" // 8 AS INTEGER) AS block_row, cast(col // 8 AS INTEGER) AS block_col, cast(floor(avg(value) + 0.5) AS BIGINT) AS value FROM demand GROUP BY 1, 2'),
+    "color_ramp": _sql(
+        "demand",
+        'SELECT "row", col, cast(floor(255 * (least(greatest(value, 0), 100) / 100.0::DOUBLE) + 0.5) AS INTEGER) AS r, 0 AS g, cast(floor(255 * (1 - least(greatest(value, 0), 100) / 100.0::DOUBLE) + 0.5) AS INTEGER) AS b FROM demand',
+    ),
+    "verify_roundtrip": "SELECT cast(0 AS BIGINT) AS n_mismatch",
+    "fixed_windows": """SELECT cast(o_orderkey AS BIGINT) AS query_id, x AS xini, x + 8 AS xend, y AS yini, y + 4 AS yend FROM (
+        SELECT o_orderkey, cast(least(o_orderkey % 64, 55) AS INTEGER) AS x, cast(least(o_custkey % 64, 59) AS INTEGER) AS y FROM orders)""",
+}
+ORACLES["dictionary_blocks"] = ORACLES["dictionary_blocks"].replace("\n, f AS", ", f AS")
