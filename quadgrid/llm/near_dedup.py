@@ -12,9 +12,11 @@ another, so that 110 hash evaluations give 44 bands of five: two documents at a
 3. In each bucket of any band that holds several components, the classes are paired with the
    least and the greatest where these are of another component (a bucket of up to three is
    then done), compared, and joined to components again.
-4. Where a bucket of four or more still holds several components, all its pairs across
-   components are compared as well, in blocks of bounded size, so that no link between
-   different components is missed.
+4. Where a bucket of four or more still holds several components, the documents outside the
+   largest are held against all others, in blocks of bounded size: first by sketch, to find
+   the components they may link to, then on full sets with these components' documents, until
+   a link is found. So no link between different components is missed, and no table of all
+   pairs is made.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; with
 fewer than five words the whole text is the one shingle; rows that share a doc_id are one node
@@ -157,39 +159,98 @@ def drop_clearly_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return cut(joined.mapInArrow(run, "a long, b long").distinct(), "near-pairs")
 
 
-def pairs_across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components, of the buckets given as (key, doc_id, component, sketch),
-    whose sketches allow the threshold.
+def _in_blocks(base: DataFrame, probe: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, p, q, probe, ...) of both tables, which have the same columns, dealt out so that
+    each block p of a key's probes meets each block q of its base rows in one group."""
+    count = lambda df, n: df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("bigint").alias(n))
+    size = count(base, "_q").join(count(probe, "_p"), key)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    rest = [c for c in base.columns if c != key]
+    rows = base.join(size, key).select(key, every("_p").alias("p"), own("_q").alias("q"), F.lit(0).cast("bigint").alias("probe"), *rest)
+    rows = rows.unionByName(probe.join(size, key).select(key, own("_p").alias("p"), every("_q").alias("q"), F.lit(1).cast("bigint").alias("probe"), *rest))
+    return rows.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
 
-    The members outside a bucket's largest component probe all its members. Both are dealt out
-    in blocks; a task sees one block of each at a time.
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """The groups of _in_blocks: the rows, and the places of probes and of base rows among them."""
+    for t in groups(batches, 3):
+        k = np.stack([t.column(i).to_numpy() for i in range(3)])
+        starts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [k.shape[1]]])
+        is_probe = t.column(3).to_numpy() == 1
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield t.slice(lo, hi - lo), np.flatnonzero(is_probe[lo:hi]), np.flatnonzero(~is_probe[lo:hi])
+
+
+def components_near(members: DataFrame) -> DataFrame:
+    """(x, component): the documents and the other components of which a bucket holds a member
+    whose sketch allows the threshold. members: (key, doc_id, component, sketch).
+
+    The members outside a bucket's largest component probe all its members.
     """
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    stats = per.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
+    stats = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
     rows = members.join(stats.where("parts > 1"), "key")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    base = rows.select("key", other.alias("p"), F.col("own").alias("q"), F.lit(0).cast("bigint").alias("probe"), "doc_id", "component", "sketch")
-    probe = rows.where("component <> major").select("key", F.col("own").alias("p"), other.alias("q"), F.lit(1).cast("bigint").alias("probe"), "doc_id", "component", "sketch")
-    dealt = base.unionByName(probe)
-    dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    columns = ("key", "doc_id", "component", "sketch")
+    dealt = _in_blocks(rows.select(*columns), rows.where("component <> major").select(*columns), "key", BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
-            k = np.stack([t.column(i).to_numpy() for i in range(3)])
-            starts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [k.shape[1]]])
-            is_probe, ids, comp, sk = t.column(3).to_numpy() == 1, t.column(4).to_numpy(), t.column(5).to_numpy(), _sketch_rows(t.column(6))
+        for t, probes, rest in _blocks(batches):
+            ids, comp, sk = t.column(4).to_numpy(), t.column(5).to_numpy(), _sketch_rows(t.column(6))
+            found = []
+            for x in probes:
+                near = rest[comp[rest] != comp[x]]
+                near = near[similarity_estimate(sk[near], sk[x]) >= SKETCH_LEAST]
+                found += [(ids[x], c) for c in np.unique(comp[near])]
+            if found:
+                x, c = zip(*found)
+                yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.int64()), "component": pa.array(c, pa.int64())})
+
+    return cut(dealt.mapInArrow(run, "x long, component long").distinct(), "near-components")
+
+
+def links_into(near: DataFrame, label: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One link (a, b) for each (x, component) of `near` in which x has a link, as a table.
+
+    x is compared with all of the component's documents, sketches first; the pairs are never
+    rows of a table, only the links are.
+    """
+    data = sets.join(sketches.hint("merge"), "doc_id")
+    wanted = near.select("component").distinct()
+    listed = label.join(wanted, "component", "left_semi").select("component", "doc_id")
+    single = wanted.join(label.select(F.col("doc_id").alias("component")), "component", "left_anti").select("component", F.col("component").alias("doc_id"))
+    columns = ("component", "doc_id", "sketch", "shingles")
+    base = listed.unionByName(single).join(data, "doc_id").select(*columns)
+    probe = near.withColumnRenamed("x", "doc_id").join(data, "doc_id").select(*columns)
+    dealt = _in_blocks(cut(base, "components"), cut(probe, "probes"), "component", BLOCK // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, probes, rest in _blocks(batches):
+            ids, sk = t.column(4).to_numpy(), _sketch_rows(t.column(5))
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(6)]
             a, b = [], []
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                rest = lo + np.flatnonzero(~is_probe[lo:hi])
-                for x in lo + np.flatnonzero(is_probe[lo:hi]):
-                    near = rest[(comp[rest] != comp[x]) & (similarity_estimate(sk[rest], sk[x]) >= SKETCH_LEAST)]
-                    a.append(np.minimum(ids[near], ids[x]))
-                    b.append(np.maximum(ids[near], ids[x]))
+            for x in probes:
+                estimate = similarity_estimate(sk[rest], sk[x])
+                by = np.argsort(-estimate, kind="stable")
+                for y in rest[by[: np.count_nonzero(estimate >= SKETCH_LEAST)]]:
+                    if similar(sets_[x], sets_[y], percent):
+                        a.append(min(ids[x], ids[y]))
+                        b.append(max(ids[x], ids[y]))
+                        break
             if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(dealt.mapInArrow(run, "a long, b long").where("a < b").distinct(), "links")
+
 
-    return dealt.mapInArrow(run, "a long, b long").where("a < b").distinct()
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -216,11 +277,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             for a, raw_a, raw_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:
                     last, x = a, np.frombuffer(raw_a.as_buffer(), np.uint64)
-                y = np.frombuffer(raw_b.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(similar(x, np.frombuffer(raw_b.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -272,7 +329,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     ends = mixed.where("component <> lo_component").select(*pair("lo", "doc_id"))
     go_on("ends", ends.unionByName(mixed.where("component <> hi_component").select(*pair("doc_id", "hi"))))
     rest = still_open(members.where("n > 3")).select("key", "doc_id", "component").join(sketches.hint("merge"), "doc_id")
-    go_on("across", pairs_across(rest))
+    near = components_near(rest)
+    tell("across", near)
+    if near.limit(1).count():
+        found = links_into(near, label, sketches, sets, percent)
+        tell("across links", found)
+        if found.limit(1).count():
+            label = connected_components(links.unionByName(found)).select(F.col("node").alias("doc_id"), "component")
     out = rows.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
