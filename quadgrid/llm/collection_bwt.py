@@ -1,7 +1,8 @@
 """The Burrows-Wheeler transform and common prefixes of a collection, built column by column.
 
 Round r adds, for every string that is that long, the suffix of length r: the symbols of all
-strings at one distance from their ends are inserted together. A suffix cS comes where S's
+strings at one distance from their ends are inserted together. A symbol may be several bytes
+wide; a string then stands for one sequence of symbols from each of its first bytes. A suffix cS comes where S's
 symbol c ranks among the c's of the transform so far; its common prefix with its neighbour is
 one more than the least common prefix between the places of the two c's. Between rounds the
 transform and the prefix lengths are two files, read from start to end and written anew.
@@ -9,7 +10,6 @@ transform and the prefix lengths are two files, read from start to end and writt
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
@@ -28,34 +28,48 @@ def _range_min(lcp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+class Column:
+    """An external file of numbers, read and written from its start to its end."""
+
+    def __init__(self, file, dtype):
+        self.file, self.dtype, self.n = file, np.dtype(dtype), 0
+
+    def write(self, values: np.ndarray) -> None:
+        self.file.seek(0)
+        left = memoryview(np.ascontiguousarray(values)).cast("B")
+        while left:
+            left = left[self.file.write(left) :]
+        self.n = len(values)
+
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        out = np.empty(self.n, self.dtype)
+        left = memoryview(out).cast("B")
+        while left:
+            left = left[self.file.readinto(left) :]
+        return out
+
+
 class CollectionBWT:
     """bwt and lcp of the strings' suffixes in order; an end sorts before all symbols, the
     ends in the order of the strings. lcp[i] is that of suffixes i - 1 and i."""
 
-    def __init__(self, strings: list[np.ndarray]):
-        self.m, self.lengths = len(strings), np.array([len(s) for s in strings], np.int64)
-        present = np.zeros(256, bool)
-        for s in strings:
-            present[s] = True
-        code = (np.cumsum(present)).astype(np.uint8 if present.sum() < 256 else np.uint16)
-        # columns[r, i]: the symbol of string i before its suffix of length r; 0 where there is none
-        columns = np.zeros((int(self.lengths.max(initial=0)) + 1, self.m), code.dtype)
-        for i, s in enumerate(strings):
-            columns[: len(s), i] = code[s[::-1]]
-        with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-            self._build(columns, folder)
-
-    def _build(self, columns: np.ndarray, folder: str) -> None:
-        bwt_file, lcp_file = (os.path.join(folder, x) for x in ("bwt", "lcp"))
+    def __init__(self, columns: np.ndarray):
+        """columns[r, i]: the symbol (from 1 on) of string i before its suffix of length r; 0 where there is none."""
+        self.m = columns.shape[1]
+        with tempfile.TemporaryFile(buffering=0) as bwt, tempfile.TemporaryFile(buffering=0) as lcp:
+            self._build(columns, Column(bwt, columns.dtype), Column(lcp, np.uint16))
+
+    def _build(self, columns: np.ndarray, bwt_file: Column, lcp_file: Column) -> None:
         m = self.m
-        columns[0].tofile(bwt_file)
-        np.zeros(m, np.uint16).tofile(lcp_file)
+        bwt_file.write(columns[0])
+        lcp_file.write(np.zeros(m, np.uint16))
         at = np.flatnonzero(columns[0])  # the suffixes whose symbol is to be inserted next
         who = at.copy()  # their strings
         for r in range(1, len(columns)):
             if not len(at):
                 break
-            bwt, lcp = np.fromfile(bwt_file, columns.dtype), np.fromfile(lcp_file, np.uint16)
+            bwt, lcp = bwt_file.read(), lcp_file.read()
             n = len(bwt)
             order = np.argsort(bwt, kind="stable")
             order = order[n - np.count_nonzero(bwt) :]
@@ -80,11 +94,11 @@ class CollectionBWT:
             new_bwt[place] = new_symbol
             new_lcp[(place + 1)[has_after]] = then[has_after]
             new_lcp[place] = own
-            new_bwt.tofile(bwt_file)
-            new_lcp.tofile(lcp_file)
+            bwt_file.write(new_bwt)
+            lcp_file.write(new_lcp)
             more = new_symbol != 0
             at, who = place[more], who[more]
-        self.bwt, self.lcp = np.fromfile(bwt_file, columns.dtype), np.fromfile(lcp_file, np.uint16)
+        self.bwt, self.lcp = bwt_file.read(), lcp_file.read()
 
     def places(self):
         """Yields (length, strings, places of their suffixes of that length), from length 0 on."""
@@ -101,16 +115,41 @@ class CollectionBWT:
             who, at, length = who[at >= 0], at[at >= 0], length + 1
 
 
-def repeated_windows(strings: list[np.ndarray], weights: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each string, the starts of its windows of `width` symbols that occur at least twice
-    in the collection, where a string counts `weights` times."""
-    built = CollectionBWT(strings)
-    group = np.cumsum(built.lcp < width)
+def columns_of(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of byte strings over symbols of `stride` (1 to 8) bytes, which are numbered.
+
+    A string gives `stride` sequences, one for each byte to start from, so that every byte of
+    it starts a suffix. Returns the columns and each sequence's string and end in bytes.
+    """
+    symbol = np.zeros(max(0, len(buf) - stride + 1), np.uint64)
+    for i in range(stride):
+        symbol = (symbol << np.uint64(8)) | buf[i : i + len(symbol)]
+    string = np.repeat(np.arange(len(starts)), stride)
+    first = np.tile(np.arange(stride), len(starts))
+    n = np.maximum(0, lengths[string] - first) // stride
+    end = first + stride * n
+    back = np.arange(int(n.max(initial=0)) + 1)[:, None]
+    at = starts[string] + end - stride * (back + 1)
+    used = back < n
+    values, code = np.unique(symbol[at[used]], return_inverse=True)
+    columns = np.zeros(at.shape, np.uint8 if len(values) < 1 << 8 else np.uint16 if len(values) < 1 << 16 else np.uint32)
+    columns[used] = code + 1
+    return columns, string, end
+
+
+def repeated_windows(strings: list[bytes], weights: np.ndarray, width: int, stride: int = 8) -> list[np.ndarray]:
+    """For each string, the starts of its windows of `width` bytes (a multiple of the stride)
+    that occur at least twice in the collection, where a string counts `weights` times."""
+    lengths = np.array([len(s) for s in strings], np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    columns, owner, end = columns_of(np.frombuffer(b"".join(strings), np.uint8), starts, lengths, stride)
+    built = CollectionBWT(columns)
+    group = np.cumsum(built.lcp < width // stride)
     string, start, place = [], [], []
     for length, who, at in built.places():
-        if length >= width:
-            string.append(who)
-            start.append(built.lengths[who] - length)
+        if length >= width // stride:
+            string.append(owner[who])
+            start.append(end[who] - stride * length)
             place.append(at)
     if not string:
         return [np.empty(0, np.int64) for _ in strings]

@@ -31,7 +31,7 @@ from .common import chunks, cut, encode, mix, table
 from .line_dedup import LineIndex, index_keys
 from .near_dedup import groups
 
-WIDTH, K, GROUP, COLLECTION = 400, 32, 200, 256
+WIDTH, K, GROUP, COLLECTION = 400, 32, 96, 56_000
 NO_ID = -(1 << 63)
 _BYTES = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,9 +88,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _documents(batches: Iterator[pa.RecordBatch], skip: LineIndex, width: int):
-    """Joined long documents of (doc_id, text, rk) rows that aren't to be skipped, about 2 MB at a time."""
+    """Joined long documents of (doc_id, text, rk) rows that aren't to be skipped, about 256 KB at a time."""
     for batch in batches:
-        for piece in chunks(batch, max_bytes=2 << 20):
+        for piece in chunks(batch, max_bytes=256 << 10):
             rk = piece.column(2).to_numpy()
             skipped = skip.contains(rk)
             texts = [encode(t) for t in piece.column(1).to_pylist()]
@@ -147,7 +147,7 @@ def repeats_in_groups(distinct: DataFrame, width: int) -> DataFrame:
             edges = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
             for lo, hi in zip(edges[:-1], edges[1:]):
                 held.append(whole.slice(int(lo), int(hi - lo)))
-                n += int(hi - lo)
+                n += int(whole.column(5).slice(int(lo), int(hi - lo)).to_numpy().sum())
                 if n >= COLLECTION:
                     yield from found(held)
                     held, n = [], 0
@@ -156,7 +156,7 @@ def repeats_in_groups(distinct: DataFrame, width: int) -> DataFrame:
 
     def found(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(held)
-        strings = [np.frombuffer(x, np.uint8) for x in t.column(4).to_pylist()]
+        strings = t.column(4).to_pylist()
         keys, rows = [t.column(i).to_numpy() for i in range(3)], []
         for i, starts in enumerate(repeated_windows(strings, t.column(3).to_numpy(), width)):
             if len(starts):
@@ -165,7 +165,7 @@ def repeats_in_groups(distinct: DataFrame, width: int) -> DataFrame:
             at, lo, hi = map(np.array, zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(k[at] for k in keys), lo, hi)], names=["h", "s1", "s2", "lo", "hi"])
 
-    dealt = distinct.select("h", "s1", "s2", "copies", "segment").repartition("h").sortWithinPartitions("h")
+    dealt = distinct.select("h", "s1", "s2", "copies", "segment", F.octet_length("segment").cast("bigint").alias("size")).repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, "h long, s1 long, s2 long, lo long, hi long")
 
 
@@ -201,8 +201,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> D
     anchors = anchor_index(rows, skip, width)
     found = candidate_segments(rows, skip, anchors, width)
     distinct = cut(found.groupBy("h", "s1", "s2").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("segment").alias("segment")), "distinct-segments")
-    per_anchor = cut(distinct.groupBy("h").agg(F.count("*").alias("kinds")), "anchors")
-    sized = distinct.join(per_anchor.where("kinds > 1").hint("merge"), "h")
+    per_anchor = cut(distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")), "anchors")
+    # Where every segment of an anchor is found twice, all are decided.
+    sized = distinct.join(per_anchor.where("kinds > 1 AND least = 1").hint("merge"), "h")
     few, many = sized.where(F.col("kinds") <= group), sized.where(F.col("kinds") > group)
     zero = F.lit(0).cast("bigint")
     # A segment found twice repeats as a whole; only others need the transform's verdict.
