@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import zigzag
@@ -53,3 +53,9 @@ def adaptive_snapshots(cells: DataFrame, share: float = 0.5) -> DataFrame:
     marked = changed_cells(cells).select("t", ((F.col("n_changed") > share * F.col("n_cells")) | (F.col("t") == 0)).alias("is_snapshot"))
     last = F.max(F.when(F.col("is_snapshot"), F.col("t"))).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))  # a row for each step
     return marked.withColumn("snap_t", last)
+
+
+def space_per_step(spark: SparkSession, path: str) -> DataFrame:
+    """(t, n_files, n_bytes) of stored tiles that are partitioned by t, from the files' metadata."""
+    files = spark.read.parquet(path).select("t", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct()
+    return files.groupBy("t").agg(F.count("*").alias("n_files"), F.sum("b").alias("n_bytes"))

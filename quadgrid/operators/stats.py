@@ -40,10 +40,8 @@ def dictionary_blocks(cells: DataFrame, side: int, keys: Sequence[str] = ()) ->
     entropies Hw of blocks and Hv of values.
     """
     found = blocks(cells, side, keys).groupBy("block").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    hw = entropy(found).select(F.col("entropy").alias("hw"))
-    hv = entropy(value_frequency(cells)).select(F.col("entropy").alias("hv"))
-    both = found.crossJoin(F.broadcast(hw)).crossJoin(F.broadcast(hv))  # a row each
-    kept = both.where(F.floor(32 * F.col("size") + F.col("n") * F.col("hw")) <= F.floor(F.col("n") * F.col("size") * F.col("hv")))
+    hw, hv = entropy(found).scalar(), entropy(value_frequency(cells)).scalar()
+    kept = found.where(F.floor(32 * F.col("size") + F.col("n") * hw) <= F.floor(F.col("n") * F.col("size") * hv))
     code = F.row_number().over(Window.orderBy(F.desc("n"), "block"))  # the dictionary is numbered in one order
     return kept.select(long_(code).alias("codeword"), "block", "n")
 

@@ -74,6 +74,12 @@ def store(tiles: DataFrame, path: str, partition: Sequence[str] = (), mode: str
     sorted_.write.mode(mode).partitionBy(*partition).parquet(path)
 
 
+def last_level(tiles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """How far each cell lies below its tile's greatest value: what the leaves of the pyramid add."""
+    deep = tile_cells(tiles, [*keys, "tile_row", "tile_col", "max_value"])
+    return deep.select(*keys, "tile_row", "tile_col", "row", "col", (F.col("max_value") - F.col("value")).cast("bigint").alias("delta"))
+
+
 def info(cells: DataFrame) -> DataFrame:
     return cells.agg(
         int_(F.max("row") + 1).alias("n_rows"),

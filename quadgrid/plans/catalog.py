@@ -72,6 +72,7 @@ QUERIES = {
     "check_weak_batch": lambda s, d: query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), False),
     "check_summary": _summary,
     "tile_stats": lambda s, d: _tiles(m.embedding_cells(s, d)).select("tile_row", "tile_col", "min_value", "max_value", "is_uniform", "n_cells"),
+    "last_level": lambda s, d: tiles.last_level(_tiles(m.demand_cells(s, d), 8)),
     "pyramid": lambda s, d: tiles.pyramid(_tiles(m.demand_cells(s, d), 8), LEVELS).select("level", "node_row", "node_col", "min_value", "max_value"),
     "pyramid_children": _children,
     "algebra_sum": _pointwise("sum"),
@@ -102,6 +103,7 @@ QUERIES = {
     "value_entropy": lambda s, d: stats.entropy(stats.value_frequency(m.event_cells(s, d))).select(F.round("entropy", 6).alias("entropy")),
     "block_frequency": lambda s, d: stats.block_frequency(m.event_cells(s, d), 2, ["t"]),
     "dictionary_blocks": lambda s, d: stats.dictionary_blocks(m.event_cells(s, d), 2, ["t"]),
+    "dictionary_blocks_zones": lambda s, d: stats.dictionary_blocks(m.label_zones(s, d), 2),
     "block_mean": lambda s, d: stats.block_mean(m.demand_cells(s, d), 8),
     "color_ramp": lambda s, d: m.demand_cells(s, d).select("row", "col", *[c.alias(k) for k, c in color_ramp(F.col("value")).items()]),
     "verify_roundtrip": _roundtrip,
@@ -164,6 +166,7 @@ ORACLES = {
     "check_weak_batch": _sql("demand q", _check("q", "demand", "bool_or", "false")),
     "check_summary": _sql("demand q", f"SELECT count(*) FILTER (WHERE result) AS n_true, count(*) FILTER (WHERE NOT result) AS n_false FROM ({_check('q', 'demand', 'bool_and', 'true')})"),
     "tile_stats": _sql("emb", 'SELECT cast("row" // 16 AS INTEGER) AS tile_row, cast(col // 16 AS INTEGER) AS tile_col, min(value) AS min_value, max(value) AS max_value, min(value) = max(value) AS is_uniform, count(*) AS n_cells FROM emb GROUP BY 1, 2'),
+    "last_level": _sql("demand", 'SELECT cast("row" // 8 AS INTEGER) AS tile_row, cast(col // 8 AS INTEGER) AS tile_col, "row", col, max(value) OVER (PARTITION BY "row" // 8, col // 8) - value AS delta FROM demand'),
     "pyramid": _sql("demand nodes", "SELECT * FROM nodes"),
     "pyramid_children": _sql(
         "demand nodes",
@@ -218,4 +221,11 @@ ORACLES = {
     "fixed_windows": """SELECT cast(o_orderkey AS BIGINT) AS query_id, x AS xini, x + 8 AS xend, y AS yini, y + 4 AS yend FROM (
         SELECT o_orderkey, cast(least(o_orderkey % 64, 55) AS INTEGER) AS x, cast(least(o_custkey % 64, 59) AS INTEGER) AS y FROM orders)""",
 }
+ORACLES["dictionary_blocks_zones"] = (
+    ORACLES["dictionary_blocks"]
+    .replace(_CTE["ev"], _CTE["zones"])
+    .replace(_CTE["blocks"], _CTE["blocks"].replace("FROM ev GROUP BY t, ", "FROM zones GROUP BY "))
+    .replace("FROM ev GROUP BY value", "FROM zones GROUP BY value")
+    .replace("\n, f AS", ", f AS")
+)
 ORACLES["dictionary_blocks"] = ORACLES["dictionary_blocks"].replace("\n, f AS", ", f AS")

@@ -139,4 +139,5 @@ def test_stored_tiles_and_stream(spark, tmp_path):
     append_steps(spark, source, target, str(tmp_path / "cp"), 4).awaitTermination()
     back = spark.read.parquet(target)
     assert tiles.mismatches(c, tiles.tile_cells(back, ["t"]), ("t", "row", "col")).count() == 0
+    assert {(r["t"], r["n_bytes"] > 0) for r in series.space_per_step(spark, target).collect()} == {(0, True), (1, True), (2, True)}
     assert "PartitionFilters: [isnotnull(t" in back.where("t = 1").select("min_value")._jdf.queryExecution().toString()
