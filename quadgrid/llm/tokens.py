@@ -12,57 +12,50 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces and pre-tokens whose ids a worker remembers.
-PIECES, PRETOKENS = 500_000, 300_000
+PIECES, PRETOKENS = 1_400_000, 600_000
 
 _SPACE_PIECE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?!\S)")
-# The two tokenizers' own pre-token patterns, for ASCII pieces.
+# The two tokenizers' own pre-token patterns, for pieces of plain characters (below
+# U+0250, none that is a rare space or changes its length in lower case), whose letters and
+# numbers are spelt out.
+_GPT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
+_WORD_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 _GPT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _WORD_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+_NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
 #: What str.split() parts at but the library's `\s` doesn't match.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet for ASCII: printable characters stand for themselves, others for U+0100 on."""
-    table, extra = {}, 0
-    for b in range(128):
-        if 33 <= b <= 126:
-            continue
-        table[b] = chr(256 + extra)
-        extra += 1
-        if b == 32:
-            pass
-    return table
+def _byte_alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
-class _Pretokens(dict):
-    def __init__(self, model, ids, alphabet):
-        super().__init__()
-        self.model, self.pack, self.alphabet = model, ids, alphabet
-
-    def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= PRETOKENS:
-            self.clear()
-        mapped = pretoken.translate(self.alphabet) if self.alphabet else pretoken
-        out = self[pretoken] = self.pack([t.id for t in self.model.tokenize(mapped)])
-        return out
-
+class _Memory(dict):
+    """Remembers what make() gave. When half full, the entries become the old generation, of
+    which only those asked for again are carried over."""
 
-class _Pieces(dict):
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make = make
+        self.make, self.half, self.old = make, limit // 2, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = self.make(piece)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -79,15 +72,15 @@ class TextEncoder:
         parts = [p.get("type") for p in pre.get("pretokenizers", [])]
         bpe = state["model"].get("type") == "BPE" and not state["model"].get("dropout")
         self.ids = self._whole
-        alphabet = _byte_alphabet()
-        self.ascii_pre = _Pretokens(self.tokenizer.model, self._pack, alphabet)
-        self.mapped_pre = _Pretokens(self.tokenizer.model, self._pack, None)
-        self.pieces = _Pieces(self._piece)
+        self.alphabet = _byte_alphabet()
+        self.space = chr(self.alphabet[32])
+        self.pretokens = _Memory(self._pretoken, PRETOKENS)
+        self.pieces = _Memory(self._piece, PIECES)
         if bpe and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-            self.pattern, self.lower, self.ids = _GPT_ASCII, False, self._spaced
+            self.ascii, self.plain, self.lower, self.ids = _GPT_ASCII, _GPT_PLAIN, False, self._spaced
         elif bpe and parts == ["Split", "ByteLevel"] and [n.get("type") for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             if pre["pretokenizers"][0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
-                self.pattern, self.lower, self.ids = _WORD_ASCII, True, self._words
+                self.ascii, self.plain, self.lower, self.ids = _WORD_ASCII, _WORD_PLAIN, True, self._words
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -95,14 +88,22 @@ class TextEncoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _pretoken(self, mapped: str) -> bytes:
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():
-            found = self.pattern.findall(piece.lower() if self.lower else piece)
-            return b"".join(map(self.ascii_pre.__getitem__, found))
-        if self.tokenizer.normalizer is not None:
-            piece = self.tokenizer.normalizer.normalize_str(piece)
-        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)
-        return b"".join([self.mapped_pre[p] for p, _ in found])
+            found = self.ascii.findall(piece.lower() if self.lower else piece)
+            # Of printable ASCII only the space has another character in the byte-level alphabet.
+            found = [p.replace(" ", self.space) if p.isprintable() else p.translate(self.alphabet) for p in found]
+        elif _NOT_PLAIN.search(piece) is None:
+            found = self.plain.findall(piece.lower() if self.lower else piece)
+            found = [p.encode().decode("latin-1").translate(self.alphabet) for p in found]
+        else:
+            if self.tokenizer.normalizer is not None:
+                piece = self.tokenizer.normalizer.normalize_str(piece)
+            found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+        return b"".join(map(self.pretokens.__getitem__, found))
 
     def _spaced(self, text: str) -> bytes:
         parts = text.split(" ") if _ODD_SPACE.search(text) is None else _SPACE_PIECE.split(text)
