@@ -1,13 +1,15 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of letters and digits in lower case; a window has as many words as an item (or
-the whole text, if that is shorter), and both are weighted multisets of 5-word shingles (fewer
-words make one shingle). A 64-bit SimHash is taken of every item and of every window that has
+the whole text, if that is shorter), and both are multisets of 5-word shingles (fewer words
+make one shingle). A 64-bit SimHash is taken of every item and of every window that has
 a shingle of some item of its size; other windows have similarity 0. Fingerprints are cut
 into eight blocks of eight bits: two within the radius differ in three bits or fewer in one
 block at least, so looking up each block's neighbourhood finds all of them. What is within the
-radius is then compared exactly: a shingle weighs 1 / (number of items that have it), and the
-similarity is the sum of the lesser over the sum of the greater weighted counts.
+radius is then compared exactly: the similarity is the sum of the lesser over the sum of the
+greater counts. Every shingle weighs 1, so neither the result nor the votes for a fingerprint
+depend on how often an item stands in the benchmark, or on how the items are dealt into blocks. (The radius is
+an estimate: a window that passes, but has one unknown shingle many times, may lie outside it.)
 
 The items are the stated query set. They are taken in blocks of `ITEMS`, each sent to all
 tasks (its size is bounded by that and by ITEM_WORDS), and the documents are read once a block.
@@ -100,7 +102,7 @@ class Group:
 
 
 class Benchmark:
-    """Up to ITEMS items: their shingles, weights and fingerprints."""
+    """Up to ITEMS items: their shingles and fingerprints."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         words = Words()
@@ -113,8 +115,6 @@ class Benchmark:
                 self.lengths.append(len(w))
                 shingles.append(shingle_hashes(w, SIZE))
                 self.counts.append(Counter(shingles[-1].tolist()))
-        having = Counter(s for c in self.counts for s in c)
-        self.weight = {s: 1 / n for s, n in having.items()}
         self.groups: dict[int, Group] = {}
         self.owners: dict[int, set[int]] = defaultdict(set)  # shingle -> word counts of items that have it
         for i, (n, c) in enumerate(zip(self.lengths, self.counts)):
@@ -123,17 +123,13 @@ class Benchmark:
             for s in c:
                 self.owners[s].add(n)
         for g in self.groups.values():
-            g.fingerprints = np.concatenate([pack_bits(self.votes(shingles[i]).sum(axis=0, keepdims=True)) for i in g.items])
+            g.fingerprints = np.concatenate([pack_bits(bit_signs(shingles[i]).sum(axis=0, keepdims=True, dtype=np.int64)) for i in g.items])
             g.index()
-        self.known = np.sort(np.array(list(having), np.uint64)) if having else np.empty(0, np.uint64)
+        self.known = np.sort(np.array(list(self.owners), np.uint64)) if self.owners else np.empty(0, np.uint64)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.short = sorted({min(n, SIZE) for n in self.lengths if n < SIZE})
 
-    def votes(self, shingles: np.ndarray) -> np.ndarray:
-        w = np.array([self.weight.get(s, 1.0) for s in shingles.tolist()])
-        return bit_signs(shingles) * w[:, None]
-
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Where a shingle of the benchmark stands."""
         at = np.flatnonzero(self.filter[(shingles >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -144,9 +140,8 @@ class Benchmark:
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         mine, other = self.counts[item], Counter(window.tolist())
-        less = sum(self.weight[s] * min(n, other[s]) for s, n in mine.items() if s in other)
-        total = sum(self.weight[s] * n for s, n in mine.items()) + sum(self.weight.get(s, 1.0) * n for s, n in other.items())
-        return less / (total - less)
+        less = sum(min(n, other[s]) for s, n in mine.items() if s in other)
+        return less / (mine.total() + len(window) - less)
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item found."""
@@ -180,8 +175,8 @@ class Benchmark:
             for at in range(0, len(run), 4096):
                 part = run[at : at + 4096]
                 lo, hi = int(part[0]), int(part[-1]) + per
-                sums = np.concatenate([np.zeros((1, 64)), np.cumsum(self.votes(shingles[lo:hi]), axis=0)])
-                prints = pack_bits(np.round(sums[part - lo + per] - sums[part - lo], 9))
+                sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bit_signs(shingles[lo:hi]), axis=0, dtype=np.int64)])
+                prints = pack_bits(sums[part - lo + per] - sums[part - lo])
                 for start, fp in zip(part.tolist(), prints):
                     for i in group.within(fp).tolist():
                         item = group.items[i]

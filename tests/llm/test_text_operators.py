@@ -338,3 +338,36 @@ def test_decontaminate(spark, nothing):
     assert got == pytest.approx(want)
     assert decontaminate.contaminated(nothing, bench).count() == 0
     assert decontaminate.contaminated(nothing, bench.where("item_id < 0")).count() == 0
+
+
+def test_decontaminate_repeated_items(spark, monkeypatch):
+    """Items held several times, or made from a template, catch edited copies in any number of blocks."""
+    rng = random.Random(9)
+    fresh = iter(range(10_000))
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    twice, thrice, lone, frame = words(45), words(60), words(20), words(50)
+    filled = [frame[:25] + words(3) + frame[25:] for _ in range(6)]
+    items = [(0, twice), (1, twice), (2, thrice), (3, thrice), (4, thrice), (5, lone), *enumerate(filled, 6)]
+    docs = []
+    for _, item in items:
+        edited = list(item)
+        edited[len(edited) // 2] = "edited"
+        docs.append((len(docs), words(rng.randrange(40)) + edited + words(30)))
+    docs.append((len(docs), words(200)))
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    want = {}
+    for d, w in docs:
+        for i, item in items:
+            a = grams(item)
+            for k in range(len(w) - len(item) + 1):
+                b = grams(w[k : k + len(item)])
+                s = (a & b).total() / (a | b).total()
+                if s >= 0.75:
+                    want[d, i] = max(s, want.get((d, i), 0))
+    assert {(0, 0), (0, 1), (2, 3), (4, 4)} <= set(want)
+    text = lambda rows: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = text(items).withColumnRenamed("doc_id", "item_id")
+    for size in (decontaminate.ITEMS, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS", size)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(text(docs), bench).collect()}
+        assert got == pytest.approx(want)
