@@ -3,9 +3,9 @@
 A tokenizer splits a text into pre-tokens and encodes each on its own, so a text may be cut
 wherever a pre-token must end, and what was encoded before may be reused. TextEncoder cuts at
 white space, keeps the ids of the pieces it has seen (bounded), and gives every new pre-token
-to the library's model. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`
-with encode_special_tokens set (a special token's name in a text is ordinary text); a tokenizer
-of another build than the two known here encodes each text as a whole.
+to the library's model. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`;
+a text that holds the string of an added token (`<|endoftext|>`) goes to the library as a whole,
+and so does every text with a tokenizer of another build than the two known here.
 """
 
 from __future__ import annotations
@@ -64,13 +64,15 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         state = json.loads(self.tokenizer.to_str())
         pre, norm = state.get("pre_tokenizer") or {}, state.get("normalizer") or {}
         parts = [p.get("type") for p in pre.get("pretokenizers", [])]
         bpe = state["model"].get("type") == "BPE" and not state["model"].get("dropout")
+        # The library takes these out of the text before it splits and normalizes the rest.
+        self.added = tuple(t["content"] for t in state["added_tokens"])
+        bpe = bpe and not any(t["normalized"] for t in state["added_tokens"])
         self.ids = self._whole
         self.alphabet = _byte_alphabet()
         self.space = chr(self.alphabet[32])
@@ -105,13 +107,18 @@ class TextEncoder:
             found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
         return b"".join(map(self.pretokens.__getitem__, found))
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _spaced(self, text: str) -> bytes:
+        if self._holds_added(text):
+            return self._whole(text)
         parts = text.split(" ") if _ODD_SPACE.search(text) is None else _SPACE_PIECE.split(text)
         first = self._piece(parts[0])
         return first + b"".join(map(self.pieces.__getitem__, [" " + p for p in parts[1:]]))
 
     def _words(self, text: str) -> bytes:
-        if _NOT_SPACE.search(text):
+        if _NOT_SPACE.search(text) or self._holds_added(text):
             return self._whole(text)
         return b"".join(map(self.pieces.__getitem__, text.split()))
 

@@ -196,6 +196,24 @@ def test_encoder_equals_the_library(name, rows):
     assert [t for t in texts if enc.ids(t) != enc._whole(t)] == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_in_texts(spark, name):
+    path = public_tokenizers.path(name)
+    enc, tok = TextEncoder(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|", "|>", "foo", " bar", " ", "  ", "\n", "É", "e\u0301", "\u0338", "日本", "\x1c", "'s", "7"]
+    texts = ["foo <|endoftext|> bar", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(2000))]
+    want = {t: tok.encode(t, add_special_tokens=False).ids for t in texts}
+    assert tok.token_to_id("<|endoftext|>") in want[texts[0]]
+    assert [t for t in texts if np.frombuffer(enc.ids(t), enc.dtype).tolist() != want[t]] == []
+    df = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    files = token_files.read_token_files(spark, token_files.write_token_files(df, path, 1)).collect()
+    packed = packing.pack(df, path).where("start = 0").collect()
+    for i, t in enumerate(texts[:40]):
+        assert [r["n_tokens"] for r in files if r["doc_id"] == i] == [len(want[t]) + 1] == [r["doc_tokens"] for r in packed if r["doc_id"] == i]
+        assert [r["ids_crc32"] for r in files if r["doc_id"] == i] == [zlib.crc32(np.array([*want[t], 1], "<u4").tobytes())]
+
+
 def test_token_files(spark, docs, rows, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, at, want = Tokenizer.from_file(path), 0, []
