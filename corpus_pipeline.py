@@ -31,9 +31,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays, and of its
+    equal rows (doc_id, text) one. Texts move only where a document has equal rows."""
     found = near_dedup.near_duplicates(docs)
-    return rows_by_id(docs, found.where(~F.col("kept")).select("doc_id"), inside=False)
+    out = rows_by_id(docs, found.where(~F.col("kept")).select("doc_id"), inside=False)
+    equal = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1 AND doc_id IS NOT NULL")
+    equal = cut(equal.select("doc_id").distinct(), "equal-rows")
+    if not equal.limit(1).count():
+        return out
+    return rows_by_id(out, equal, inside=False).unionByName(rows_by_id(out, equal, inside=True).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,12 +272,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            last, x = None, None
-            for a, raw_a, raw_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, x = a, np.frombuffer(raw_a.as_buffer(), np.uint64)
-                good.append(similar(x, np.frombuffer(raw_b.as_buffer(), np.uint64), percent))
+            # A doc_id may have several sets, so each row is read by itself.
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -293,8 +289,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Classes of equal sets; only those of two or more rows take part in joins.
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    marked = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("rep <> doc_id").select("doc_id", "rep").distinct(), "copies")
-    nodes = full.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
+    marked = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("rep <> doc_id").select("doc_id", "d1", "d2", "rep").distinct(), "copies")
+    # Only the copy's row goes; other sets of its doc_id stay, as they may stand for classes too.
+    nodes = full.join(marked.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
     bands = nodes.select("doc_id", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     members = cut(bands.join(buckets.hint("merge"), "key"), "buckets")

@@ -94,6 +94,14 @@ def test_pipeline_keeps_clean_documents(spark):
     assert docs.select("doc_id").distinct().count() == counts[3]
 
 
+def test_pipeline_keeps_one_of_equal_rows(spark):
+    text = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (2, text[2]), (2, text[2]), (3, text[2]), (None, text[0]), (None, text[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, df, DATA).collect()
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[3], rows[6], rows[7]], key=lambda r: f"Row(doc_id={r[0]}, text={r[1]!r})")
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -148,6 +148,33 @@ def test_near_dedup_chains_and_large_groups(spark):
     assert got == near_components(rows)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Each row's set keeps its own links, though its doc_id has a copy of another document too."""
+    rng = random.Random(3)
+    base = {k: [f"{k}{i}" for i in range(80)] for k in "abcdef"}
+
+    def edited(k):
+        w = list(base[k])
+        w[rng.randrange(80)] = "edited"
+        return " ".join(w)
+
+    text = {k: " ".join(w) for k, w in base.items()}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (7, text["b"]), (9, edited("b")), (12, edited("b"))]
+    rows += [(20, text["c"]), (20, text["c"]), (21, edited("c")), (30, text["d"]), (31, text["d"]), (31, text["e"]), (32, edited("e")), (40, text["f"]), (41, None), (41, "")]
+    sets = defaultdict(list)
+    for d, t in rows:
+        sets[d].append(shingles(t))
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if any(x and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((d, root[d]) for d, _ in rows)
+
+
 def test_near_dedup_of_nothing(nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
