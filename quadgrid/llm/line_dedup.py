@@ -1,14 +1,16 @@
 """Line dedup: frequent lines go, except from the document with the largest id.
 
-Line keys are hashed to 128 bits where the documents lie, counted by Spark, and the frequent
-ones are dealt out over shards. Each shard is a minimal perfect hash (levels of bit arrays, a
+Line keys are hashed to 128 bits where the documents lie and counted by Spark. All distinct
+hashes are dealt out over shards. Each shard is a minimal perfect hash (levels of bit arrays, a
 key sits at the first level where no other key wants its bit) that indexes flat arrays of
-fingerprints, counts and keeping documents, written as one file in the shared folder. The
-documents then probe the files, memory-mapped, page by page: lines are never joined, and the
-index needs no broadcast however large it grows.
+fingerprints and counts, and of the keeping documents of counts from `min_docs` on, written as
+one file in the shared folder. The documents then probe the files, memory-mapped, page by page,
+and drop a line by the count found there: lines are never joined, and the index needs no
+broadcast however large it grows.
 
 Defined results: a null or empty text is one empty line; each row counts as a document (equal
-doc_ids share the kept copy); a row without doc_id ranks below all others.
+doc_ids share the kept copy); a row without doc_id ranks below all others; a column of docs that
+is named like a result (n_lines, n_dropped, kept_sha256) is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import AtomicWriter, chunks, cut, encode, make_dir, mix, open_map,
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_ROWS = 100_000
+SHARD_ROWS = 250_000
 NO_ID = -(1 << 63)
 
 
@@ -91,10 +93,11 @@ def _level_position(h: np.ndarray, level: int, bits: int) -> np.ndarray:
     return (mix(h + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)).astype(np.int64)
 
 
-def shard_bytes(h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, keep_id: np.ndarray) -> bytes:
-    """Header (keys, levels, bits of each level), bit words, ranks, fingerprints, counts, ids: all of 64 bits.
+def shard_bytes(h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, keep_id: np.ndarray, min_docs: int) -> bytes:
+    """Header (keys, levels, keys apart, kept ids, bits of each level), bit words, ranks, fingerprints,
+    counts (of 32 bits), the places of counts from min_docs on and their ids.
 
-    Keys whose h1 is equal but h2 differs go to a short list behind the arrays.
+    Keys whose h1 is equal but h2 differs are apart: a short list behind the arrays.
     """
     _, first = np.unique(h1, return_index=True)
     rest = np.setdiff1d(np.arange(len(h1)), first)
@@ -102,26 +105,32 @@ def shard_bytes(h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, keep_id: np.
     order = np.empty(len(first), np.int64)
     order[index] = first
     ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]]) if len(words) else np.empty(0, np.int64)
-    head = np.array([len(first), len(sizes), len(rest), *sizes], "<i8")
-    columns = [c[order] for c in (h2, n_docs, keep_id)] + [c[rest] for c in (h1, h2, n_docs, keep_id)]
-    return b"".join(np.ascontiguousarray(x).astype("<u8", casting="unsafe").tobytes() for x in (head.view("<u8"), words, ranks.view("<u8"), *(c.view("<u8") for c in columns)))
+    counts = np.minimum(n_docs[order], 0xFFFFFFFF).astype("<u4")
+    kept = np.flatnonzero(counts >= min_docs)
+    head = np.array([len(first), len(sizes), len(rest), len(kept), *sizes], "<i8")
+    columns = [head, words, ranks, h2[order], np.append(counts, np.zeros(len(counts) % 2, "<u4")), kept, keep_id[order][kept], *(c[rest] for c in (h1, h2, n_docs, keep_id))]
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in columns)
 
 
 class Shard:
     def __init__(self, uri: str):
         a = open_map(uri, "<u8")
-        n, levels, n_rest = (int(x) for x in a[:3])
-        self.sizes = [int(x) for x in a[3 : 3 + levels]]
-        n_words, at = sum(self.sizes) // 64, 3 + levels
-        self.words, self.ranks = a[at : at + n_words], a[at + n_words : at + 2 * n_words]
-        at += 2 * n_words
-        self.h2, self.counts, self.keep = (a[at + i * n : at + (i + 1) * n] for i in range(3))
-        at += 3 * n
-        self.rest = np.array(a[at : at + 4 * n_rest]).reshape(4, n_rest)
+        n, levels, n_rest, n_kept = (int(x) for x in a[:4])
+        self.sizes = [int(x) for x in a[4 : 4 + levels]]
+        n_words, self.at = sum(self.sizes) // 64, 4 + levels
+
+        def take(k: int) -> np.ndarray:
+            self.at += k
+            return a[self.at - k : self.at]
+
+        self.words, self.ranks, self.h2 = take(n_words), take(n_words), take(n)
+        self.counts = take((n + 1) // 2).view("<u4")
+        self.kept, self.keep = take(n_kept).view("<i8"), take(n_kept).view("<i8")
+        self.rest = np.array(take(4 * n_rest)).reshape(4, n_rest)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each pair is a key of this shard, and its keep_id."""
-        found, keep = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
+        """The count of each pair (0: no key of this shard) and the id kept with it, if any."""
+        count, keep = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
         left, base = np.arange(len(h1)), 0
         for level, bits in enumerate(self.sizes):
             if not len(left):
@@ -134,13 +143,17 @@ class Shard:
             index = (self.ranks[word].astype(np.int64) + below)[hit]
             who = left[hit]
             same = self.h2[index] == h2[who]
-            found[who[same]] = True
-            keep[who[same]] = self.keep[index[same]].view(np.int64)
+            index, who = index[same], who[same]
+            count[who] = self.counts[index]
+            if len(self.kept):
+                place = np.minimum(np.searchsorted(self.kept, index), len(self.kept) - 1)
+                has = self.kept[place] == index
+                keep[who[has]] = self.keep[place[has]]
             left, base = left[~hit], base + bits // 64
-        for r1, r2, _, k in self.rest.T:
+        for r1, r2, n, k in self.rest.T:
             same = (h1 == r1) & (h2 == r2)
-            found[same], keep[same] = True, k.astype(np.int64)
-        return found, keep
+            count[same], keep[same] = int(n), k.astype(np.int64)
+        return count, keep
 
 
 class LineIndex:
@@ -160,51 +173,53 @@ class LineIndex:
         return self.open[s]
 
     def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, keep = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        """The counts (0: absent) and kept ids of rows (h1, h2)."""
+        count, keep = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         which = h[:, 0].view(np.int64) % self.n
         order = np.argsort(which, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
             if len(group) and (s := int(which[group[0]])) in self.names:
-                found[group], keep[group] = self.shard(s).probe(h[group, 0], h[group, 1])
-        return found, keep
+                count[group], keep[group] = self.shard(s).probe(h[group, 0], h[group, 1])
+        return count, keep
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """For an index of plain 64-bit keys (index_keys)."""
         keys = keys.view(np.uint64)
-        return self.probe(np.stack([keys, keys], axis=1))[0]
+        return self.probe(np.stack([keys, keys], axis=1))[0] > 0
 
 
 def index_keys(keys: DataFrame) -> LineIndex:
     """The index of one column of distinct 64-bit integers."""
     (name,) = keys.columns
     key = F.col(name)
-    return build_index(keys.select(key.alias("h1"), key.alias("h2"), F.lit(1).cast("bigint").alias("n_docs"), key.alias("keep_id")))
+    return build_index(keys.select(key.alias("h1"), key.alias("h2"), F.lit(1).cast("bigint").alias("n_docs"), key.alias("keep_id")), min_docs=2)
 
 
-def build_index(frequent: DataFrame) -> LineIndex:
-    """Write the shards' files from rows (h1, h2, n_docs, keep_id)."""
-    spark = frequent.sparkSession
-    folder = shared_dir(spark, "lines")
+def build_index(counted: DataFrame, min_docs: int = 1) -> LineIndex:
+    """Write the shards' files from distinct rows (h1, h2, n_docs, keep_id); ids are kept for counts from min_docs on."""
+    spark = counted.sparkSession
+    folder = shared_dir(spark, "index")
     make_dir(folder)
-    frequent = cut(frequent, "frequent-lines")
-    n = max(1, -(-frequent.count() // SHARD_ROWS))
+    counted = cut(counted, "counted-keys")
+    n = max(1, -(-counted.count() // SHARD_ROWS))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf["shard"].iloc[0])
         out = AtomicWriter(f"{folder}/{(name := f'shard-{s:06d}-{uuid.uuid4().hex[:8]}')}")
-        out.write(shard_bytes(*(pdf[c].to_numpy().view("<u8") for c in ("h1", "h2", "n_docs", "keep_id"))))
+        out.write(shard_bytes(*(pdf[c].to_numpy().view("<u8") for c in ("h1", "h2", "n_docs", "keep_id")), min_docs))
         out.commit()
         return pd.DataFrame({"shard": [s], "name": [name]})
 
-    sharded = frequent.withColumn("shard", F.pmod("h1", F.lit(n)))
-    # One name for each shard: a row for each 100,000 frequent lines.
+    sharded = counted.withColumn("shard", F.pmod("h1", F.lit(n)))
+    # One name for each shard: a row for each 250,000 keys.
     names = {r["shard"]: r["name"] for r in sharded.groupBy("shard").applyInPandas(write, "shard long, name string").collect()}
     return LineIndex(folder, names, n)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the kept text in `text`, and n_lines, n_dropped and kept_sha256 beside it."""
-    index = build_index(line_counts(docs, min_chars).where(F.col("n_docs") >= min_docs))
+    docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
+    index = build_index(line_counts(docs, min_chars), min_docs)
     names = docs.columns
     at_id, at_text = names.index("doc_id"), names.index("text")
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
@@ -222,8 +237,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 ids = piece.column(at_id).to_pylist()
                 n_lines, drop = [len(x) for x in lines_of], [set() for _ in lines_of]
                 if keys:
-                    found, keep = index.probe(_hash_pairs(keys))
-                    for f in np.flatnonzero(found):
+                    count, keep = index.probe(_hash_pairs(keys))
+                    for f in np.flatnonzero(count >= min_docs):
                         i, j = where[f]
                         if keep[f] != (NO_ID if ids[i] is None else ids[i]):
                             drop[i].add(j)
@@ -245,18 +260,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = """
-WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM s),
+WITH s AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM s),
 k AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (
-  SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
-SELECT doc_id, count(*) AS n_lines,
-  count(*) FILTER (WHERE keep_id IS NOT NULL AND keep_id <> doc_id) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep_id IS NULL OR keep_id = doc_id), '')) AS kept_sha256
-FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+  SELECT key, max(coalesce(doc_id, -9223372036854775808)) AS keep_id FROM k WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT r) >= 5),
+d AS (SELECT k.*, keep_id IS NOT NULL AND keep_id <> coalesce(doc_id, -9223372036854775808) AS dropped FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM d GROUP BY r
 """
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}

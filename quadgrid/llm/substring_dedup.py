@@ -6,11 +6,17 @@
    have equal anchors at equal places, so only anchors that occur twice in the corpus matter.
    They are counted by Spark, and an index of them in the shared folder is probed in place.
 3. The windows of one anchor are next to each other: they are one segment of less than twice
-   WIDTH bytes. Equal segments are counted, and segments whose anchor has others go, a bounded
-   number at a time, into a collection transform built column by column; runs of common
-   prefixes of WIDTH or more are the windows that repeat.
-4. An anchor with more than GROUP distinct segments would be too much for one task. Its
-   segments are taken apart into windows, whose 128-bit hashes Spark counts.
+   WIDTH bytes. Spark counts equal segments by name (a 128-bit hash); the texts are read once
+   more, and of each name whose anchor has another one, found once, its bytes go out from one
+   place. A segment stands for all its copies with their number as its weight.
+4. The segments of an anchor go, a bounded number of bytes at a time, into a collection
+   transform built column by column; runs of common prefixes of WIDTH or more with a weight
+   of two or more are the windows that repeat.
+5. An anchor with more than GROUP distinct segments would be too much for one task. Its
+   segments are parted by more context: half of what the windows hold besides the anchor lies
+   before it or after it, and windows that are equal have that half in common. So each part has
+   a longer anchor and fewer windows; anchors found once drop out, and the others go on with
+   step 3. After ten rounds an anchor is the whole window, and its group one string.
 
 Defined results: a null text is empty; texts shorter than WIDTH lose nothing; each row counts
 as a document, so a repeated row is covered by its copy; rows without doc_id are as others.
@@ -28,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .collection_bwt import repeated_windows
 from .common import chunks, cut, encode, mix, table
-from .line_dedup import LineIndex, index_keys
+from .line_dedup import LineIndex, build_index, index_keys
 from .near_dedup import groups
 
 WIDTH, K, GROUP, COLLECTION = 400, 32, 96, 56_000
+_NAMES = "h long, s1 long, s2 long"
+_PIECE = _NAMES + ", copies long, n long, at int, size int, segment binary"
 NO_ID = -(1 << 63)
 _BYTES = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,8 +64,8 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of each run of windows that have one anchor;
+def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(anchor hash, anchor, first window, last window) of each run of windows that have one anchor;
     the documents are buf[starts:ends], each of `width` bytes or more."""
     h = kmer_hashes(buf)
     w = width - K + 1
@@ -73,12 +81,12 @@ def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int =
     last = np.minimum(np.append(first[1:], len(least)) - 1, ends[doc] - width)
     anchor = np.concatenate([np.empty(0, np.int64), *(f + h[f[:, None] + np.arange(w)].argmin(axis=1) for f in np.array_split(first, max(1, len(first) // 4096)))])
     plain = last <= anchor
-    out = [(least[first[plain]], first[plain], last[plain])]
+    out = [(least[first[plain]], anchor[plain], first[plain], last[plain])]
     for f, z in zip(first[~plain].tolist(), last[~plain].tolist()):
         # The least k-mer occurs again before the run ends: each occurrence is an anchor of its own.
         at = f + np.flatnonzero(h[f : z + w] == least[f])
         at = at[: np.searchsorted(at, z) + 1]
-        out.append((np.full(len(at), least[f]), np.concatenate([[f], at[:-1] + 1]), np.minimum(at, z)))
+        out.append((np.full(len(at), least[f]), at, np.concatenate([[f], at[:-1] + 1]), np.minimum(at, z)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -101,35 +109,74 @@ def _documents(batches: Iterator[pa.RecordBatch], skip: LineIndex, width: int):
                 yield buf, np.concatenate([[0], ends[:-1]]), ends, piece.column(0).to_numpy(zero_copy_only=False)[at], rk[at]
 
 
-def anchor_index(rows: DataFrame, skip: LineIndex, width: int) -> LineIndex:
-    """The index of the anchors that occur at least twice."""
+def _named(strings: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), "<i8").reshape(-1, 2)
+
+
+def _twice(h: DataFrame) -> LineIndex:
+    """The index of the anchors (h, weight) that occur at least twice."""
+    return index_keys(h.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h"))
+
 
+def anchor_index(rows: DataFrame, skip: LineIndex, width: int) -> LineIndex:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf, starts, ends, _, _ in _documents(batches, skip, width):
-            yield pa.RecordBatch.from_pydict({"h": pa.array(segments(buf, starts, ends, width)[0].view(np.int64))})
+            h = segments(buf, starts, ends, width)[0].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h), "weight": pa.array(np.ones(len(h), np.int64))})
 
-    counted = rows.mapInArrow(run, "h long").groupBy("h").count()
-    return index_keys(counted.where("count > 1").select("h"))
+    return _twice(rows.mapInArrow(run, "h long, weight long"))
 
 
-def candidate_segments(rows: DataFrame, skip: LineIndex, anchors: LineIndex, width: int) -> DataFrame:
-    """(h, s1, s2, doc_id, rk, at, n, segment): s1 and s2 name the segment, which has n windows and starts at `at`."""
+def named_segments(rows: DataFrame, skip: LineIndex, anchors: LineIndex, width: int) -> DataFrame:
+    """(h, s1, s2, doc_id, rk, at, n): s1 and s2 name the segment, which has n windows and starts at `at`; as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf, starts, ends, ids, rk in _documents(batches, skip, width):
-            h, first, last = segments(buf, starts, ends, width)
+            h, _, first, last = segments(buf, starts, ends, width)
             hit = anchors.contains(h)
             h, first, last = h[hit], first[hit], last[hit]
             data = buf.tobytes()
-            found = [data[f : z + width] for f, z in zip(first.tolist(), last.tolist())]
-            name = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), "<i8").reshape(-1, 2)
+            name = _named([data[f : z + width] for f, z in zip(first.tolist(), last.tolist())])
             doc = np.searchsorted(starts, first, side="right") - 1
             yield pa.RecordBatch.from_pydict(
                 {"h": pa.array(h.view(np.int64)), "s1": pa.array(name[:, 0]), "s2": pa.array(name[:, 1]), "doc_id": pa.array(ids[doc]), "rk": pa.array(rk[doc]),
-                 "at": pa.array(first - starts[doc]), "n": pa.array(last - first + 1), "segment": pa.array(found, pa.binary())}
+                 "at": pa.array(first - starts[doc]), "n": pa.array(last - first + 1)}
+            )
+
+    return cut(rows.mapInArrow(run, _NAMES + ", doc_id long, rk long, at long, n long"), "segments")
+
+
+def contested(distinct: DataFrame, group: int) -> DataFrame:
+    """Those of distinct segments (h, s1, s2, copies, ...) whose anchor has others, one of them found once,
+    and whether they are `crowded`. A segment found twice repeats as a whole; others need the transform."""
+    per_anchor = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 AND least = 1")
+    per_anchor = cut(per_anchor.select("h", (F.col("kinds") > group).alias("crowded")), "anchors")
+    return cut(distinct.join(per_anchor.hint("merge"), "h"), "contested")
+
+
+def contested_pieces(rows: DataFrame, skip: LineIndex, names: DataFrame, width: int) -> DataFrame:
+    """The pieces of contested segments (h, s1, s2, copies, rk, crowded), cut from the row that each names, as a table."""
+    index = build_index(names.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("copies").alias("n_docs"), F.col("rk").alias("keep_id")))
+    crowds = index_keys(names.where("crowded").select("h").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buf, starts, ends, _, rk in _documents(batches, skip, width):
+            h, anchor, first, last = segments(buf, starts, ends, width)
+            data = buf.tobytes()
+            found = [data[f : z + width] for f, z in zip(first.tolist(), last.tolist())]
+            name = _named(found)
+            doc = np.searchsorted(starts, first, side="right") - 1
+            copies, where = index.probe(name.view(np.uint64))
+            out = np.flatnonzero((copies > 0) & (where == rk[doc]))
+            # A row may hold a segment several times.
+            out = out[np.sort(np.unique(np.column_stack([doc[out], name[out]]), axis=0, return_index=True)[1])]
+            yield pa.RecordBatch.from_pydict(
+                {"h": pa.array(h[out].view(np.int64)), "s1": pa.array(name[out, 0]), "s2": pa.array(name[out, 1]), "copies": pa.array(copies[out]), "n": pa.array((last - first + 1)[out]),
+                 "at": pa.array((anchor - first)[out].astype(np.int32)), "size": pa.array(np.full(len(out), K, np.int32)), "segment": pa.array([found[i] for i in out.tolist()], pa.binary()),
+                 "crowded": pa.array(crowds.contains(h[out]))}
             )
 
-    return cut(rows.mapInArrow(run, "h long, s1 long, s2 long, doc_id long, rk long, at long, n long, segment binary"), "segments")
+    return cut(rows.mapInArrow(run, _PIECE + ", crowded boolean"), "pieces")
 
 
 def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +184,7 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], edge + 1])], starts[np.concatenate([edge, [len(starts) - 1]])]
 
 
-def repeats_in_groups(distinct: DataFrame, width: int) -> DataFrame:
+def repeats_in_groups(pieces: DataFrame, width: int) -> DataFrame:
     """(h, s1, s2, lo, hi): ranges of repeated windows, by collection transforms over whole groups of equal h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,29 +212,75 @@ def repeats_in_groups(distinct: DataFrame, width: int) -> DataFrame:
             at, lo, hi = map(np.array, zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(k[at] for k in keys), lo, hi)], names=["h", "s1", "s2", "lo", "hi"])
 
-    dealt = distinct.select("h", "s1", "s2", "copies", "segment", F.octet_length("segment").cast("bigint").alias("size")).repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "h long, s1 long, s2 long, lo long, hi long")
+    dealt = pieces.select("h", "s1", "s2", "copies", "segment", F.octet_length("segment").cast("bigint").alias("size")).repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, _NAMES + ", lo long, hi long")
+
 
+def parts(segment: bytes, n: int, at: int, size: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(side, first window, windows, place of the longer anchor, its size) of a piece's parts; the anchor
+    is segment[at : at + size], and every window holds it."""
+    half = -(-(width - size) // 2)
+    split = min(n, max(0, at - half + 1))  # windows with `half` bytes before the anchor come first
+    if split:
+        yield 0, 0, split, at - half, size + half
+    if split < n:
+        yield 1, split, n - split, at - split, width - half + 1
 
-def repeats_by_window(distinct: DataFrame, width: int) -> DataFrame:
-    """The same for anchors with very many segments: their windows' hashes are counted."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def split_pieces(pieces: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces with longer anchors of crowded ones, and (h, s1, s2, up_h, up_s1, up_s2, shift): whose
+    parts they are. A longer anchor that is found once has no repeated window and drops out."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = part.column(4).to_pylist()
-                n = [len(t) - width + 1 for t in texts]
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + width]) for t, k in zip(texts, n) for i in range(k)), "<i8").reshape(-1, 2)
-                row = np.repeat(np.arange(len(n)), n)
-                keys = [part.column(i).to_numpy()[row] for i in range(4)]
-                offset = np.concatenate([np.arange(k) for k in n])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w[:, 0], w[:, 1], *keys, offset)], names=["w1", "w2", "h", "s1", "s2", "copies", "lo"])
-
-    apart = distinct.select("h", "s1", "s2", "copies", "segment").mapInArrow(windows, "w1 long, w2 long, h long, s1 long, s2 long, copies long, lo long")
-    apart = cut(apart, "windows")
-    often = apart.groupBy("w1", "w2").agg(F.sum("copies").alias("c")).where("c > 1").drop("c")
-    return apart.join(cut(often, "often"), ["w1", "w2"]).select("h", "s1", "s2", "lo", F.col("lo").alias("hi"))
+            for i in range(0, batch.num_rows, 512):
+                rows, out = batch.slice(i, 512).to_pylist(), []
+                for r in rows:
+                    s = r["segment"]
+                    for side, first, n, at, size in parts(s, r["n"], r["at"], r["size"], width):
+                        h = xxhash.xxh3_64_intdigest(s[first + at : first + at + size], seed=1 + side)
+                        out.append((h - (1 << 64) if h >> 63 else h, r, first, n, at, size, s[first : first + n - 1 + width]))
+                yield out
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in cut_up(batches):
+            yield pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in out], pa.int64()), "weight": pa.array([x[1]["copies"] for x in out], pa.int64())})
+
+    index = _twice(pieces.mapInArrow(anchors, "h long, weight long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in cut_up(batches):
+            if out and (hit := index.contains(np.array([x[0] for x in out], np.int64))).any():
+                h, up, first, n, at, size, segment = zip(*(x for x, ok in zip(out, hit) if ok))
+                name = _named(segment)
+                yield pa.RecordBatch.from_pydict(
+                    {"h": pa.array(h, pa.int64()), "s1": pa.array(name[:, 0]), "s2": pa.array(name[:, 1]), "copies": pa.array([u["copies"] for u in up], pa.int64()), "n": pa.array(n, pa.int64()),
+                     "at": pa.array(at, pa.int32()), "size": pa.array(size, pa.int32()), "segment": pa.array(segment, pa.binary()),
+                     **{f"up_{k}": pa.array([u[k] for u in up], pa.int64()) for k in ("h", "s1", "s2")}, "shift": pa.array(first, pa.int64())}
+                )
+
+    made = cut(pieces.mapInArrow(run, _PIECE + ", up_h long, up_s1 long, up_s2 long, shift long"), "parts")
+    whose = made.select("h", "s1", "s2", "up_h", "up_s1", "up_s2", "shift")
+    same = made.groupBy("h", "s1", "s2").agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in ("n", "at", "size", "segment")])
+    return cut(same, "distinct-parts"), whose
+
+
+def _whole(distinct: DataFrame) -> DataFrame:
+    """The ranges of segments that are found twice: all their windows."""
+    return distinct.where("copies > 1").select("h", "s1", "s2", F.lit(0).cast("bigint").alias("lo"), (F.col("n") - 1).alias("hi"))
+
+
+def repeated_ranges(pieces: DataFrame, width: int, group: int) -> DataFrame:
+    """(h, s1, s2, lo, hi): the ranges of repeated windows of contested pieces."""
+    found = repeats_in_groups(pieces.where("NOT crowded"), width)
+    crowded = pieces.where("crowded").drop("crowded")
+    if not crowded.limit(1).count():
+        return found
+    distinct, whose = split_pieces(crowded, width)
+    below = _whole(distinct).unionByName(repeated_ranges(contested(distinct, group), width, group))
+    up = whose.join(cut(below, "part-ranges").hint("merge"), ["h", "s1", "s2"])
+    shifted = [(F.col(c) + F.col("shift")).alias(c) for c in ("lo", "hi")]
+    return found.unionByName(up.select(*[F.col(f"up_{c}").alias(c) for c in ("h", "s1", "s2")], *shifted))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
@@ -196,22 +289,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> D
     names = rows.select("doc_id", "rk", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), F.octet_length("text").alias("size"))
     names = cut(names.where(F.col("size") >= width), "texts")
     classes = cut(names.groupBy("t1", "t2").agg(F.min("rk").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copied")
-    copied = cut(names.join(classes, ["t1", "t2"]), "copies")
+    copied = cut(names.join(classes.hint("merge"), ["t1", "t2"]), "copies")
     skip = index_keys(copied.where("rk <> first").select("rk").distinct())
-    anchors = anchor_index(rows, skip, width)
-    found = candidate_segments(rows, skip, anchors, width)
-    distinct = cut(found.groupBy("h", "s1", "s2").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("segment").alias("segment")), "distinct-segments")
-    per_anchor = cut(distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")), "anchors")
-    # Where every segment of an anchor is found twice, all are decided.
-    sized = distinct.join(per_anchor.where("kinds > 1 AND least = 1").hint("merge"), "h")
-    few, many = sized.where(F.col("kinds") <= group), sized.where(F.col("kinds") > group)
-    zero = F.lit(0).cast("bigint")
-    # A segment found twice repeats as a whole; only others need the transform's verdict.
-    whole = distinct.where("copies > 1").select("h", "s1", "s2", zero.alias("lo"), (F.col("n") - 1).alias("hi"))
-    ranges = cut(whole.unionByName(repeats_in_groups(few, width)).unionByName(repeats_by_window(many, width)), "ranges")
+    found = named_segments(rows, skip, anchor_index(rows, skip, width), width)
+    distinct = cut(found.groupBy("h", "s1", "s2").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("rk").alias("rk")), "distinct-segments")
+    pieces = contested_pieces(rows, skip, contested(distinct, group), width)
+    ranges = cut(_whole(distinct).unionByName(repeated_ranges(pieces, width, group)), "ranges")
     placed = found.select("h", "s1", "s2", "doc_id", "rk", "at").join(ranges.hint("merge"), ["h", "s1", "s2"])
     spans = placed.select("doc_id", "rk", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + width).alias("b"))
-    spans = spans.unionByName(copied.select("doc_id", "rk", zero.alias("a"), F.col("size").cast("bigint").alias("b")))
+    spans = spans.unionByName(copied.select("doc_id", "rk", F.lit(0).cast("bigint").alias("a"), F.col("size").cast("bigint").alias("b")))
     return cut(spans.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 

@@ -13,7 +13,7 @@ import regex
 from tokenizers import Tokenizer
 
 from quadgrid.llm import decontaminate, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_files
-from quadgrid.llm.collection_bwt import CollectionBWT, columns_of
+from quadgrid.llm.collection_bwt import CollectionBWT, columns_of, repeated_windows
 from quadgrid.llm.components import connected_components
 from quadgrid.llm.line_dedup import index_keys
 from quadgrid.llm.tokens import TextEncoder
@@ -63,24 +63,28 @@ def covered_bytes(rows, width):
     return out
 
 
-@pytest.mark.parametrize("group", [96, 1])
-def test_substring_dedup(spark, group):
+@pytest.mark.parametrize("width, group", [(80, 4), (400, 96)])
+def test_substring_dedup(spark, width, group):
     rng = random.Random(group)
     words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(300)]
-    passage = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(5)]
-    rows = [(i, " ".join(rng.choice([rng.choice(words)] * 30 + passage) for _ in range(120))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "ab" * 400), (103, "ab" * 300), (104, "z" * 64), (105, rows[0][1]), (106, rows[0][1]), (107, "é" * 50), (None, rows[1][1])]
+    passage = [" ".join(rng.choice(words) for _ in range(width // 2)) for _ in range(5)]
+    passage += [x[: width // 2] for x in passage[:2]]  # shared, but shorter than the width: crowded anchors
+    rows = [(i, " ".join(rng.choice([rng.choice(words)] * 20 + passage) for _ in range(120))) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, "ab" * 6 * width), (103, "ab" * 5 * width), (104, "z" * width), (105, rows[0][1]), (106, rows[0][1]), (107, "é" * 50), (None, rows[1][1])]
+    rows += [(108, rows[2][1] + "x"), (108, rows[2][1] + "x"), (109, rows[3][1][: width - 1]), (110, "q" * (width - 1)), (111, " ".join(words * 40))]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, spans long")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]) // 2, bytes(r["kept"])) for r in substring_dedup.dedup_substrings(df, 64, group).collect()}
-    assert got == covered_bytes(rows, 64)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]) // 2, bytes(r["kept"])) for r in substring_dedup.dedup_substrings(df, width, group).collect())
+    want = covered_bytes(list(enumerate(t for _, t in rows)), width)
+    assert got == sorted((str(d), *want[i]) for i, (d, _) in enumerate(rows))
 
 
 def test_substring_dedup_of_nothing(nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
-@pytest.mark.parametrize("stride", [1, 3])
-def test_collection_transform(stride):
+@pytest.mark.parametrize("stride, block", [(1, 1000), (3, 1000), (1, 7), (3, 2), (1, 1)])
+def test_collection_transform(stride, block):
+    """The transform, prefixes and owners of all suffixes, in blocks of any size."""
     rng = random.Random(stride)
     for _ in range(25):
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 15))) for _ in range(rng.randint(1, 9))]
@@ -94,9 +98,25 @@ def test_collection_transform(stride):
             parts.append([body[i : i + stride] for i in range(0, len(body), stride)])
         order = sorted((p[i:], k) for k, p in enumerate(parts) for i in range(len(p) + 1))
         common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        built = CollectionBWT(columns)
-        assert built.lcp.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(order, order[1:])]
-        assert all(order[p] == (parts[k][len(parts[k]) - n :], k) for n, who, at in built.places() for k, p in zip(who, at))
+        built = CollectionBWT(columns, block)
+        bwt, lcp, who, length = map(np.concatenate, zip(*built.rows()))
+        assert lcp.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(order, order[1:])]
+        assert [(len(t), k) for t, k in order] == list(zip(length.tolist(), who.tolist()))
+        assert [c == 0 for c in bwt] == [len(t) == len(parts[k]) for t, k in order]
+
+
+@pytest.mark.parametrize("stride, width", [(1, 4), (3, 6), (40, 80)])
+def test_repeated_windows(stride, width):
+    rng = random.Random(width)
+    for i in range(30):
+        base = bytes(rng.choice(b"ab") for _ in range(3 * width))
+        strings = [base[rng.randint(0, width) : rng.randint(width, 3 * width)] for _ in range(rng.randint(1, 6))]
+        weights = np.array([rng.choice([1, 1, 2]) for _ in strings])
+        n = Counter()
+        for s, w in zip(strings, weights):
+            n.update({k: c * int(w) for k, c in Counter(s[i : i + width] for i in range(len(s) - width + 1)).items()})
+        want = [[i for i in range(len(s) - width + 1) if n[s[i : i + width]] > 1] for s in strings]
+        assert [x.tolist() for x in repeated_windows(strings, weights, width, stride, [1, 16, 1 << 16][i % 3])] == want
 
 
 # --- near dedup ------------------------------------------------------------------------------
