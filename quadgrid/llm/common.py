@@ -48,6 +48,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it no column of df."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri

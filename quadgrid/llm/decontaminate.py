@@ -11,11 +11,13 @@ greater counts. Every shingle weighs 1, so neither the result nor the votes for
 depend on how often an item stands in the benchmark, or on how the items are dealt into blocks. (The radius is
 an estimate: a window that passes, but has one unknown shingle many times, may lie outside it.)
 
-The items are the stated query set. They are taken in blocks of `ITEMS`, each sent to all
-tasks (its size is bounded by that and by ITEM_WORDS), and the documents are read once a block.
+The items are the stated query set. They are dealt by a hash into blocks of about `ITEMS` items
+and `ITEM_BYTES` of text at most, each sent to all tasks, and the documents are read once a block.
 
 Defined results: null and empty texts and items have no windows and match nothing; an item of
-any length counts; repeated rows are judged alike; equal items each give a row.
+any length counts (an item longer than ITEM_BYTES makes its block as large as itself); repeated
+documents are judged alike; items of equal text and other ids each give a row, equal rows of the
+benchmark one; of windows that tie in similarity the first is given; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from .common import chunks, mix, shingle_hashes, table
 
 SIZE, LEAST, RADIUS = 5, 0.75, 24
 BLOCK_BITS, N_BLOCKS = 8, 8
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
 FILTER_BITS = 22
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -188,8 +190,9 @@ class Benchmark:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): an item's best window in each document that has one."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL")
-    n_blocks = max(1, -(-items.count() // ITEMS))
+    items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL").distinct()
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_blocks = max(1, -(-size["n"] // ITEMS), -(-(size["bytes"] or 0) // ITEM_BYTES))
     docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("text IS NOT NULL")
     found = []
     for b in range(n_blocks):

@@ -1,4 +1,4 @@
-"""Rows whose id is, or isn't, in a large set of ids, without moving the rows."""
+"""Rows whose key is, or isn't, in a large set of keys, without moving the rows."""
 
 from __future__ import annotations
 
@@ -6,28 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .line_dedup import index_keys
 
 
-def rows_by_id(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
-    """The rows of docs whose doc_id is in `ids` (one column), or isn't; a null is in no set.
+def rows_by_id(docs: DataFrame, ids: DataFrame, inside: bool, key: Column | None = None) -> DataFrame:
+    """The rows of docs whose key (by default doc_id) is in `ids` (one column), or isn't; a null is in no set.
 
     The ids go into perfect-hash files in the shared folder, which each task probes; neither
     side is shuffled to the other, whatever their sizes.
     """
     name = ids.columns[0]
     index = index_keys(ids.select(F.col(name).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
-    at = docs.columns.index("doc_id")
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                column = batch.column(at)
-                keys = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                column = batch.column(n)
+                keys = column.fill_null(0).to_numpy(zero_copy_only=False)
                 found = index.contains(np.ascontiguousarray(keys)) & column.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(found == inside))
+                yield batch.select(range(n)).filter(pa.array(found == inside))
 
-    return docs.mapInArrow(run, docs.schema)
+    key = F.col("doc_id") if key is None else key
+    return docs.select("*", key.cast("bigint").alias(free_name(docs, "_key"))).mapInArrow(run, docs.schema)

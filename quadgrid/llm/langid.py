@@ -3,12 +3,13 @@
 Document frequencies are counted over every learning document. The classifier is trained by
 follow-the-regularised-leader with per-coordinate steps and L1 and L2 penalties on a bounded,
 stratified sample (about `per_language` documents of each language, chosen by a hash of the
-id); a fifth of the sample is set aside and fits one softmax temperature. Prediction reads
+text); a fifth of the sample is set aside and fits one softmax temperature. Prediction reads
 each whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any
 learning document all texts are `und`; a null doc_id counts as an empty id; repeated rows are
-judged alike; other columns are kept as they are.
+judged alike; other columns are kept as they are, but for those named like the two results,
+which these replace. Rows of equal text count once in the sample, whatever their ids.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, table
+from .common import chunks, free_name, mix, table
 
 BITS = 15
 SIZE = 1 << BITS
 PER_LANGUAGE, EPOCHS = 800, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 UNKNOWN = "und"
+#: Texts whose best language has a lower score are rejected by `accepted`.
+MIN_SCORE = 0.5
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -153,14 +156,14 @@ def train(learn: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOC
     idf = (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)
     if not languages:
         return Model([], idf, np.zeros((SIZE, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    # About per_language documents of each language, by a hash of the id.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    # About per_language documents of each language, by a hash of the text.
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) / float(1 << 31)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, per_language / counts[k])])
-    sample = learn.where(place < share[F.col("lang")]).withColumn("place", place)
+    sample = learn.select("text", "lang").where(place < share[F.col("lang")]).withColumn("place", place).dropDuplicates(["lang", "place"])
     number = {k: i for i, k in enumerate(languages)}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "doc_id", "text"], kind="stable")
+        pdf = pdf.sort_values(["place", "lang", "text"], kind="stable")
         rows = [(*tf_idf(*ngram_features(t), idf), number[k]) for t, k in zip(pdf["text"], pdf["lang"])]
         aside = [r for i, r in enumerate(rows) if i % 5 == 4]
         weights, bias = ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(languages), epochs)
@@ -174,9 +177,9 @@ def train(learn: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOC
     return Model(languages, idf, weights, np.frombuffer(row["bias"], np.float32), row["temperature"])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
-    spark = docs.sparkSession
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns: the predicted language and its score."""
+    spark, docs = docs.sparkSession, docs.drop(*names)
     held = spark.sparkContext.broadcast(model)  # SIZE x languages floats
     at_text = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -187,9 +190,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for piece in chunks(batch):
                 found = [m.predict(t) for t in piece.column(at_text).to_pylist()]
                 extra = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, *names])
 
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(run, schema + f", `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,6 +208,17 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(learning_rows(docs)))
 
 
+def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs whose language is sure enough: texts without a letter go, and those whose
+    language has a calibrated score below min_score. Where nothing can be learnt, texts with a letter stay."""
+    model = train(learning_rows(docs))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = (free_name(docs, "_language"), free_name(docs, "_language_score"))
+    found = predict(docs, model, names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)).drop(*names)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = train(learning_rows(docs))

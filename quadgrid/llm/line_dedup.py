@@ -216,9 +216,10 @@ def build_index(counted: DataFrame, min_docs: int = 1) -> LineIndex:
     return LineIndex(folder, names, n)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the kept text in `text`, and n_lines, n_dropped and kept_sha256 beside it."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, report: bool = True) -> DataFrame:
+    """docs with the kept text in `text`, and n_lines, n_dropped and kept_sha256 beside it if `report`."""
+    if report:
+        docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
     index = build_index(line_counts(docs, min_chars), min_docs)
     names = docs.columns
     at_id, at_text = names.index("doc_id"), names.index("text")
@@ -248,10 +249,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 old = piece.column(at_text).cast(pa.string())
                 columns = list(piece.columns)
                 columns[at_text] = pc.if_else(changed, texts, old)
+                if not report:
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    continue
                 extra = [pa.array(n_lines, pa.int64()), pa.array([len(d) for d in drop], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 yield pa.RecordBatch.from_arrays(columns + extra, names=[*names, "n_lines", "n_dropped", "kept_sha256"])
 
-    return docs.mapInArrow(run, schema + ", n_lines long, n_dropped long, kept_sha256 string")
+    return docs.mapInArrow(run, schema + ", n_lines long, n_dropped long, kept_sha256 string" * report)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def components_near(members: DataFrame) -> DataFrame:
     """
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     stats = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
-    rows = members.join(stats.where("parts > 1"), "key")
+    rows = members.join(cut(stats.where("parts > 1"), "bucket-parts").hint("merge"), "key")
     columns = ("key", "doc_id", "component", "sketch")
     dealt = _in_blocks(rows.select(*columns), rows.where("component <> major").select(*columns), "key", BLOCK)
 
@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     nodes = full.join(marked.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
     bands = nodes.select("doc_id", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    members = cut(bands.join(buckets.hint("merge"), "key"), "buckets")
+    # A table of its own, so that a join's hot key can be split (an aggregate's partition can't be).
+    members = cut(bands.join(cut(buckets, "bucket-ends").hint("merge"), "key"), "buckets")
     sketches = nodes.select("doc_id", "sketch")
     sets = shingle_sets(docs, members.select("doc_id"))
     # Copies set apart above are links too; a doc_id may have several rows and so several sets.
@@ -318,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
         ends = rows.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("component", "doc_id").alias("lo_component"), F.max_by("component", "doc_id").alias("hi_component")
         )
-        return cut(rows.join(ends.where("x < y").drop("x", "y"), "key"), "open-buckets")
+        return cut(rows.join(cut(ends.where("x < y").drop("x", "y"), "open-ends").hint("merge"), "key"), "open-buckets")
 
     pair = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
     go_on("first", members.where(F.col("band") < FIRST_BANDS).where("doc_id <> lo").select(*pair("lo", "doc_id")))

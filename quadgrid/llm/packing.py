@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, table
-from .tokens import encoder
+from .tokens import TextEncoder, id_type
 
 WINDOW, END_ID, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
 _TOKENS = "part int, local_start long, doc_id long, ids binary"
@@ -33,7 +33,7 @@ def encode_partitions(docs: DataFrame, vocabulary: str, end_id: int) -> DataFram
     """Pass one: the ids of each document and where they start in its partition, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, total = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, part, total = TextEncoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             for piece in chunks(batch):
@@ -88,7 +88,7 @@ def cut_windows(tokens: DataFrame, window: int, dtype: str, with_ids: bool = Fal
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     tokens = encode_partitions(docs, vocabulary, end_id)
-    return cut_windows(tokens, window, encoder(vocabulary).dtype.str, with_ids)
+    return cut_windows(tokens, window, id_type(vocabulary).str, with_ids)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import AtomicWriter, chunks, make_dir, open_map, shared_dir, table
-from .tokens import encoder
+from .tokens import TextEncoder, id_type
 
 NO_ID = -(1 << 63)
 
@@ -46,10 +46,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
     make_dir(folder)
-    dtype = encoder(vocabulary).dtype.str
+    dtype = id_type(vocabulary).str
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, out = encoder(vocabulary), TaskContext.get().partitionId(), None
+        enc, part, out = TextEncoder(vocabulary), TaskContext.get().partitionId(), None
         end = np.array([end_id], enc.dtype).tobytes()
         ids, ends, total = [], [], 0
         name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}"

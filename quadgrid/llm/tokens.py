@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces and pre-tokens whose ids a worker remembers.
+#: Pieces and pre-tokens whose ids an encoder remembers, at most; each task has its own encoder.
 PIECES, PRETOKENS = 1_400_000, 600_000
 
 _SPACE_PIECE = re.compile(r" (?=\S)")
@@ -63,9 +63,7 @@ class TextEncoder:
     """ids(text): the little-endian ids of a whole text, as bytes of `dtype`."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), id_type(path)
         state = json.loads(self.tokenizer.to_str())
         pre, norm = state.get("pre_tokenizer") or {}, state.get("normalizer") or {}
         parts = [p.get("type") for p in pre.get("pretokenizers", [])]
@@ -123,11 +121,7 @@ class TextEncoder:
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
-def encoder(path: str) -> TextEncoder:
-    """This worker's encoder of a vocabulary file; what it remembers serves later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+def id_type(path: str) -> np.dtype:
+    """The type that holds every id of a vocabulary."""
+    size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")

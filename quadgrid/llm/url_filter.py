@@ -5,7 +5,8 @@ bits per URL in that block), which lets possible hits pass; an exact hash join o
 with the list removes the false positives. All of it is DataFrame code.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule
-and no list entry, and is allowed; repeated rows are judged alike; extra columns are kept.
+and no list entry, and is allowed; repeated rows are judged alike; extra columns are kept, but for
+those named like a result (host, path, rule, verdict, listed), which these replace.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 
 @dataclass(frozen=True)
@@ -89,43 +90,44 @@ def _block(url: Column, n_blocks: int) -> Column:
 
 
 def bloom_blocks(listed: DataFrame, column: str, n_blocks: int) -> DataFrame:
-    """The filter as rows (block, w0..w3); blocks without URLs are absent."""
-    h = listed.select(_block(F.col(column), n_blocks).alias("block"), F.xxhash64(F.lit(7), F.col(column)).alias("h2"))
-    return h.groupBy("block").agg(*[F.bit_or(_bits(F.col("h2"), w)).alias(f"w{w}") for w in range(4)])
+    """The filter as rows (_block, _w0.._w3); blocks without URLs are absent."""
+    h = listed.select(_block(F.col(column), n_blocks).alias("_block"), F.xxhash64(F.lit(7), F.col(column)).alias("_h"))
+    return h.groupBy("_block").agg(*[F.bit_or(_bits(F.col("_h"), w)).alias(f"_w{w}") for w in range(4)])
 
 
 def url_verdicts(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and listed (boolean).
 
-    listed: one column `canonical` of canonical URLs; repeats and nulls in it don't count.
+    listed: one column `canonical` of canonical URLs; repeats and nulls in it don't count. What a
+    rule decides, and what the filter turns away, gets a key of its own that no list entry has,
+    so that these rows spread over all tasks of a join. Inner names begin with `_url_`.
     """
-    listed = listed.where(F.col("canonical").isNotNull()).select(F.col("canonical").alias("_listed")).distinct()
+    listed = cut(listed.where(F.col("canonical").isNotNull()).select(F.col("canonical").alias("_url_listed")).distinct(), "listed")
     n_blocks = max(1, -(-listed.count() * BITS_PER_URL // 256))
-    blocks = bloom_blocks(listed, "_listed", n_blocks)
-    if n_blocks <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    host, path = url_host(F.col(url)), url_path(F.col(url))
+    blocks = bloom_blocks(listed, "_url_listed", n_blocks)
+    blocks = F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else cut(blocks, "bloom-blocks")
+    inner = {c: F.col(c).alias(f"_url{c}") for c in ("_block", "_w0", "_w1", "_w2", "_w3")}
+    blocks = blocks.select(*inner.values())
+    canonical, spread = F.col("_url_canonical"), F.rand(7)
     judged = (
-        pages.withColumn("host", host)
-        .withColumn("path", path)
-        .withColumn("_rule", longest_rule(rules, F.col("host"), F.col("path")))
-        .withColumn("_canonical", F.when(F.col("_rule").isNull(), canonical_url(F.col(url))))
-        .withColumn("_block", _block(F.col("_canonical"), n_blocks))
-        .withColumn("_h2", F.xxhash64(F.lit(7), F.col("_canonical")))
+        pages.drop("host", "path", "rule", "verdict", "listed")
+        .withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+        .withColumn("_url_rule", longest_rule(rules, F.col("host"), F.col("path")))
+        .withColumn("_url_canonical", F.when(F.col("_url_rule").isNull(), canonical_url(F.col(url))))
+        .withColumn("_url_at", F.when(canonical.isNotNull(), _block(canonical, n_blocks)).otherwise(-1 - F.floor(spread * (1 << 30))))
     )
-    probed = judged.join(blocks, judged["_block"] == blocks["block"], "left")
-    hit = F.col("_canonical").isNotNull() & F.col("block").isNotNull()
+    probed = judged.join(blocks, F.col("_url_at") == F.col("_url_block"), "left")
+    hit = canonical.isNotNull() & F.col("_url_block").isNotNull()
     for w in range(4):
-        mine = _bits(F.col("_h2"), w)
-        hit = hit & (F.col(f"w{w}").bitwiseAND(mine) == mine)
-    # Only possible hits keep the URL as a key; all other rows have null and match nothing.
-    probed = probed.withColumn("_key", F.when(hit, F.col("_canonical"))).drop("block", "w0", "w1", "w2", "w3", "_block", "_h2")
-    sure_miss = probed.where(F.col("_key").isNull()).withColumn("listed", F.lit(False))
-    checked = probed.where(F.col("_key").isNotNull()).join(listed, F.col("_key") == F.col("_listed"), "left")
-    checked = checked.withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
-    out = sure_miss.unionByName(checked)
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_canonical", "_key")
+        mine = _bits(F.xxhash64(F.lit(7), canonical), w)
+        hit = hit & (F.col(f"_url_w{w}").bitwiseAND(mine) == mine)
+    # A canonical URL begins with its host, so none begins with a slash.
+    keyed = probed.withColumn("_url_key", F.when(hit, canonical).otherwise(F.concat(F.lit("/"), spread.cast("string"))))
+    out = keyed.join(listed, F.col("_url_key") == F.col("_url_listed"), "left")
+    is_listed = F.col("_url_listed").isNotNull()
+    verdict = F.coalesce(F.col("_url_rule.verdict"), F.when(is_listed, F.lit("block")).otherwise(F.lit("allow")))
+    out = out.withColumns({"rule": F.col("_url_rule.rule"), "verdict": verdict, "listed": is_listed})
+    return out.drop(*[c for c in out.columns if c.startswith("_url_")])
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,29 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quadgrid.llm import url_filter, warc
+from quadgrid.llm import decontaminate, langid, url_filter, warc
 from quadgrid.llm.common import cut
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_url_rules_and_list(spark):
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def test_url_rules_and_list(spark, monkeypatch):
     urls = [
         "http://a.COM/en/x",
         "http://a.example.com/en/7?q",
@@ -31,13 +42,19 @@ def test_url_rules_and_list(spark):
         "x://",
         "http://h\n.io/p",
     ]
-    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, block int")
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, block int").withColumns({"w0": F.lit(1), "_block": F.lit(2), "host": F.lit("own"), "listed": F.lit(3)})
     listed = spark.createDataFrame([("listed.io/a",), ("listed.io/a",), (None,)], "canonical string")
-    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages.drop("block"), listed).collect()}
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, listed).collect()}
     assert [got[i][1] for i in range(6)] == ["com/en/", "example.com/en/7", "example.net/de/8", "net/de/", "org/es/", None]
     assert [got[i][2] for i in range(len(urls))] == ["block", "allow", "block", "allow", "block", "allow", "block", "block"] + ["allow"] * 6
     assert got[9][0] == got[11][0] == ""
-    assert url_filter.url_verdicts(pages.drop("block").limit(0), listed.limit(0)).count() == 0
+    out = url_filter.url_verdicts(pages, listed)
+    assert sorted(out.columns) == ["_block", "block", "host", "listed", "page_id", "path", "rule", "url", "verdict", "w0"]
+    assert out.where("block = 1 AND w0 = 1 AND _block = 2").count() == len(urls)
+    assert url_filter.url_verdicts(pages.limit(0), listed.limit(0)).count() == 0
+    # A filter too large to broadcast gives the same.
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(repr, url_filter.url_verdicts(pages, listed).collect())) == sorted(map(repr, out.collect()))
 
 
 def test_bloom_filter_loses_nothing(spark):
@@ -80,18 +97,105 @@ def test_loser_tree(k):
     assert [x for _, x in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
 
 
+def brute_lines(rows):
+    key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    where = defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        for k in {key(x) for x in t.split("\n")}:
+            if len(k) >= 40:
+                where[k].append(-1 if d is None else d)
+    keep = lambda d, x: len(where[key(x)]) < 5 or max(where[key(x)]) == (-1 if d is None else d)
+    return [(d, "\n".join(x for x in t.split("\n") if keep(d, x))) for d, t in rows]
+
+
+def grams(words):
+    return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def brute_near(rows):
+    """Rows left when each component of ids keeps its smallest id, and equal rows one."""
+    sets = defaultdict(list)
+    for d, t in rows:
+        if d is not None:
+            sets[d].append(set(grams(re.findall(r"[^\x20\x09-\x0D]+", lower(t)))))
+    root = {d: d for d in sets}
+    for _ in range(20):
+        for a, b in combinations(sorted(sets), 2):
+            if any(x and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    return [r for r in rows if r[0] is None] + sorted({r for r in rows if r[0] is not None and root[r[0]] == r[0]})
+
+
+def brute_clean(rows, items):
+    W = lambda t: decontaminate._WORD.findall(t.lower())
+    out = []
+    for d, t in rows:
+        w = W(t)
+        every = grams(w)
+        for item in filter(None, map(W, items)):
+            n = min(len(item), len(w))
+            a = grams(item)
+            if min(len(item), n) >= 5 and not a.keys() & every.keys():
+                continue
+            if any((a & b).total() >= 0.75 * (a | b).total() for k in range(len(w) - n + 1) if n and (b := grams(w[k : k + n]))):
+                break
+        else:
+            out.append((d, t))
+    return out
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    """Every stage on the rows that the one before kept, with awkward rows and clashing columns."""
+    texts = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 70").select("doc_id", "text").collect()]
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rng = random.Random(7)
+    line = "A common line that is long enough to count as one of those that repeat "
+    extra = [None, "", "  ", "12 34 !?", "z" * 300, texts[0][1], texts[0][1] + " and so on", items[0], items[1] + " tail", *(f"{line}\n{texts[i][1][:300]}" for i in range(20, 27))]
+    rows = texts + [(1000 + i, t) for i, t in enumerate(extra)] + [(None, items[2]), (None, texts[5][1]), (1005, texts[9][1] + " other"), (1005, texts[0][1])]
+    rng.shuffle(rows)
+    lang = dict(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect())
+    clash = "score double, lang_pred int, n_lines int, _key int, key int, band int, component int, h1 int, spans int"
+    df = spark.createDataFrame([(d, t, lang.get(d), "s", len(t or ""), *[0.5, 1, 2, 3, 4, 5, 6, 7, 8]) for d, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}").repartition(3)
+    names = df.columns
+    model = langid.train(langid.learning_rows(df))
+    sure = lambda t: (p := model.predict(t))[0] != langid.UNKNOWN and p[1] >= langid.MIN_SCORE
+    order = lambda rs: sorted(map(tuple, rs), key=repr)
+    brute = {
+        "language_id": lambda rs: [r for r in rs if sure(r[1])],
+        "line_dedup": brute_lines,
+        "near_dedup": brute_near,
+        "decontaminate": lambda rs: brute_clean(rs, items),
+    }
+    held = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = cut(stage(spark, df, DATA), f"test-{name}")
+        assert df.columns == names
+        want, held = brute[name](held), [(r["doc_id"], r["text"]) for r in df.collect()]
+        assert order(held) == order(want), name
+        assert df.where("n_chars <> length(text) OR _key <> 3 OR score <> 0.5").count() == 0
+    assert 50 <= len(held) < len(rows) - 12 and (None, texts[5][1]) in held and (None, items[2]) not in held
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, DATA).collect()
+    got = defaultdict(list)
+    for p in pieces:
+        got[p["sequence_id"]].append(p)
+    flat = [p for s in sorted(got) for p in sorted(got[s], key=lambda p: p["offset"])]
+    ids = [x for p in flat for x in np.frombuffer(p["ids"], "<u2").tolist()]
+    docs, at = [], 0
+    for i, x in enumerate(ids):
+        if x == 0:
+            docs.append(tuple(ids[at:i]))
+            at = i + 1
+    assert at == len(ids) and sorted(docs) == sorted(tuple(tok.encode(t, add_special_tokens=False).ids) for _, t in held)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    before = docs.columns
-    counts = []
-    for name, stage in corpus_pipeline.STAGES:
-        docs = cut(stage(spark, docs, DATA), f"test-{name}")
-        counts.append(docs.count())
-        if name != "packing":
-            assert docs.columns == before
+    kept = corpus_pipeline.language_id(spark, docs, DATA)
     n = duckdb.sql(f"SELECT count(*) FROM '{DATA}/documents.parquet' WHERE regexp_matches(text, '\\p{{L}}')").fetchall()[0][0]
-    assert counts[0] == counts[1] == n > counts[2] > counts[3] > 0.7 * n
-    assert docs.select("doc_id").distinct().count() == counts[3]
+    assert kept.count() >= 0.99 * n
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, DATA).count() == n
 
 
 def test_pipeline_keeps_one_of_equal_rows(spark):

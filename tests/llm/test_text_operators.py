@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quadgrid.llm import decontaminate, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_files
@@ -223,13 +224,75 @@ def test_langid_held_out_accuracy(spark):
 
 
 def test_langid_edges(spark, docs, nothing):
-    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(docs.withColumns({"score": F.lit("own"), "lang_pred": F.lit(1)})).collect()}
     assert [got[1000 + i]["lang_pred"] for i in (0, 1, 2, 9)] == ["und"] * 4
     assert langid.identify(nothing).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[-2:] for r in langid.identify(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_langid_model_by_hand(spark):
+    """Document frequencies, FTRL weights and temperature against plain loops; equal texts count once in the sample."""
+    rng = random.Random(11)
+    word = {"a": "abcde", "b": "defgh", "c": "xyzab"}
+    text = lambda k: " ".join("".join(rng.choice(word[k]) for _ in range(rng.randint(2, 6))) for _ in range(12))
+    rows = [(i, text(k), k) for i, k in enumerate("abc" * 20)] + [(None, "aaa bbb abc cab", "a")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df, epochs=2)
+    feats = {t: dict(zip(*(x.tolist() for x in langid.ngram_features(t)))) for _, t, _ in rows}
+    n_df = Counter(f for _, t, _ in rows for f in feats[t])
+    idf = lambda f: np.log((1 + len(rows)) / (1 + n_df[f])) + 1
+    assert all(abs(model.idf[f] - idf(f)) < 1e-5 for f in list(n_df)[:200])
+    grams_of = lambda t: Counter(g for n in (2, 3) for i in range(len(t) - n + 1) if (g := t[i : i + n]))
+    assert sorted(feats[rows[0][1]].values()) == sorted(grams_of(" " + rows[0][1] + " ").values())
+    place = {r["text"]: r["p"] for r in df.select("text", (F.pmod(F.xxhash64("text"), F.lit(1 << 31)) / float(1 << 31)).alias("p")).distinct().collect()}
+    sample = sorted({(place[t], k, t) for _, t, k in rows})  # every text: the share of each language is above 1, or it holds the repeated one
+    sample = [x for x in sample if x[0] < langid.PER_LANGUAGE / sum(k == x[1] for *_, k in rows)]
+    z, n = defaultdict(lambda: [0.0] * 3), defaultdict(lambda: [0.0] * 3)
+
+    def weight(f, c):
+        if abs(z[f][c]) <= langid.L1:
+            return 0.0
+        return -(z[f][c] - np.sign(z[f][c]) * langid.L1) / ((langid.BETA + n[f][c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    def vector(t):
+        v = {f: (1 + np.log(k)) * float(model.idf[f]) for f, k in feats[t].items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {f: x / size for f, x in v.items()}
+
+    def logits(t):
+        return np.array([sum(x * weight(f, c) for f, x in vector(t).items()) + weight("bias", c) for c in range(3)])
+
+    for _ in range(2):
+        for i, (_, k, t) in enumerate(sample):
+            if i % 5 == 4:
+                continue
+            v, w = vector(t) | {"bias": 1.0}, {}
+            w = {f: [weight(f, c) for c in range(3)] for f in v}
+            x = np.array([sum(v[f] * w[f][c] for f in v) for c in range(3)])
+            p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            for f in v:
+                for c in range(3):
+                    g = v[f] * (p[c] - (c == "abc".index(k)))
+                    z[f][c] += g - ((n[f][c] + g * g) ** 0.5 - n[f][c] ** 0.5) / langid.ALPHA * w[f][c]
+                    n[f][c] += g * g
+    for f in [*list(n_df)[:300]]:
+        assert model.weights[f].tolist() == pytest.approx([weight(f, c) for c in range(3)], abs=1e-5)
+    aside = [x for i, x in enumerate(sample) if i % 5 == 4]
+
+    def loss(temperature):
+        out = 0
+        for _, k, t in aside:
+            x = logits(t) / temperature
+            q = np.full(3, 1 / (len(aside) + 2) / 2)
+            q["abc".index(k)] = 1 - 1 / (len(aside) + 2)
+            out += (np.log(np.exp(x - x.max()).sum()) + x.max()) - q @ x
+        return out
+
+    assert loss(model.temperature) <= min(loss(model.temperature * s) for s in (0.8, 0.95, 1.05, 1.25)) + 1e-9
+    assert model.predict(rows[1][1])[0] == "b"
+
+
 # --- tokens and packing ----------------------------------------------------------------------
 
 
@@ -346,7 +409,7 @@ def test_line_dedup(spark, nothing):
         for line in (t or "").split("\n"):
             if len(key(line)) >= 40:
                 where[key(line)].add(d)
-    df = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, h1 int")
+    df = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, h1 int").withColumn("n_lines", F.lit("own"))
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -357,6 +420,31 @@ def test_line_dedup(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows are documents: equal ids share the kept copy, a null ranks below all; as the SQL says."""
+    line = ["The first of the lines that are long enough to count here", "Another of the lines that are long enough to count here too"]
+    rows = [(1, line[0])] * 3 + [(2, line[0]), (2, f"{line[0]}\n{line[1]}"), (None, line[1]), (None, line[1]), (None, line[1]), (None, line[1]), (3, "short")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"})
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(line_dedup.SQL["op9_line_dedup"]).fetchall()))
+    assert sum(r["n_dropped"] for r in got) == 3 + 4
+
+
+def test_shard_of_equal_first_halves(tmp_path):
+    """Hashes that share a half, counts below and above the limit, and absent keys."""
+    rng = np.random.default_rng(1)
+    h1, h2 = (rng.integers(0, 1 << 63, 3000, dtype=np.uint64) for _ in range(2))
+    h1[:50] = h1[50:100]
+    n, keep = rng.integers(1, 9, 3000).astype(np.uint64), rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    (tmp_path / "s").write_bytes(line_dedup.shard_bytes(h1[:2000], h2[:2000], n[:2000], keep[:2000], 5))
+    count, kept = line_dedup.Shard(str(tmp_path / "s")).probe(h1, h2)
+    assert count[:2000].tolist() == n[:2000].tolist() and not count[2000:].any()
+    often = n[:2000] >= 5
+    assert kept[:2000][often].tolist() == keep[:2000][often].tolist()
+
+
 def test_key_index(spark):
     rng = random.Random(3)
     keys = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(5000)})
