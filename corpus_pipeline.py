@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on every row it is given; all but the last
-return the columns of `documents`. Null or letterless texts go in the first stage; an empty
-table passes through all of them and packs to no pieces.
+return the columns of `documents`, whatever further columns docs has. Null or letterless texts
+go in the first stage, as do those whose language is in doubt; rows without doc_id take part in
+all stages, but have no near duplicates; an empty table passes through all stages and packs to
+no pieces.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from quadgrid.llm.id_filter import rows_by_id
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
-    return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Documents without a letter go, and those whose predicted language has a calibrated score
+    below `langid.MIN_SCORE`."""
+    return langid.accepted(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go from all texts but one; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, report=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -43,9 +46,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = bench.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return rows_by_id(docs, found.select("doc_id"), inside=False)
+    """Documents that hold a benchmark item go. Rows are named by a hash of id and text, so that
+    one without doc_id, or that shares it with a clean one, is judged by itself."""
+    row = F.xxhash64("doc_id", "text")
+    found = bench.contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return rows_by_id(docs, found.select("doc_id"), inside=False, key=row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-ORACLE_SQL = None  # no stage but line dedup can be said in SQL; tests compare with brute force
+ORACLE_SQL = None  # no stage but line dedup can be said in SQL; a test compares each stage with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
