@@ -1,17 +1,22 @@
 """WARC archives with payload deduplication, and one global index of their captures.
 
-Each task writes one archive (a gzip member for each record) and, with it, a run of index
-entries sorted by URL key and timestamp. Merging the runs is external: the entries are dealt
-out in ranges of the key, and in each range a tree of losers merges the runs' slices, so that
-the ranges one after another are the capture history in global order.
+Each task writes one archive (a gzip member for each record) and runs: files of up to
+`run_entries` index entries, sorted by URL key and timestamp. Merging is external: while there
+are more than FAN_IN runs, groups of them are merged to longer runs; the last ones are merged
+in ranges of the key, each by a task that streams every run's entries from the range's start
+on. A tree of losers picks the next entry; of each run one batch of BATCH entries is in memory.
+The ranges one after another are the capture history in global order.
 
 Of records with equal payloads of at least `min_bytes` the one with the largest page_id is
-the response, the others are revisits of it. A revisit has the HTTP header of the whole
-payload (its Content-Length) but no payload.
+the response, the others are revisits of it. Payloads stay where they lie: the digests that
+occur twice go into an index that the writing tasks probe. A revisit has the HTTP header of
+the whole payload (its Content-Length) but no payload.
 
 Defined results: null html is an empty payload; a null URL has an empty key and target; of
 rows with equal payload and page_id each is a response if the id is the largest; rows
-without page_id are revisits where any row with the same payload has one, else responses.
+without page_id are revisits where any row with the same payload has one, else responses;
+captures that tie in key, time and id come in the order of their archives' names and places;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,17 +26,26 @@ import datetime
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice, takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicWriter, cut, encode, filesystem, make_dir, shared_dir, table
+from .common import AtomicWriter, arrow_map, chunks, cut, encode, filesystem, make_dir, shared_dir, table
+from .line_dedup import LineIndex, build_index
 
 EPOCH = datetime.datetime(2024, 1, 1)
-_RUN = "urlkey string, ts long, page_id long, run long, file string, at long, length long"
+NO_ID = -(1 << 63)
+RUN_ENTRIES, BATCH, FAN_IN, SAMPLES = 50_000, 512, 256, 256
+RANGE_ENTRIES, MAX_RANGES = 100_000, 4096
+_ENTRY = "urlkey string, ts long, page_id long, file string, at long, length long"
+_ENTRY_TYPES = pa.schema([("urlkey", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
+_RUN = "run string, n long, keys array<struct<urlkey: string, ts: bigint, page_id: bigint>>, file string, folder string"
+_RUN_TYPES = pa.schema([("run", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.struct(list(_ENTRY_TYPES)[:3]))), ("file", pa.string()), ("folder", pa.string())])
 
 
 def url_key(url: str | None) -> str:
@@ -87,68 +101,112 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def with_payload_groups(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages with `digest` (20 bytes) and `refers_to` (null for responses)."""
+def repeated_payloads(pages: DataFrame, min_bytes: int = 0) -> LineIndex:
+    """The index of digests that several pages have, by 128 of their bits, with the largest page_id of each."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.withColumn("digest", F.unhex(F.sha1(payload))).withColumn("_large", F.octet_length(payload) >= min_bytes)
-    # Only payloads that occur twice or more take part in the join; Spark splits a hot one.
-    groups = (
-        pages.where("_large").groupBy("digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    )
-    joined = pages.join(groups, "digest", "left")
-    other = F.col("_large") & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_first", "_large")
-
-
-def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Write pages (page_id, url, html) and return the index runs, as a table."""
+    digests = pages.where(F.octet_length(payload) >= min_bytes).select("page_id", F.unhex(F.sha1(payload)).alias("digest"))
+    groups = digests.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n_docs")).where("n_docs > 1 AND keep_id IS NOT NULL")
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _halves(batch.column(0).to_pylist()).view("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(2), batch.column(1)], names=["h1", "h2", "n_docs", "keep_id"])
+
+    return build_index(arrow_map(groups, halves, "h1 long, h2 long, n_docs long, keep_id long"))
+
+
+def _halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:16] for d in digests), "<u8").reshape(-1, 2)
+
+
+def write_run(folder: str, entries: Iterator[tuple], n: int) -> tuple[str, int, list[dict]]:
+    """Write n sorted entries as a run; returns its name, n and evenly spaced keys."""
+    name, keys, step = f"run-{uuid.uuid4().hex}", [], max(1, n // SAMPLES)
+    out = AtomicWriter(f"{folder}/{name}")
+    with pa.ipc.new_file(out.out, _ENTRY_TYPES) as writer:
+        for at in range(0, n, BATCH):
+            part = list(islice(entries, BATCH))
+            writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part), _ENTRY_TYPES)], schema=_ENTRY_TYPES))
+            keys += [dict(zip(("urlkey", "ts", "page_id"), e)) for i, e in enumerate(part, at) if i % step == 0]
+    out.commit()
+    return name, n, keys
+
+
+def read_run(uri: str, low: tuple | None = None) -> Iterator[tuple]:
+    """The entries of a run in order, from the first that isn't below `low` on, a batch at a time."""
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as f:
+        reader = pa.ipc.open_file(f)
+        batch = lambda i: list(zip(*(c.to_pylist() for c in reader.get_batch(i).columns)))
+        first = 0
+        if low is not None:  # the last batch that begins below low
+            lo, hi = 0, reader.num_record_batches
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if batch(mid)[0][:3] < low else (lo, mid)
+            first = max(0, lo - 1)
+        for i in range(first, reader.num_record_batches):
+            for entry in batch(i):
+                if low is None or entry[:3] >= low:
+                    yield entry
+
+
+def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, run_entries: int = RUN_ENTRIES) -> DataFrame:
+    """Write pages (page_id, url, html) where they lie and return the runs (run, n, keys, file, folder), as a table."""
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
     make_dir(folder)
-    source = with_payload_groups(pages.select(F.col("page_id").cast("bigint"), "url", "html"), min_bytes)
+    pages = pages.select(F.col("page_id").cast("bigint"), "url", "html")
+    repeated = repeated_payloads(pages, min_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"captures-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz"
-        out, run = None, []
+        out, entries, runs = None, [], []
+
+        def flush() -> None:
+            entries.sort()
+            runs.append((*write_run(folder, iter(entries), len(entries)), name, folder))
+            entries.clear()
+
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                out = out or AtomicWriter(f"{folder}/{name}")
-                ts = (page_id or 0) % (1 << 31)  # the pages have no capture time of their own
-                packer = zlib.compressobj(1, wbits=31)
-                data = packer.compress(record(page_id, url, encode(html), digest, refers_to, ts)) + packer.flush()
-                run.append((url_key(url), ts, page_id, out.size, len(data)))
-                out.write(data)
+            for piece in chunks(batch, "html"):
+                ids, urls = (piece.column(i).to_pylist() for i in (0, 1))
+                payloads = [encode(x) for x in piece.column(2).to_pylist()]
+                digests = [hashlib.sha1(x).digest() for x in payloads]
+                copies, keep = repeated.probe(_halves(digests))
+                for page_id, url, payload, digest, n, last in zip(ids, urls, payloads, digests, copies.tolist(), keep.tolist()):
+                    out = out or AtomicWriter(f"{folder}/{name}")
+                    refers_to = last if n and len(payload) >= min_bytes and page_id != last else None
+                    ts = (page_id or 0) % (1 << 31)  # the pages have no capture time of their own
+                    packer = zlib.compressobj(1, wbits=31)
+                    data = packer.compress(record(page_id, url, payload, digest, refers_to, ts)) + packer.flush()
+                    entries.append((url_key(url), ts, NO_ID if page_id is None else page_id, name, out.size, len(data)))
+                    out.write(data)
+                    if len(entries) == run_entries:
+                        flush()
         if out is None:
             return
+        if entries:
+            flush()
         out.commit()
-        run.sort(key=lambda e: (e[0], e[1], -1 << 63 if e[2] is None else e[2]))
-        part = TaskContext.get().partitionId()
-        for i in range(0, len(run), 10_000):
-            key, ts, ids, at, length = zip(*run[i : i + 10_000])
-            n = len(key)
-            yield pa.RecordBatch.from_pydict(
-                {"urlkey": pa.array(key), "ts": pa.array(ts, pa.int64()), "page_id": pa.array(ids, pa.int64()), "run": pa.array([part] * n, pa.int64()),
-                 "file": pa.array([name] * n), "at": pa.array(at, pa.int64()), "length": pa.array(length, pa.int64())}
-            )
+        yield pa.RecordBatch.from_pylist([dict(zip(("run", "n", "keys", "file", "folder"), r)) for r in runs], _RUN_TYPES)
 
-    runs = source.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, _RUN)
-    return cut(runs.withColumn("folder", F.lit(folder)), "capture-runs")
+    return cut(arrow_map(pages, write, _RUN), "capture-runs")
 
 
 class LoserTree:
-    """Merges sorted lists: an inner node keeps the loser of its match, the winner is on top."""
-
-    def __init__(self, lists: list[list]):
-        self.lists, self.k = lists, max(1, len(lists))
-        self.at, self.tree = [0] * self.k, [-1] * self.k
-        for i in range(len(lists)):
+    """Merges sorted iterables: an inner node keeps the loser of its match, the winner is on top."""
+
+    def __init__(self, runs: Iterable[Iterable]):
+        self.runs = [iter(r) for r in runs]
+        self.heads = [next(r, None) for r in self.runs]
+        self.k = max(1, len(self.runs))
+        self.tree = [-1] * self.k
+        for i in range(len(self.runs)):
             self._play(i)
 
-    def _head(self, i: int):
-        return self.lists[i][self.at[i]] if self.at[i] < len(self.lists[i]) else None
-
     def _beats(self, i: int, j: int) -> bool:
-        a, b = self._head(i), self._head(j)
+        a, b = self.heads[i], self.heads[j]
         return b is None and (a is not None or i < j) or a is not None and b is not None and (a, i) < (b, j)
 
     def _play(self, i: int) -> None:
@@ -163,58 +221,77 @@ class LoserTree:
         self.tree[0] = i
 
     def __iter__(self):
-        while self.lists:
+        while self.runs:
             i = self.tree[0]
-            if (head := self._head(i)) is None:
+            if (head := self.heads[i]) is None:
                 return
             yield i, head
-            self.at[i] += 1
-            self._replay(i)
-
-    def _replay(self, i: int) -> None:
-        node = (i + self.k) // 2
-        while node > 0:
-            if self._beats(self.tree[node], i):
-                self.tree[node], i = i, self.tree[node]
-            node //= 2
-        self.tree[0] = i
-
-
-def merge_runs(runs: DataFrame) -> DataFrame:
+            self.heads[i] = next(self.runs[i], None)
+            node = (i + self.k) // 2
+            while node > 0:
+                if self._beats(self.tree[node], i):
+                    self.tree[node], i = i, self.tree[node]
+                node //= 2
+            self.tree[0] = i
+
+
+def fewer_runs(runs: DataFrame, fan_in: int) -> DataFrame:
+    """Runs merged in groups of about fan_in until there are no more than that."""
+    while (n := runs.count()) > fan_in:
+        group = F.pmod(F.xxhash64("run"), F.lit(-(-n // fan_in)))
+        grouped = runs.groupBy(group.alias("g")).agg(F.collect_list(F.struct("run", "n")).alias("runs"), F.first("folder").alias("folder"))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    folder = row["folder"]
+                    merged = (e for _, e in LoserTree(read_run(f"{folder}/{r['run']}") for r in row["runs"]))
+                    made = (*write_run(folder, merged, sum(r["n"] for r in row["runs"])), "", folder)
+                    yield pa.RecordBatch.from_pylist([dict(zip(("run", "n", "keys", "file", "folder"), made))], _RUN_TYPES)
+
+        runs = cut(arrow_map(grouped, merge, _RUN), "merged-runs")
+    return runs
+
+
+def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """The runs' entries in one global order of (urlkey, ts, page_id), as a table with index_pos."""
-    n = max(8, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = [f.name for f in runs.schema]
-    # A run's entries reach a range in the run's order; sorting by run lays the slices apart.
-    dealt = runs.repartitionByRange(n, "urlkey", "ts", "page_id").sortWithinPartitions("run", "urlkey", "ts", "page_id")
+    spark = runs.sparkSession
+    last = fewer_runs(runs, fan_in).collect()  # at most fan_in runs with SAMPLES keys or so each
+    places = [f"{r['folder']}/{r['run']}" for r in sorted(last, key=lambda r: r["run"])]
+    weighed = sorted((tuple(k), r["n"] / len(r["keys"])) for r in last for k in r["keys"])
+    total = sum(r["n"] for r in last)
+    n_ranges = min(MAX_RANGES, max(1, -(-total // range_entries)))
+    bounds, at = [], 0.0
+    for key, weight in weighed:
+        if at >= (len(bounds) + 1) * total / n_ranges and (not bounds or key > bounds[-1]):
+            bounds.append(key)
+        at += weight
+    ranges = [(i, *(lo or (None,) * 3), *(hi or (None,) * 3)) for i, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None]))]
+    schema = "range long, k1 string, k2 long, k3 long, e1 string, e2 long, e3 long"
+    dealt = spark.createDataFrame(ranges, schema).repartition(len(ranges), "range")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        if not held.num_rows:
-            return
-        run_of = held.column("run").to_pylist()
-        keys = list(zip(held.column("urlkey").to_pylist(), held.column("ts").to_pylist(), [-1 << 63 if p is None else p for p in held.column("page_id").to_pylist()], range(held.num_rows)))
-        slices, start = [], 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or run_of[i] != run_of[start]:
-                slices.append(keys[start:i])
-                start = i
-        order = [entry[3] for _, entry in LoserTree(slices)]
-        merged = held.take(pa.array(order)).combine_chunks()
-        part = TaskContext.get().partitionId()
-        extra = {"range": pa.array([part] * len(order), pa.int64()), "range_pos": pa.array(range(len(order)), pa.int64())}
-        for k, v in extra.items():
-            merged = merged.append_column(k, v)
-        yield from merged.to_batches()
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
-    merged = cut(dealt.mapInArrow(merge, schema + ", range long, range_pos long"), "capture-index")
+        for batch in batches:
+            for i, *ends in zip(*(c.to_pylist() for c in batch.columns)):
+                low, high = (None if e[0] is None else tuple(e) for e in (ends[:3], ends[3:]))
+                tree = (e for _, e in LoserTree(read_run(p, low) for p in places))
+                wanted = takewhile(lambda e: high is None or e[:3] < high, tree)  # noqa: B023
+                at = 0
+                while part := list(islice(wanted, 4096)):
+                    columns = [pa.array(c, t.type) for c, t in zip(zip(*part), _ENTRY_TYPES)]
+                    ids = np.array([e[2] for e in part], np.int64)
+                    columns[2] = pa.array(ids, mask=ids == NO_ID)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([i] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int64())], names=[*_ENTRY_TYPES.names, "range", "range_pos"])
+                    at += len(part)
+
+    merged = cut(arrow_map(dealt, merge, _ENTRY + ", range long, range_pos long"), "capture-index")
     # One count for each range; their prefix sums give the ranges' places.
     bases, at = [], 0
     for row in sorted(merged.groupBy("range").count().collect(), key=lambda r: r["range"]):
         bases.append((row["range"], at))
         at += row["count"]
-    base = merged.sparkSession.createDataFrame(bases or [(-1, 0)], "range long, base long")
-    return merged.join(F.broadcast(base), "range").withColumn("index_pos", F.col("base") + F.col("range_pos")).select(*names, "index_pos")
+    base = spark.createDataFrame(bases or [(-1, 0)], "range long, base long")
+    return merged.join(F.broadcast(base), "range").withColumn("index_pos", F.col("base") + F.col("range_pos")).select(*_ENTRY_TYPES.names, "index_pos")
 
 
 def read_archives(runs: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -230,39 +307,38 @@ def read_archives(runs: DataFrame, with_payload: bool = False) -> DataFrame:
             for folder, file in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, path = filesystem(f"{folder}/{file}")
                 with fs.open_input_stream(path, compression=None) as f:
-                    rows, left, seen = [], b"", 0
-                    while True:
-                        more = f.read(4 << 20)
-                        left += more
-                        found, used = _whole_records(left)
-                        rows += [parse_record(r) | {"file": file, "at": seen + i} for i, r in found]
-                        left, seen = left[used:], seen + used
-                        if rows:
+                    rows, size = [], 0
+                    for at, raw in members(f):
+                        rows.append(parse_record(raw) | {"file": file, "at": at})
+                        size += len(raw)
+                        if size > 4 << 20:
                             yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], types[t]) for k, t in kinds.items()})
-                            rows = []
-                        if not more:
-                            break
-                    if left:
-                        raise ValueError(f"{file} ends within a record")
+                            rows, size = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], types[t]) for k, t in kinds.items()})
 
     dealt = files.repartition(max(8, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return dealt.mapInArrow(read, ", ".join(f"{k} {t}" for k, t in kinds.items()))
-
-
-def _whole_records(data: bytes) -> tuple[list[tuple[int, bytes]], int]:
-    """The whole members of data with where they start, unpacked, and how much they take up."""
-    found, view, at = [], memoryview(data), 0
-    while at < len(data):
-        member, parts, pos = zlib.decompressobj(31), [], at
-        while not member.eof and pos < len(data):
-            step = view[pos : pos + (1 << 16)]
-            parts.append(member.decompress(step))
-            pos += len(step)
-        if not member.eof:
-            break
-        found.append((at, b"".join(parts)))
-        at = pos - len(member.unused_data)
-    return found, at
+    return arrow_map(dealt, read, ", ".join(f"{k} {t}" for k, t in kinds.items()))
+
+
+def members(stream, read: int = 4 << 20, step: int = 1 << 15) -> Iterator[tuple[int, bytes]]:
+    """Where each gzip member of a stream starts, and what it holds; every byte is inflated once."""
+    at, start, member, parts = 0, 0, None, []
+    while data := stream.read(read):
+        for i in range(0, len(data), step):
+            piece = data[i : i + step]
+            while piece:
+                if member is None:
+                    member, start, parts = zlib.decompressobj(31), at, []
+                parts.append(member.decompress(piece))
+                rest = member.unused_data
+                at += len(piece) - len(rest)
+                if member.eof:
+                    yield start, b"".join(parts)
+                    member = None
+                piece = rest
+    if member is not None:
+        raise ValueError("an archive ends within a record")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

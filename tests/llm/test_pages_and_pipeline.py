@@ -1,7 +1,9 @@
 """URL verdicts, archives and the whole pipeline."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 from collections import Counter, defaultdict
@@ -84,6 +86,31 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+@pytest.mark.parametrize("fan_in, range_entries", [(256, 100_000), (3, 70), (2, 1)])
+def test_index_merge(spark, fan_in, range_entries):
+    """Many runs with ties, merged in several passes and ranges, give one order."""
+    rng = random.Random(fan_in)
+    rows = [(rng.choice([None, *range(900)]), rng.choice([None, "http://b.a/x", "http://c.a/", f"http://h{rng.randrange(99)}.a/p"]), "p" * rng.randrange(3)) for _ in range(1300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    runs = warc.write_archives(df, run_entries=60)
+    assert runs.count() >= 20 and warc.fewer_runs(runs, fan_in).count() <= fan_in
+    got = sorted(warc.merge_runs(runs, fan_in, range_entries).collect(), key=lambda r: r["index_pos"])
+    assert [r["index_pos"] for r in got] == list(range(len(rows)))
+    key = lambda r: (r["urlkey"], r["ts"], -1 if r["page_id"] is None else r["page_id"], r["file"], r["at"])
+    assert list(map(key, got)) == sorted(map(key, got))
+    assert Counter((r["urlkey"], r["page_id"]) for r in got) == Counter((warc.url_key(u), i) for i, u, _ in rows)
+
+
+def test_members_of_a_stream():
+    parts = [random.Random(i).randbytes(n) for i, n in enumerate([0, 1, 70_000, 5, 300_000, 40])]
+    packed = [gzip.compress(p) for p in parts]
+    for read, step in ((4 << 20, 1 << 15), (1000, 7), (33, 64)):
+        found = list(warc.members(io.BytesIO(b"".join(packed)), read, step))
+        assert [raw for _, raw in found] == parts and [at for at, _ in found] == [sum(map(len, packed[:i])) for i in range(len(parts))]
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(packed[2][:-9])))
+
+
 def test_repeated_page_rows(spark):
     df = spark.createDataFrame([(1, "http://a/", "p"), (1, "http://a/", "p"), (2, "http://a/", "p"), (None, None, "q")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(df)).collect())
