@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -50,11 +51,26 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, with batches bounded by their bytes, as texts may be long (a session's own bound stays)."""
+    """df.mapInArrow, with batches bounded by their bytes, as texts may be long (a session's own
+    bound stays), and with what a task has freed given back, since its worker serves others after it."""
     conf = df.sparkSession.conf
     if BATCH_CONF not in conf.getAll:
         conf.set(BATCH_CONF, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's, and the C library's where it can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

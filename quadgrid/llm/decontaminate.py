@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, shingle_hashes, table
+from .common import arrow_map, chunks, mix, shingle_hashes, table
 
 SIZE, LEAST, RADIUS = 5, 0.75, 24
 BLOCK_BITS, N_BLOCKS = 8, 8
@@ -216,7 +216,7 @@ def _scan(docs: DataFrame, held) -> DataFrame:
                         {"doc_id": pa.array(doc, pa.int64()), "item_id": pa.array(item, pa.int64()), "start_word": pa.array(start, pa.int64()), "n_words": pa.array(n, pa.int64()), "similarity": pa.array(s, pa.float64())}
                     )
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, similarity double")
+    return arrow_map(docs, run, "doc_id long, item_id long, start_word long, n_words long, similarity double")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

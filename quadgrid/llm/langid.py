@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, free_name, mix, table
+from .common import arrow_map, chunks, free_name, mix, table
 
 BITS = 15
 SIZE = 1 << BITS
@@ -94,7 +94,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             at = np.flatnonzero(df)
             yield pa.RecordBatch.from_pydict({"feature": pa.array(at, pa.int64()), "df": pa.array(df[at])})
 
-    counted = docs.select("text").mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
+    counted = arrow_map(docs.select("text"), run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
     out = np.zeros(SIZE + 1, np.int64)
     for row in counted.collect():  # at most SIZE + 1 sums
         out[row["feature"]] = row["df"]
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
                 extra = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, *names])
 
-    return docs.mapInArrow(run, schema + f", `{names[0]}` string, `{names[1]}` double")
+    return arrow_map(docs, run, schema + f", `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(doc_id: Column) -> Column:

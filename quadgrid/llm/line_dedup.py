@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicWriter, chunks, cut, encode, make_dir, mix, open_map, shared_dir, table
+from .common import AtomicWriter, arrow_map, chunks, cut, encode, make_dir, mix, open_map, shared_dir, table
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -64,7 +64,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     h = _hash_pairs(keys).view("<i8")
                     yield pa.RecordBatch.from_pydict({"h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1]), "doc_id": pa.array(owners, pa.int64())})
 
-    found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long")
+    found = arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "h1 long, h2 long, doc_id long")
     return found.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id"))
 
 
@@ -187,6 +187,11 @@ class LineIndex:
         keys = keys.view(np.uint64)
         return self.probe(np.stack([keys, keys], axis=1))[0] > 0
 
+    def holds(self, column: pa.Array) -> pa.Array:
+        """contains() of an integer column; a null is in no index."""
+        keys = np.ascontiguousarray(column.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(self.contains(keys) & column.is_valid().to_numpy(zero_copy_only=False))
+
 
 def index_keys(keys: DataFrame) -> LineIndex:
     """The index of one column of distinct 64-bit integers."""
@@ -255,7 +260,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 extra = [pa.array(n_lines, pa.int64()), pa.array([len(d) for d in drop], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 yield pa.RecordBatch.from_arrays(columns + extra, names=[*names, "n_lines", "n_dropped", "kept_sha256"])
 
-    return docs.mapInArrow(run, schema + ", n_lines long, n_dropped long, kept_sha256 string" * report)
+    return arrow_map(docs, run, schema + ", n_lines long, n_dropped long, kept_sha256 string" * report)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, WordHashes, chunks, cut, encode, mix, shingle_hashes, table
+from .common import MIX_A, WordHashes, arrow_map, chunks, cut, encode, mix, shingle_hashes, table
 from .components import connected_components
-from .id_filter import rows_by_id
+from .id_filter import key_index
 
 GROUPS, ROWS = 22, 5
 PERMUTATIONS = GROUPS * ROWS
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, keys array<bigint>, sketch binary"
-    return cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema), "signatures")
+    return cut(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema), "signatures")
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -156,7 +156,7 @@ def drop_clearly_apart(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
     joined = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "sa", "sb")
-    return cut(joined.mapInArrow(run, "a long, b long").distinct(), "near-pairs")
+    return cut(arrow_map(joined, run, "a long, b long").distinct(), "near-pairs")
 
 
 def _in_blocks(base: DataFrame, probe: DataFrame, key: str, block: int) -> DataFrame:
@@ -206,7 +206,7 @@ def components_near(members: DataFrame) -> DataFrame:
                 x, c = zip(*found)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.int64()), "component": pa.array(c, pa.int64())})
 
-    return cut(dealt.mapInArrow(run, "x long, component long").distinct(), "near-components")
+    return cut(arrow_map(dealt, run, "x long, component long").distinct(), "near-components")
 
 
 def links_into(near: DataFrame, label: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -240,7 +240,7 @@ def links_into(near: DataFrame, label: DataFrame, sketches: DataFrame, sets: Dat
             if a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(dealt.mapInArrow(run, "a long, b long").where("a < b").distinct(), "links")
+    return cut(arrow_map(dealt, run, "a long, b long").where("a < b").distinct(), "links")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -256,15 +256,16 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles): the full sets of the documents that some bucket pairs, as a table."""
 
+    index = key_index(ids)
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for piece in chunks(batch, max_bytes=2 << 20):
+            for piece in chunks(batch.filter(index.holds(batch.column(0))), max_bytes=2 << 20):
                 found = [shingle_set(t, hashes).tobytes() for t in piece.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    texts = rows_by_id(docs.select(F.col("doc_id").cast("bigint"), "text"), ids, inside=True)
-    return cut(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "shingles")
+    return cut(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), sets_of, "doc_id long, shingles binary"), "shingles")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -279,7 +280,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "sa", "sb")
-    return cut(joined.mapInArrow(compare, "a long, b long").distinct(), "links")
+    return cut(arrow_map(joined, compare, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str, DataFrame], None] | None = None) -> DataFrame:

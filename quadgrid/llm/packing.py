@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, table
+from .common import arrow_map, chunks, cut, table
 from .tokens import TextEncoder, id_type
 
 WINDOW, END_ID, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
@@ -45,7 +45,7 @@ def encode_partitions(docs: DataFrame, vocabulary: str, end_id: int) -> DataFram
                     {"part": pa.array(np.full(len(ids), part, np.int32)), "local_start": pa.array(starts), "doc_id": piece.column(0), "ids": pa.array(ids, pa.binary())}
                 )
 
-    return cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _TOKENS), "packing")
+    return cut(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, _TOKENS), "packing")
 
 
 def cut_windows(tokens: DataFrame, window: int, dtype: str, with_ids: bool = False) -> DataFrame:
@@ -83,7 +83,7 @@ def cut_windows(tokens: DataFrame, window: int, dtype: str, with_ids: bool = Fal
                     columns["ids"] = pa.array(slices, pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return tokens.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    return arrow_map(tokens, run, _PIECES + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

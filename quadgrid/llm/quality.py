@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, encode, table
+from .common import arrow_map, chunks, encode, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -142,7 +142,7 @@ def quality_report(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: f
                 names = [c.split()[0] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

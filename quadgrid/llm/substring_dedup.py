@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated_windows
-from .common import chunks, cut, encode, mix, table
+from .common import arrow_map, chunks, cut, encode, mix, table
 from .line_dedup import LineIndex, build_index, index_keys
 from .near_dedup import groups
 
@@ -124,7 +124,7 @@ def anchor_index(rows: DataFrame, skip: LineIndex, width: int) -> LineIndex:
             h = segments(buf, starts, ends, width)[0].view(np.int64)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h), "weight": pa.array(np.ones(len(h), np.int64))})
 
-    return _twice(rows.mapInArrow(run, "h long, weight long"))
+    return _twice(arrow_map(rows, run, "h long, weight long"))
 
 
 def named_segments(rows: DataFrame, skip: LineIndex, anchors: LineIndex, width: int) -> DataFrame:
@@ -143,7 +143,7 @@ def named_segments(rows: DataFrame, skip: LineIndex, anchors: LineIndex, width:
                  "at": pa.array(first - starts[doc]), "n": pa.array(last - first + 1)}
             )
 
-    return cut(rows.mapInArrow(run, _NAMES + ", doc_id long, rk long, at long, n long"), "segments")
+    return cut(arrow_map(rows, run, _NAMES + ", doc_id long, rk long, at long, n long"), "segments")
 
 
 def contested(distinct: DataFrame, group: int) -> DataFrame:
@@ -176,7 +176,7 @@ def contested_pieces(rows: DataFrame, skip: LineIndex, names: DataFrame, width:
                  "crowded": pa.array(crowds.contains(h[out]))}
             )
 
-    return cut(rows.mapInArrow(run, _PIECE + ", crowded boolean"), "pieces")
+    return cut(arrow_map(rows, run, _PIECE + ", crowded boolean"), "pieces")
 
 
 def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def repeats_in_groups(pieces: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(k[at] for k in keys), lo, hi)], names=["h", "s1", "s2", "lo", "hi"])
 
     dealt = pieces.select("h", "s1", "s2", "copies", "segment", F.octet_length("segment").cast("bigint").alias("size")).repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, _NAMES + ", lo long, hi long")
+    return arrow_map(dealt, run, _NAMES + ", lo long, hi long")
 
 
 def parts(segment: bytes, n: int, at: int, size: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -246,7 +246,7 @@ def split_pieces(pieces: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         for out in cut_up(batches):
             yield pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in out], pa.int64()), "weight": pa.array([x[1]["copies"] for x in out], pa.int64())})
 
-    index = _twice(pieces.mapInArrow(anchors, "h long, weight long"))
+    index = _twice(arrow_map(pieces, anchors, "h long, weight long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in cut_up(batches):
@@ -259,7 +259,7 @@ def split_pieces(pieces: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                      **{f"up_{k}": pa.array([u[k] for u in up], pa.int64()) for k in ("h", "s1", "s2")}, "shift": pa.array(first, pa.int64())}
                 )
 
-    made = cut(pieces.mapInArrow(run, _PIECE + ", up_h long, up_s1 long, up_s2 long, shift long"), "parts")
+    made = cut(arrow_map(pieces, run, _PIECE + ", up_h long, up_s1 long, up_s2 long, shift long"), "parts")
     whose = made.select("h", "s1", "s2", "up_h", "up_s1", "up_s2", "shift")
     same = made.groupBy("h", "s1", "s2").agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in ("n", "at", "size", "segment")])
     return cut(same, "distinct-parts"), whose
@@ -331,7 +331,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, group: int = GROUP) ->
                     {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(places, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())}
                 )
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<bigint>, kept binary")
+    return arrow_map(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<bigint>, kept binary")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicWriter, chunks, make_dir, open_map, shared_dir, table
+from .common import AtomicWriter, arrow_map, chunks, make_dir, open_map, shared_dir, table
 from .tokens import TextEncoder, id_type
 
 NO_ID = -(1 << 63)
@@ -79,7 +79,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     # One row for each part: the totals whose prefix sums are the bases.
-    totals = dealt.mapInArrow(write, "part long, name string, n_tokens long, n_docs long").collect()
+    totals = arrow_map(dealt, write, "part long, name string, n_tokens long, n_docs long").collect()
     parts, base = [], 0
     for row in sorted(totals, key=lambda r: r["part"]):
         parts.append((row["name"], base, row["n_tokens"], row["n_docs"]))
@@ -113,7 +113,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                     )
 
     dealt = parts.repartition(max(1, len(files.parts)))
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(dealt, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

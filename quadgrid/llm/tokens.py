@@ -18,7 +18,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces and pre-tokens whose ids an encoder remembers, at most; each task has its own encoder.
-PIECES, PRETOKENS = 1_400_000, 600_000
+PIECES, PRETOKENS = 1_000_000, 300_000
 
 _SPACE_PIECE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?!\S)")
