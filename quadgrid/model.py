@@ -3,6 +3,7 @@ that the registered queries derive from the given tables."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,12 @@ DEMAND, SUPPLY, EVENTS = Extent(64, 64), Extent(64, 48), Extent(16, 24, 30)
 EMBEDDING_COLS = 64
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, or below the warehouse where that isn't set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def int_(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("int")
 
@@ -52,9 +59,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense signed raster: a row for each vector, in thousandths."""
-    e = _table(spark, sf_dir, "embeddings").select(int_("vec_id").alias("row"), F.posexplode("embedding").alias("col", "x"))
+def embedding_cells(spark: SparkSession, sf_dir: str, rows: tuple[int, int] | None = None) -> DataFrame:
+    """A dense signed raster: a row for each vector, in thousandths; `rows`, the first and the last
+    wanted, reach the scan."""
+    e = _table(spark, sf_dir, "embeddings")
+    e = e if rows is None else e.where(F.col("vec_id").between(*rows))
+    e = e.select(int_("vec_id").alias("row"), F.posexplode("embedding").alias("col", "x"))
     return e.select("row", "col", int_(F.floor(F.col("x").cast("double") * 1000)).alias("value"))
 
 

@@ -20,13 +20,21 @@ def pointwise(a: DataFrame, b: DataFrame, op: str, keys: Sequence[str] = ("row",
 
 
 def pointwise_tiles(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Tiles of equal extent: two uniform tiles make a uniform one without unpacking."""
-    on = ["tile_row", "tile_col", "base_row", "base_col", "h", "w"]
-    side = lambda t, s: t.select(*on, F.col("is_uniform").alias(f"u{s}"), F.transform("values", lambda x: x.cast("bigint")).alias(f"v{s}"))
-    joined = side(a, "a").join(side(b, "b"), on)
+    """On the common extent, where tiles of one place may differ in height and width: two uniform
+    tiles make a uniform one without unpacking, and a larger one is cropped in its array."""
+    on = ["tile_row", "tile_col", "base_row", "base_col"]
+    side = lambda t, s: t.select(*on, F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}"), F.col("is_uniform").alias(f"u{s}"), F.transform("values", lambda x: x.cast("bigint")).alias(f"v{s}"))
+    joined = side(a, "a").join(side(b, "b"), on).withColumns({"h": F.least("ha", "hb"), "w": F.least("wa", "wb")})
+    on += ["h", "w"]
     n = (F.col("h") * F.col("w")).cast("int")
     both = F.col("ua") & F.col("ub")
-    wide = lambda s: F.when(F.col(f"u{s}") & ~both, F.array_repeat(F.col(f"v{s}")[0], n)).otherwise(F.col(f"v{s}"))
+
+    def wide(s: str) -> Column:
+        v, w = F.col(f"v{s}"), F.col(f"w{s}")
+        cropped = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(v, (F.floor(i / F.col("w")) * w + i % F.col("w")).cast("int")))
+        whole = (w == F.col("w")) & (F.col(f"h{s}") == F.col("h"))
+        return F.when(both | whole & ~F.col(f"u{s}"), v).when(F.col(f"u{s}"), F.array_repeat(v[0], n)).otherwise(cropped)
+
     out = joined.withColumn("values", F.zip_with(wide("a"), wide("b"), OPS[op]))
     return _bounds(out).select(*on, "min_value", "max_value", "is_uniform", n.cast("bigint").alias("n_cells"), "values")
 
@@ -70,15 +78,21 @@ def ones_percent(binary: DataFrame) -> DataFrame:
 
 def zonal_totals(a: DataFrame, zones: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
     """(zone, total) on the common extent: partial sums first, so hot zones don't matter."""
-    z = zones.select(*keys, F.col("value").alias("zone"))
-    return a.join(z, list(keys)).groupBy("zone").agg(long_(F.sum(long_("value"))).alias("total"))
+    return _totals(_in_zones(a, zones, keys))
+
+
+def _in_zones(a: DataFrame, zones: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return a.select(*keys, "value").join(zones.select(*keys, F.col("value").alias("zone")), list(keys))
+
+
+def _totals(in_zones: DataFrame) -> DataFrame:
+    return in_zones.groupBy("zone").agg(long_(F.sum(long_("value"))).alias("total"))
 
 
 def zonal_sum(a: DataFrame, zones: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """Each zone's total in all its cells: totals are summed, then joined back to the zone raster."""
-    z = zones.select(*keys, F.col("value").alias("zone"))
-    common = z.join(a.select(*keys), list(keys), "left_semi")
-    return common.join(zonal_totals(a, zones, keys), "zone").select(*keys, F.col("total").alias("value"))
+    """Each zone's total in all its cells: one join of values and zones, whose totals join back to it."""
+    common = _in_zones(a, zones, keys)
+    return common.join(_totals(common), "zone").select(*keys, F.col("total").alias("value"))
 
 
 def weighted_sum(tiles: DataFrame) -> Column | DataFrame:

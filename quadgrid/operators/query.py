@@ -48,10 +48,18 @@ def window_array(cells: DataFrame, xini: int, xend: int, yini: int, yend: int) -
 
 
 def cells_by_value(cells: DataFrame, xini: int, xend: int, yini: int, yend: int, valini: int, valend: int) -> DataFrame:
-    """Positions in a window with a value in a range: all six bounds reach a Parquet scan."""
+    """Positions in a window with a value in a range; on stored cells all six bounds reach the Parquet scan."""
     return values_window(cells, xini, xend, yini, yend).where(F.col("value").between(valini, valend)).select("row", "col")
 
 
+def stored_window(tiles: DataFrame, xini: int, xend: int, yini: int, yend: int, valini: int, valend: int, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
+    """([t,] row, col, value) of matches in stored tiles: tile numbers and the least and greatest
+    values are plain columns, so row groups that can't match are skipped by their statistics."""
+    near = F.col("tile_row").between(xini // tile, xend // tile) & F.col("tile_col").between(yini // tile, yend // tile)
+    hits = tiles.where(near & (F.col("max_value") >= valini) & (F.col("min_value") <= valend))
+    return values_window(tile_cells(hits, keys), xini, xend, yini, yend).where(F.col("value").between(valini, valend))
+
+
 def windows_on_tiles(queries: DataFrame, tiles: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
     """Each query with each tile that its window touches (and, with keys ("t",), its times)."""
     ids = lambda a, b: F.explode(F.sequence(int_(F.floor(F.col(a) / tile)), int_(F.floor(F.col(b) / tile))))

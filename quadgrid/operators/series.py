@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import zigzag
+from ..functions.keys import in_window, zigzag
 from ..model import int_, long_
 
 
@@ -40,6 +40,21 @@ def reconstruct(deltas: DataFrame) -> DataFrame:
     return joined.select("t", "row", "col", long_(value).alias("value"))
 
 
+def window(deltas: DataFrame, xini: int, xend: int, yini: int, yend: int, tini: int, tend: int) -> DataFrame:
+    """(t, row, col, value) of a window and time range from snapshots and differences: only the steps
+    asked for and their snapshots are read, and only in the window."""
+    inside = deltas.where(in_window(F.col("row"), F.col("col"), xini, xend, yini, yend) & (F.col("snap_t") <= tend))
+    steps = inside.where(F.col("t").between(tini, tend))
+    return reconstruct(inside.where("t = snap_t").unionByName(steps.where("t <> snap_t"))).where(F.col("t").between(tini, tend))
+
+
+def verify(cells: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(t, n_cells, n_mismatch): each step against its reconstruction."""
+    keys = ["t", "row", "col"]
+    both = cells.select(*keys, F.col("value").alias("va")).join(reconstruct(deltas).select(*keys, F.col("value").alias("vb")), keys, "full_outer")
+    return both.groupBy("t").agg(F.count("*").alias("n_cells"), F.count_if(~F.col("va").eqNullSafe(F.col("vb"))).alias("n_mismatch"))
+
+
 def changed_cells(cells: DataFrame) -> DataFrame:
     """(t, n_changed, n_cells): what a difference against the step before would hold, the
     figure on which a choice between snapshot and difference rests."""

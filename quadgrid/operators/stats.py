@@ -42,10 +42,42 @@ def dictionary_blocks(cells: DataFrame, side: int, keys: Sequence[str] = ()) ->
     found = blocks(cells, side, keys).groupBy("block").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     hw, hv = entropy(found).scalar(), entropy(value_frequency(cells)).scalar()
     kept = found.where(F.floor(32 * F.col("size") + F.col("n") * hw) <= F.floor(F.col("n") * F.col("size") * hv))
-    code = F.row_number().over(Window.orderBy(F.desc("n"), "block"))  # the dictionary is numbered in one order
-    return kept.select(long_(code).alias("codeword"), "block", "n")
+    # Numbered by frequency: within one frequency by block, after all blocks of greater ones. The
+    # window over all rows sees one for each frequency only.
+    per_n = kept.groupBy("n").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = per_n.select("n", before.alias("base"))
+    code = F.row_number().over(Window.partitionBy("n").orderBy("block")) + F.col("base")
+    return kept.join(base, "n").select(long_(code).alias("codeword"), "block", "n")
+
+
+def encode_blocks(cells: DataFrame, dictionary: DataFrame, side: int, keys: Sequence[str] = ()) -> DataFrame:
+    """([keys,] block_row, block_col, codeword, raw): each block by its codeword; 0 where the
+    dictionary lacks it, with the block itself in `raw`."""
+    found = blocks(cells, side, keys).join(dictionary.select("codeword", "block"), "block", "left")
+    return found.select(*keys, "block_row", "block_col", F.coalesce("codeword", F.lit(0).cast("bigint")).alias("codeword"), F.when(F.col("codeword").isNull(), F.col("block")).alias("raw"))
+
+
+def decode_blocks(encoded: DataFrame, dictionary: DataFrame, side: int, n_cols: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The cells of encoded blocks; n_cols is the raster's width, where edge blocks end."""
+    full = encoded.join(dictionary.select("codeword", "block"), "codeword", "left")
+    width = F.least(F.lit(side), n_cols - F.col("block_col") * side)
+    out = full.select(*keys, "block_row", "block_col", width.alias("w"), F.posexplode(F.split(F.coalesce("raw", "block"), ",")).alias("pos", "v"))
+    row, col = F.col("block_row") * side + F.floor(F.col("pos") / F.col("w")), F.col("block_col") * side + F.col("pos") % F.col("w")
+    return out.select(*keys, int_(row).alias("row"), int_(col).alias("col"), long_("v").alias("value"))
 
 
 def block_mean(cells: DataFrame, side: int) -> DataFrame:
     at = [int_(F.floor(F.col(x) / side)).alias(f"block_{x}") for x in ("row", "col")]
     return cells.groupBy(*at).agg(half_up(F.avg("value")).alias("value"))
+
+
+def block_means(cells: DataFrame, sides: Sequence[int]) -> DataFrame:
+    """(side, block_row, block_col, value) for several sides, multiples of the least: the cells are
+    summed to its blocks once, and these to all others."""
+    least = min(sides)
+    at = lambda step: [int_(F.floor(F.col(x) / step)).alias(x) for x in ("row", "col")]
+    fine = cells.groupBy(*at(least)).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    levels = fine.select("row", "col", "s", "n", F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"))
+    node = [int_(F.floor(F.col(x) * least / F.col("side"))).alias(f"block_{x}") for x in ("row", "col")]
+    return levels.groupBy("side", *node).agg(half_up(F.sum("s") / F.sum("n")).alias("value"))

@@ -55,6 +55,27 @@ def _children(s, d):
     return tiles.children(tiles.pyramid(_tiles(m.demand_cells(s, d), 8), LEVELS))
 
 
+def _stored(s, d):
+    path = m.scratch(s, "tiles")
+    tiles.store(_tiles(m.embedding_cells(s, d)), path)
+    return query.stored_window(s.read.parquet(path), *_W, 50, 200).select("row", "col", "value")
+
+
+def _encoded(s, d):
+    zones = m.label_zones(s, d)
+    return stats.encode_blocks(zones, stats.dictionary_blocks(zones, 2), 2)
+
+
+def _decoded(s, d):
+    zones = m.label_zones(s, d)
+    dictionary = stats.dictionary_blocks(zones, 2)
+    return stats.decode_blocks(stats.encode_blocks(zones, dictionary, 2), dictionary, 2, m.EMBEDDING_COLS)
+
+
+def _ts_window(s, d):
+    return series.window(series.snapshot_deltas(m.event_cells(s, d), 4), 2, 9, 5, 17, 3, 9)
+
+
 def _pointwise(op):
     return lambda s, d: algebra.pointwise(m.demand_cells(s, d), m.supply_cells(s, d), op)
 
@@ -63,9 +84,10 @@ QUERIES = {
     "raster_info": lambda s, d: tiles.info(m.embedding_cells(s, d)),
     "get_cell_batch": lambda s, d: query.get_cell_batch(m.access_queries(s), m.embedding_cells(s, d)),
     "get_cell_total": lambda s, d: query.get_cell_batch(m.access_queries(s), m.embedding_cells(s, d)).agg(m.long_(F.sum("value")).alias("total")),
-    "values_window": lambda s, d: query.values_window(m.embedding_cells(s, d), *_W),
-    "values_window_dense": lambda s, d: query.values_window_dense(m.embedding_cells(s, d), *_W),
-    "cells_by_value": lambda s, d: query.cells_by_value(m.embedding_cells(s, d), *_W, 50, 200),
+    "values_window": lambda s, d: query.values_window(m.embedding_cells(s, d, _W[:2]), *_W),
+    "values_window_dense": lambda s, d: query.values_window_dense(m.embedding_cells(s, d, _W[:2]), *_W),
+    "cells_by_value": lambda s, d: query.cells_by_value(m.embedding_cells(s, d, _W[:2]), *_W, 50, 200),
+    "stored_cells_by_value": _stored,
     "cells_by_value_batch": lambda s, d: query.cells_by_value_batch(m.region_queries(s), _tiles(m.demand_cells(s, d))),
     "cells_by_value_count": lambda s, d: query.count_by_value_batch(m.region_queries(s), _tiles(m.demand_cells(s, d))),
     "check_strong_batch": lambda s, d: query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), True),
@@ -79,6 +101,7 @@ QUERIES = {
     "algebra_sub": _pointwise("sub"),
     "algebra_mul": _pointwise("mul"),
     "algebra_tiles_sum": lambda s, d: tiles.tile_cells(algebra.pointwise_tiles(_tiles(m.embedding_cells(s, d)), _tiles(m.label_zones(s, d)), "sum")),
+    "algebra_tiles_unequal": lambda s, d: tiles.tile_cells(algebra.pointwise_tiles(_tiles(m.demand_cells(s, d), 10), _tiles(m.supply_cells(s, d), 10), "mul")),
     "scalar_sum": lambda s, d: algebra.scalar(m.embedding_cells(s, d), 17, "sum"),
     "scalar_sub": lambda s, d: algebra.scalar(m.embedding_cells(s, d), 17, "sub"),
     "scalar_mul": lambda s, d: algebra.scalar(m.embedding_cells(s, d), -3, "mul"),
@@ -98,12 +121,18 @@ QUERIES = {
     "ts_delta_snapshot": lambda s, d: series.snapshot_deltas(m.event_cells(s, d), 4),
     "ts_delta_zigzag": _zigzag,
     "ts_reconstruct": lambda s, d: series.reconstruct(series.snapshot_deltas(m.event_cells(s, d), 4)),
+    "ts_delta_window": _ts_window,
+    "ts_delta_cells_by_value": lambda s, d: _ts_window(s, d).where(F.col("value").between(1, 2)).select("t", "row", "col"),
+    "ts_verify": lambda s, d: series.verify(m.event_cells(s, d), series.snapshot_deltas(m.event_cells(s, d), 4)),
     "ts_adaptive_snapshots": lambda s, d: series.adaptive_snapshots(m.event_cells(s, d), 0.4),
     "value_frequency": lambda s, d: stats.value_frequency(m.event_cells(s, d)),
     "value_entropy": lambda s, d: stats.entropy(stats.value_frequency(m.event_cells(s, d))).select(F.round("entropy", 6).alias("entropy")),
     "block_frequency": lambda s, d: stats.block_frequency(m.event_cells(s, d), 2, ["t"]),
     "dictionary_blocks": lambda s, d: stats.dictionary_blocks(m.event_cells(s, d), 2, ["t"]),
     "dictionary_blocks_zones": lambda s, d: stats.dictionary_blocks(m.label_zones(s, d), 2),
+    "encoded_blocks_zones": _encoded,
+    "decoded_blocks_zones": _decoded,
+    "block_mean_levels": lambda s, d: stats.block_means(m.demand_cells(s, d), (2, 4, 8, 16, 32, 64)),
     "block_mean": lambda s, d: stats.block_mean(m.demand_cells(s, d), 8),
     "color_ramp": lambda s, d: m.demand_cells(s, d).select("row", "col", *[c.alias(k) for k, c in color_ramp(F.col("value")).items()]),
     "verify_roundtrip": _roundtrip,
@@ -165,6 +194,16 @@ ORACLES = {
     "check_strong_batch": _sql("demand q", _check("q", "demand", "bool_and", "true")),
     "check_weak_batch": _sql("demand q", _check("q", "demand", "bool_or", "false")),
     "check_summary": _sql("demand q", f"SELECT count(*) FILTER (WHERE result) AS n_true, count(*) FILTER (WHERE NOT result) AS n_false FROM ({_check('q', 'demand', 'bool_and', 'true')})"),
+    "stored_cells_by_value": _sql("emb", f'SELECT "row", col, value FROM emb WHERE {_IN_W} AND value BETWEEN 50 AND 200'),
+    "algebra_tiles_unequal": _algebra("*"),
+    "decoded_blocks_zones": _sql("zones", 'SELECT "row", col, cast(value AS BIGINT) AS value FROM zones'),
+    "block_mean_levels": _sql(
+        "demand",
+        'SELECT s.side, cast("row" // s.side AS INTEGER) AS block_row, cast(col // s.side AS INTEGER) AS block_col, cast(floor(avg(value) + 0.5) AS BIGINT) AS value FROM demand CROSS JOIN (VALUES (2), (4), (8), (16), (32), (64)) s(side) GROUP BY 1, 2, 3',
+    ),
+    "ts_delta_window": _sql("ev", 'SELECT t, "row", col, value FROM ev WHERE t BETWEEN 3 AND 9 AND "row" BETWEEN 2 AND 9 AND col BETWEEN 5 AND 17'),
+    "ts_delta_cells_by_value": _sql("ev", 'SELECT t, "row", col FROM ev WHERE t BETWEEN 3 AND 9 AND "row" BETWEEN 2 AND 9 AND col BETWEEN 5 AND 17 AND value BETWEEN 1 AND 2'),
+    "ts_verify": _sql("ev", "SELECT t, count(*) AS n_cells, count(*) FILTER (WHERE value IS NULL) AS n_mismatch FROM ev GROUP BY t"),
     "tile_stats": _sql("emb", 'SELECT cast("row" // 16 AS INTEGER) AS tile_row, cast(col // 16 AS INTEGER) AS tile_col, min(value) AS min_value, max(value) AS max_value, min(value) = max(value) AS is_uniform, count(*) AS n_cells FROM emb GROUP BY 1, 2'),
     "last_level": _sql("demand", 'SELECT cast("row" // 8 AS INTEGER) AS tile_row, cast(col // 8 AS INTEGER) AS tile_col, "row", col, max(value) OVER (PARTITION BY "row" // 8, col // 8) - value AS delta FROM demand'),
     "pyramid": _sql("demand nodes", "SELECT * FROM nodes"),
@@ -228,4 +267,8 @@ ORACLES["dictionary_blocks_zones"] = (
     .replace("FROM ev GROUP BY value", "FROM zones GROUP BY value")
     .replace("\n, f AS", ", f AS")
 )
+ORACLES["encoded_blocks_zones"] = f"""WITH dict AS ({ORACLES["dictionary_blocks_zones"]}),
+    b AS (SELECT cast(vec_id // 2 AS INTEGER) AS block_row, cast((i - 1) // 2 AS INTEGER) AS block_col, string_agg(cast(label AS VARCHAR), ',' ORDER BY vec_id, i) AS block
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2)
+    SELECT block_row, block_col, coalesce(codeword, 0) AS codeword, CASE WHEN codeword IS NULL THEN block END AS raw FROM b LEFT JOIN dict USING (block)"""
 ORACLES["dictionary_blocks"] = ORACLES["dictionary_blocks"].replace("\n, f AS", ", f AS")

@@ -86,7 +86,7 @@ def _numbers(spark: SparkSession, path: str, names: list[str], header: bool) ->
     words = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("query_id"), words.alias("w"))
     if header:
-        lines = lines.where(F.size("w") >= len(names))
+        lines = lines.where("query_id <> 0")
     return lines.select("query_id", *[F.col("w")[i].cast("int").alias(n) for i, n in enumerate(names)])
 
 

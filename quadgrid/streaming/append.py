@@ -9,10 +9,12 @@ from ..operators.tiles import TILE, build_tiles, store
 
 
 def append_steps(spark: SparkSession, source: str, target: str, checkpoint: str, tile: int = TILE):
-    """Start the stream; each micro-batch adds its time steps as partitions of `target`."""
+    """Start the stream; each micro-batch writes its time steps below a partition of its own, so a
+    batch that runs again replaces what it wrote. A step that comes in two batches has tiles in
+    both, each with the cells of its batch."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        store(build_tiles(batch, tile, ["t"]), target, ["t"], mode="append")
+    def write(batch: DataFrame, number: int) -> None:
+        store(build_tiles(batch, tile, ["t"]), f"{target}/batch={number}", ["t"])
 
     cells = spark.readStream.schema(CELLS_T).parquet(source)
     return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

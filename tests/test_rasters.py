@@ -141,3 +141,46 @@ def test_stored_tiles_and_stream(spark, tmp_path):
     assert tiles.mismatches(c, tiles.tile_cells(back, ["t"]), ("t", "row", "col")).count() == 0
     assert {(r["t"], r["n_bytes"] > 0) for r in series.space_per_step(spark, target).collect()} == {(0, True), (1, True), (2, True)}
     assert "PartitionFilters: [isnotnull(t" in back.where("t = 1").select("min_value")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("a_size, b_size", [((7, 9), (5, 11)), ((4, 4), (4, 4)), ((9, 3), (2, 8))])
+def test_tile_algebra_on_other_extents(spark, a_size, b_size):
+    rng = random.Random(sum(a_size))
+    raster = lambda size: [[rng.choice([3, 3, 3, -7]) if i < 4 else 5 for _ in range(size[1])] for i in range(size[0])]
+    a, b = raster(a_size), raster(b_size)
+    both = algebra.pointwise_tiles(tiles.build_tiles(cells(spark, a), 4), tiles.build_tiles(cells(spark, b), 4), "sub")
+    want = {(i, j): a[i][j] - b[i][j] for i in range(min(a_size[0], b_size[0])) for j in range(min(a_size[1], b_size[1]))}
+    assert as_dict(tiles.tile_cells(both)) == want
+
+
+def test_stored_window_skips_by_statistics(spark, tmp_path):
+    c = cells(spark, [[i * 40 + j for j in range(40)] for i in range(40)])
+    tiles.store(tiles.build_tiles(c, 8), str(tmp_path / "t"))
+    found = query.stored_window(spark.read.parquet(str(tmp_path / "t")), 3, 12, 5, 20, 300, 420, 8)
+    assert as_dict(found) == {(i, j): i * 40 + j for i in range(3, 13) for j in range(5, 21) if 300 <= i * 40 + j <= 420}
+    plan = found._jdf.queryExecution().toString()
+    assert all(x in plan.split("PushedFilters: [")[1].split("]")[0] for x in ("tile_row", "tile_col", "max_value", "min_value"))
+
+
+def test_block_codes_of_edge_blocks(spark):
+    c = cells(spark, [[(i // 2 + j // 2) % 2 for j in range(5)] for i in range(7)])
+    dictionary = stats.block_frequency(c, 2).where("n > 2").select(F.expr("CAST(length(block) AS BIGINT) + ascii(block)").alias("codeword"), "block")
+    encoded = stats.encode_blocks(c, dictionary, 2)
+    assert encoded.where("codeword = 0").count() > 0 and encoded.where("codeword > 0").count() > 0
+    assert tiles.mismatches(c, stats.decode_blocks(encoded, dictionary, 2, 5)).count() == 0
+
+
+def test_query_file_with_a_count(spark, tmp_path):
+    (tmp_path / "q").write_text("2\n0 1 0 2\n1 1 1 1\n")
+    assert sorted(tuple(r)[1:] for r in files.read_regions(spark, str(tmp_path / "q"), header=True).collect()) == [(0, 1, 0, 2), (1, 1, 1, 1)]
+    (tmp_path / "p").write_text("3\n4 5\n6 7")
+    assert sorted(tuple(r)[1:] for r in files.read_points(spark, str(tmp_path / "p"), header=True).collect()) == [(4, 5), (6, 7)]
+
+
+def test_stream_batch_that_runs_again(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "tiles")
+    c = spark.createDataFrame([(t, i, j, t + i * j) for t in range(2) for i in range(6) for j in range(6)], m.CELLS_T)
+    c.write.parquet(source)
+    for run in range(2):  # without its checkpoint the stream does its first batch again
+        append_steps(spark, source, target, str(tmp_path / f"cp{run}"), 4).awaitTermination()
+    assert tiles.tile_cells(spark.read.parquet(target), ["t"]).count() == 72
