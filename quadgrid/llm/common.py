@@ -26,16 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def runs_in_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new URI below spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where that setting is missing (tests, notebooks) is a temporary folder set.
+    Where that setting is missing, a temporary folder is set if all tasks run in this process
+    (tests, notebooks); on a cluster it is an error, as other machines couldn't see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             base = jdir.get()
+        elif not runs_in_process(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="quadgrid-")
             spark.sparkContext.setCheckpointDir(base)
