@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from quadgrid.llm import decontaminate, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_files
 from quadgrid.llm.collection_bwt import CollectionBWT, columns_of, repeated_windows
+from quadgrid.llm.common import shared_dir
 from quadgrid.llm.components import connected_components
 from quadgrid.llm.line_dedup import index_keys
 from quadgrid.llm.tokens import TextEncoder
@@ -524,3 +526,23 @@ def test_decontaminate_repeated_items(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "ITEMS", size)
         got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(text(docs), bench).collect()}
         assert got == pytest.approx(want)
+
+
+def session_like(master, conf=None, given=None):
+    """As much of a session as shared_dir reads, and a list of the checkpoint folders it sets."""
+    was_set = []
+    folder = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+    java = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder))
+    context = SimpleNamespace(master=master, _jsc=java, setCheckpointDir=was_set.append)
+    return SimpleNamespace(conf=conf or {}, sparkContext=context), was_set
+
+
+def test_shared_dir_needs_a_shared_folder_on_clusters():
+    for master in ("yarn", "spark://host:7077", "k8s://https://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session_like(master)[0], "x")
+        assert shared_dir(session_like(master, {"spark.checkpoint.dir": "hdfs://a/b/"})[0], "x").startswith("hdfs://a/b/x-")
+        assert shared_dir(session_like(master, given="hdfs://a/c")[0], "x").startswith("hdfs://a/c/x-")
+    for master in ("local", "local[8]"):
+        session, was_set = session_like(master)
+        assert shared_dir(session, "x").startswith(was_set[0])
