@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MIX_A, WordHashes, arrow_map, chunks, cut, encode, mix, shingle_hashes, table
-from .components import connected_components
+from .components import connected_components, join_components
 from .id_filter import key_index
 
 GROUPS, ROWS = 22, 5
@@ -300,19 +300,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     sketches = nodes.select("doc_id", "sketch")
     sets = shingle_sets(docs, members.select("doc_id"))
     # Copies set apart above are links too; a doc_id may have several rows and so several sets.
-    links = marked.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    copies = marked.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     tested, label = None, None
 
+    def join_links(found: DataFrame) -> None:
+        nonlocal label
+        if label is None:
+            label = connected_components(copies.unionByName(found))
+        elif found.limit(1).count():
+            label = join_components(label.withColumnRenamed("doc_id", "node"), found)
+        label = label.withColumnRenamed("node", "doc_id")
+
     def go_on(name: str, pairs: DataFrame) -> None:
-        nonlocal links, tested, label
+        nonlocal tested
         pairs = pairs.distinct()
         near = drop_clearly_apart(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sketches)
         tell(name, near)
         tested = near if tested is None else tested.unionByName(near)
-        found = confirm(near, sets, percent)
-        if label is None or found.limit(1).count():
-            links = links.unionByName(found)
-            label = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+        join_links(confirm(near, sets, percent))
 
     def still_open(rows: DataFrame) -> DataFrame:
         """The rows of buckets with several components, with the components of the bucket's ends."""
@@ -333,8 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     if near.limit(1).count():
         found = links_into(near, label, sketches, sets, percent)
         tell("across links", found)
-        if found.limit(1).count():
-            label = connected_components(links.unionByName(found)).select(F.col("node").alias("doc_id"), "component")
+        join_links(found)
     out = rows.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from quadgrid.llm import decontaminate, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_files
 from quadgrid.llm.collection_bwt import CollectionBWT, columns_of, repeated_windows
 from quadgrid.llm.common import shared_dir
-from quadgrid.llm.components import connected_components
+from quadgrid.llm.components import connected_components, join_components
 from quadgrid.llm.line_dedup import index_keys
 from quadgrid.llm.tokens import TextEncoder
 
@@ -204,13 +204,24 @@ def test_near_dedup_of_nothing(nothing):
 
 def test_components(spark):
     rng = random.Random(2)
-    links = [(a, a + 1) for a in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)]
-    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    root = {x: x for e in links for x in e}
-    for _ in range(100):
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
-    assert got == root
+    links = [(a, a + 1) for a in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 300)]
+    more = [(0, 199), (30, 31), (59, 150), (150, 59), (400, 401), (401, 402), (250, 402), (20, 500), (-1, 500), (600, 600)]
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+
+    def solved(links):
+        root = {x: x for e in links for x in e}
+        for _ in range(200):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    known = connected_components(table(links))
+    assert {r[0]: r[1] for r in known.collect()} == solved(links)
+    joined = join_components(known, table(more)).collect()
+    want = solved(links + more)
+    want.pop(600)  # linked with itself only: it stays its own component, without a row
+    assert sorted(map(tuple, joined)) == sorted(want.items())
+    assert sorted(map(tuple, join_components(known, table([])).collect())) == sorted(solved(links).items())
 
 
 # --- language ID -----------------------------------------------------------------------------
