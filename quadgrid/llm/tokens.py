@@ -1,9 +1,10 @@
 """Token ids of whole texts, by the tokenizers library.
 
 A tokenizer splits a text into pre-tokens and encodes each on its own, so a text may be cut
-wherever a pre-token must end, and what was encoded before may be reused. TextEncoder cuts at
-white space, keeps the ids of the pieces it has seen (bounded), and gives every new pre-token
-to the library's model. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`;
+wherever a pre-token must end, and what was encoded before may be reused. TextEncoder splits a
+text of plain characters into pre-tokens, and any other at white space into pieces, of which
+those with other characters are split by the library; it keeps the ids of the pre-tokens it has
+seen (bounded), and gives every new one to the library's model. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`;
 a text that holds the string of an added token (`<|endoftext|>`) goes to the library as a whole,
 and so does every text with a tokenizer of another build than the two known here.
 """
@@ -17,18 +18,22 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces and pre-tokens whose ids an encoder remembers, at most; each task has its own encoder.
-PIECES, PRETOKENS = 1_000_000, 300_000
+#: Pre-tokens, and pieces of texts that aren't plain, whose ids an encoder remembers, at most;
+#: each task has its own encoder.
+PRETOKENS, PIECES = 1_200_000, 100_000
+#: Longer ones aren't remembered, so that memory is bounded in bytes too.
+LONGEST = 64
 
 _SPACE_PIECE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?!\S)")
 # The two tokenizers' own pre-token patterns, for pieces of plain characters (below
 # U+0250, none that is a rare space or changes its length in lower case), whose letters and
-# numbers are spelt out.
-_GPT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
-_WORD_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
-_GPT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_WORD_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# numbers are spelt out. Letters and numbers stand first, as they are found most; no other
+# alternative matches where one of them does.
+_GPT_PLAIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
+_WORD_PLAIN = re.compile(r"[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
+_GPT_ASCII = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_WORD_ASCII = re.compile(r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9]+", re.ASCII)
 _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
 #: What str.split() parts at but the library's `\s` doesn't match.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -55,7 +60,8 @@ class _Memory(dict):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        self[key] = out
+        if len(key) <= LONGEST:
+            self[key] = out
         return out
 
 
@@ -71,7 +77,7 @@ class TextEncoder:
         # The library takes these out of the text before it splits and normalizes the rest.
         self.added = tuple(t["content"] for t in state["added_tokens"])
         bpe = bpe and not any(t["normalized"] for t in state["added_tokens"])
-        self.ids = self._whole
+        self.ids, self.model = self._whole, self.tokenizer.model
         self.alphabet = _byte_alphabet()
         self.space = chr(self.alphabet[32])
         self.pretokens = _Memory(self._pretoken, PRETOKENS)
@@ -88,22 +94,34 @@ class TextEncoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _pretoken(self, mapped: str) -> bytes:
-        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii():
-            found = self.ascii.findall(piece.lower() if self.lower else piece)
+    def _pretoken(self, plain: str) -> bytes:
+        if plain.isascii():
             # Of printable ASCII only the space has another character in the byte-level alphabet.
-            found = [p.replace(" ", self.space) if p.isprintable() else p.translate(self.alphabet) for p in found]
-        elif _NOT_PLAIN.search(piece) is None:
-            found = self.plain.findall(piece.lower() if self.lower else piece)
-            found = [p.encode().decode("latin-1").translate(self.alphabet) for p in found]
+            plain = plain.replace(" ", self.space) if plain.isprintable() else plain.translate(self.alphabet)
+        else:
+            plain = plain.encode().decode("latin-1").translate(self.alphabet)
+        return self._mapped(plain)
+
+    def _mapped(self, mapped: str) -> bytes:
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _plain(self, text: str) -> bytes | None:
+        """The ids of a text of plain characters; None for any other."""
+        if text.isascii():
+            split = self.ascii
+        elif _NOT_PLAIN.search(text) is None:
+            split = self.plain
         else:
-            if self.tokenizer.normalizer is not None:
-                piece = self.tokenizer.normalizer.normalize_str(piece)
-            found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        return b"".join(map(self.pretokens.__getitem__, found))
+            return None
+        return b"".join(map(self.pretokens.__getitem__, split.findall(text.lower() if self.lower else text)))
+
+    def _piece(self, piece: str) -> bytes:
+        found = self._plain(piece)
+        if found is not None:
+            return found
+        if self.tokenizer.normalizer is not None:
+            piece = self.tokenizer.normalizer.normalize_str(piece)
+        return b"".join(self._mapped(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece))
 
     def _holds_added(self, text: str) -> bool:
         return any(t in text for t in self.added)
@@ -111,6 +129,8 @@ class TextEncoder:
     def _spaced(self, text: str) -> bytes:
         if self._holds_added(text):
             return self._whole(text)
+        if (found := self._plain(text)) is not None:
+            return found
         parts = text.split(" ") if _ODD_SPACE.search(text) is None else _SPACE_PIECE.split(text)
         first = self._piece(parts[0])
         return first + b"".join(map(self.pieces.__getitem__, [" " + p for p in parts[1:]]))
@@ -118,6 +138,8 @@ class TextEncoder:
     def _words(self, text: str) -> bytes:
         if _NOT_SPACE.search(text) or self._holds_added(text):
             return self._whole(text)
+        if (found := self._plain(text)) is not None:
+            return found
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
