@@ -48,7 +48,7 @@ def starts(vectors: DataFrame, k: int = K, salt: str = SALT) -> np.ndarray:
     """The k vectors with the smallest hashes of their ids, in the order of these."""
     place = F.sha2(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = vectors.orderBy(place, "x").limit(k).collect()  # k vectors
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
