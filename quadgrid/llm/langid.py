@@ -2,9 +2,10 @@
 
 Document frequencies are counted over every learning document. The classifier is trained by
 follow-the-regularised-leader with per-coordinate steps and L1 and L2 penalties on a bounded,
-stratified sample (about `per_language` documents of each language, chosen by a hash of the
-text); a fifth of the sample is set aside and fits one softmax temperature. Prediction reads
-each whole text.
+stratified sample: of each language's distinct texts the `per_language` ones with the smallest
+hashes, so every language is learnt, however often its texts repeat. A fifth of each language's
+sample is set aside and fits one softmax temperature; languages with few texts show them more often
+in training. Prediction reads each whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any
 learning document all texts are `und`; a null doc_id counts as an empty id; repeated rows are
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, chunks, free_name, mix, table
@@ -148,31 +149,59 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def sampled(learn: DataFrame, per_language: int) -> DataFrame:
+    """(lang, h, g, text): of each language's distinct texts the per_language ones with the smallest
+    hashes, exactly. Only hashes are grouped and ranked; the texts of the chosen ones are read after that."""
+    hashes = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
+    distinct = learn.select("lang", *hashes).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))
+    chosen = distinct.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    keys = ["lang", "h", "g"]
+    return learn.select("lang", *hashes, "text").join(F.broadcast(chosen), keys).groupBy(*keys).agg(F.first("text").alias("text"))
+
+
+def vectors(sample: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(lang, h, g, features, vector): the TF-IDF vector of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tf_idf(*ngram_features(t), idf) for t in batch.column(3).to_pylist()]
+            extra = [pa.array([x.astype(kind).tobytes() for x in col], pa.binary()) for col, kind in zip(zip(*found) if found else ((), ()), (np.int16, np.float32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *extra], names=["lang", "h", "g", "features", "vector"])
+
+    return arrow_map(sample.select("lang", "h", "g", "text"), run, "lang string, h bigint, g bigint, features binary, vector binary")
+
+
 def train(learn: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
     """learn: rows (doc_id, text, lang) without null texts or languages."""
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}  # a row for each language
-    languages = sorted(counts)
+    languages = sorted(r["lang"] for r in learn.select("lang").distinct().collect())  # a row for each language
     df, n_docs = document_frequencies(learn)
     idf = (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)
     if not languages:
         return Model([], idf, np.zeros((SIZE, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    # About per_language documents of each language, by a hash of the text.
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) / float(1 << 31)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, per_language / counts[k])])
-    sample = learn.select("text", "lang").where(place < share[F.col("lang")]).withColumn("place", place).dropDuplicates(["lang", "place"])
     number = {k: i for i, k in enumerate(languages)}
+    rows = vectors(sampled(learn, per_language), idf)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "lang", "text"], kind="stable")
-        rows = [(*tf_idf(*ngram_features(t), idf), number[k]) for t, k in zip(pdf["text"], pdf["lang"])]
-        aside = [r for i, r in enumerate(rows) if i % 5 == 4]
-        weights, bias = ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(languages), epochs)
+        pdf = pdf.sort_values(["lang", "h", "g"], kind="stable")
+        own, aside = {k: [] for k in languages}, []
+        for lang, at, v in zip(pdf["lang"], pdf["features"], pdf["vector"]):
+            row = (np.frombuffer(at, np.int16).astype(np.int64), np.frombuffer(v, np.float32), number[lang])
+            own[lang].append(row)
+        for lang, mine in own.items():  # a fifth of each language; of fewer than five texts none
+            aside += mine[4::5]
+            own[lang] = [r for i, r in enumerate(mine) if i % 5 != 4]
+        # Languages with few texts show them as often as the largest one shows its own.
+        most = max(map(len, own.values()))
+        shown = [mine[i % len(mine)] for mine in own.values() for i in range(most)]
+        shown = [shown[i] for i in np.random.default_rng(0).permutation(len(shown))]
+        weights, bias = ftrl(shown, len(languages), epochs)
         logits = np.array([v @ weights[at] + bias for at, v, _ in aside]).reshape(len(aside), len(languages))
         t = fit_temperature(logits, np.array([y for *_, y in aside], np.int64))
         return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias.tobytes()], "temperature": [t]})
 
-    # The sample is bounded, so one task holds it.
-    row = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights binary, bias binary, temperature double").first()
+    # The sample is bounded: per_language vectors of at most SIZE features for each language.
+    row = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights binary, bias binary, temperature double").first()
     weights = np.frombuffer(row["weights"], np.float32).reshape(SIZE, len(languages))
     return Model(languages, idf, weights, np.frombuffer(row["bias"], np.float32), row["temperature"])
 

@@ -258,9 +258,13 @@ def test_langid_model_by_hand(spark):
     assert all(abs(model.idf[f] - idf(f)) < 1e-5 for f in list(n_df)[:200])
     grams_of = lambda t: Counter(g for n in (2, 3) for i in range(len(t) - n + 1) if (g := t[i : i + n]))
     assert sorted(feats[rows[0][1]].values()) == sorted(grams_of(" " + rows[0][1] + " ").values())
-    place = {r["text"]: r["p"] for r in df.select("text", (F.pmod(F.xxhash64("text"), F.lit(1 << 31)) / float(1 << 31)).alias("p")).distinct().collect()}
-    sample = sorted({(place[t], k, t) for _, t, k in rows})  # every text: the share of each language is above 1, or it holds the repeated one
-    sample = [x for x in sample if x[0] < langid.PER_LANGUAGE / sum(k == x[1] for *_, k in rows)]
+    place = {r["text"]: (r["h"], r["g"]) for r in df.select("text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")).distinct().collect()}
+    own = {k: sorted({t for _, t, x in rows if x == k}, key=place.__getitem__) for k in "abc"}
+    aside = [(k, t) for k, ts in own.items() for t in ts[4::5]]
+    own = {k: [t for i, t in enumerate(ts) if i % 5 != 4] for k, ts in own.items()}
+    most = max(map(len, own.values()))
+    shown = [(k, ts[i % len(ts)]) for k, ts in own.items() for i in range(most)]
+    shown = [shown[i] for i in np.random.default_rng(0).permutation(len(shown))]
     z, n = defaultdict(lambda: [0.0] * 3), defaultdict(lambda: [0.0] * 3)
 
     def weight(f, c):
@@ -277,9 +281,7 @@ def test_langid_model_by_hand(spark):
         return np.array([sum(x * weight(f, c) for f, x in vector(t).items()) + weight("bias", c) for c in range(3)])
 
     for _ in range(2):
-        for i, (_, k, t) in enumerate(sample):
-            if i % 5 == 4:
-                continue
+        for k, t in shown:
             v, w = vector(t) | {"bias": 1.0}, {}
             w = {f: [weight(f, c) for c in range(3)] for f in v}
             x = np.array([sum(v[f] * w[f][c] for f in v) for c in range(3)])
@@ -291,11 +293,10 @@ def test_langid_model_by_hand(spark):
                     n[f][c] += g * g
     for f in [*list(n_df)[:300]]:
         assert model.weights[f].tolist() == pytest.approx([weight(f, c) for c in range(3)], abs=1e-5)
-    aside = [x for i, x in enumerate(sample) if i % 5 == 4]
 
     def loss(temperature):
         out = 0
-        for _, k, t in aside:
+        for k, t in aside:
             x = logits(t) / temperature
             q = np.full(3, 1 / (len(aside) + 2) / 2)
             q["abc".index(k)] = 1 - 1 / (len(aside) + 2)
@@ -306,6 +307,29 @@ def test_langid_model_by_hand(spark):
     assert model.predict(rows[1][1])[0] == "b"
 
 
+def test_langid_of_repeated_texts(spark):
+    """One text repeated any number of times is a sample of one; a language of two texts is learnt beside a large one."""
+    one = spark.createDataFrame([(i, "der hund und die katze", "de") for i in range(900)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(one).collect()} == {"de"}
+    rng = random.Random(5)
+    english = ["the", "and", "with", "house", "there", "which", "thing", "walking", "of", "shall", "would", "they"]
+    rows = [(i, " ".join(rng.choices(english, k=12)), "en") for i in range(1200)]
+    rows += [(5000 + i, ("Über den Fluß zieht früh der Nebel.", "Schöne Grüße aus dem Süden, schrieb er.")[i % 2], "de") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.identify(df).groupBy("lang", "lang_pred").count().collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got) and len(got) == 2
+    sample = langid.sampled(df, 50).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample} == {"en": 50, "de": 2}
+    assert langid.accepted(df).where("lang = 'de'").count() == 2400
+
+
+def test_langid_sample_with_long_texts(spark):
+    rows = [(1, "ein Haus " * 300_000, "de"), (2, "a house " * 300_000, "en"), (3, "", "en"), (4, "12 34", "de")]
+    rows += [(i, *(("a house of the king", "en"), ("ein Haus des Königs", "de"))[i % 2]) for i in range(10, 30)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1] == "de" and got[2] == "en" and got[3] == got[4] == "und"
+
+
 # --- tokens and packing ----------------------------------------------------------------------
 
 
