@@ -37,7 +37,7 @@ from .common import arrow_map, cut, shared_dir, table
 
 TOP = 10
 PAIRS = 200_000
-ENTRIES = 1_000_000
+ENTRIES = 200_000
 LEAF = 32
 SLICE = 64
 PIECE = 1 << 20
