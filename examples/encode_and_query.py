@@ -16,7 +16,7 @@ def main(path: str, n_rows: str, n_cols: str, out: str) -> None:
     spark = SparkSession.builder.getOrCreate()
     began = time.perf_counter()
     cells = files.read_raster(spark, path, int(n_rows), int(n_cols))
-    tiles.store(tiles.build_tiles(cells), f"{out}/tiles")
+    tiles.write_tiles(tiles.build_tiles(cells), f"{out}/tiles")
     took = time.perf_counter() - began
     back = tiles.tile_cells(spark.read.parquet(f"{out}/tiles"))
     n = files.write_window(query.values_window_dense(back, 0, int(n_rows) - 1, 0, int(n_cols) - 1), "results.bin")

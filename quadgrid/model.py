@@ -3,6 +3,7 @@ that the registered queries derive from the given tables."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -23,12 +24,40 @@ class Extent:
 
 DEMAND, SUPPLY, EVENTS = Extent(64, 64), Extent(64, 48), Extent(16, 24, 30)
 EMBEDDING_COLS = 64
+_ROOTS: set[str] = set()  # scratch folders of this driver
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder's name below spark.checkpoint.dir, which the driver and all executors share.
+
+    What is written there goes when the driver's JVM ends. Where the setting is missing, a temporary
+    folder is set if all tasks run in this process; on a cluster it is an error, as other machines
+    couldn't see the folder.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (found := sc._jsc.sc().getCheckpointDir()).isDefined():
+        base = found.get()
+    if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quadgrid-")
+        sc.setCheckpointDir(base)
+    root = f"{base.rstrip('/')}/quadgrid-{sc.applicationId}"
+    if root not in _ROOTS:
+        at = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _ROOTS.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in a scratch folder and read it again: lineage ends here."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def int_(c: Column | str) -> Column:
@@ -117,6 +146,21 @@ def region_queries(spark: SparkSession, n: int = 64) -> DataFrame:
     )
 
 
+def large_queries(spark: SparkSession, n: int = 48) -> DataFrame:
+    """Windows of up to 36 x 42 cells over the 64 x 64 raster: narrow value ranges, wide ones, and all values."""
+    i = F.col("id")
+    kind = lambda a, b, c: long_(F.when(i % 3 == 0, a).when(i % 3 == 1, b).otherwise(c))
+    return spark.range(n).select(
+        i.alias("query_id"),
+        int_(i * 5 % 24).alias("xini"),
+        int_(i * 5 % 24 + 8 + i % 5 * 7).alias("xend"),
+        int_(i * 11 % 20).alias("yini"),
+        int_(i * 11 % 20 + 6 + i % 7 * 6).alias("yend"),
+        kind(i * 3, F.lit(0), i * 9).alias("valini"),
+        kind(i * 3 + 12, F.lit(100000), i * 9 + 60).alias("valend"),
+    )
+
+
 def series_queries(spark: SparkSession, n: int = 32) -> DataFrame:
     """Boxes of time, row, column and value over the event series."""
     i = F.col("id")

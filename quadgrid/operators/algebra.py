@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import long_
-from .tiles import tile_cells
+from .tiles import build_tiles, tile_cells
 
 OPS = {"sum": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b}
 
@@ -21,22 +21,34 @@ def pointwise(a: DataFrame, b: DataFrame, op: str, keys: Sequence[str] = ("row",
 
 def pointwise_tiles(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     """On the common extent, where tiles of one place may differ in height and width: two uniform
-    tiles make a uniform one without unpacking, and a larger one is cropped in its array."""
-    on = ["tile_row", "tile_col", "base_row", "base_col"]
-    side = lambda t, s: t.select(*on, F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}"), F.col("is_uniform").alias(f"u{s}"), F.transform("values", lambda x: x.cast("bigint")).alias(f"v{s}"))
-    joined = side(a, "a").join(side(b, "b"), on).withColumns({"h": F.least("ha", "hb"), "w": F.least("wa", "wb")})
-    on += ["h", "w"]
+    tiles make a uniform one without unpacking, and a larger one is cropped in its array. Pairs with
+    a sparse tile, or with different corners, are joined by cell."""
+    on, box = ["tile_row", "tile_col"], ["base_row", "base_col", "h", "w", "is_uniform", "positions"]
+    side = lambda t, s: t.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in box], F.transform("values", lambda x: x.cast("bigint")).alias(f"values_{s}"))
+    joined = side(a, "a").join(side(b, "b"), on)
+    aligned = F.col("positions_a").isNull() & F.col("positions_b").isNull() & (F.col("base_row_a") == F.col("base_row_b")) & (F.col("base_col_a") == F.col("base_col_b"))
+    same = joined.where(aligned).withColumns({"h": F.least("h_a", "h_b"), "w": F.least("w_a", "w_b")})
     n = (F.col("h") * F.col("w")).cast("int")
-    both = F.col("ua") & F.col("ub")
+    both = F.col("is_uniform_a") & F.col("is_uniform_b")
 
     def wide(s: str) -> Column:
-        v, w = F.col(f"v{s}"), F.col(f"w{s}")
+        v, w, uniform = F.col(f"values_{s}"), F.col(f"w_{s}"), F.col(f"is_uniform_{s}")
         cropped = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(v, (F.floor(i / F.col("w")) * w + i % F.col("w")).cast("int")))
-        whole = (w == F.col("w")) & (F.col(f"h{s}") == F.col("h"))
-        return F.when(both | whole & ~F.col(f"u{s}"), v).when(F.col(f"u{s}"), F.array_repeat(v[0], n)).otherwise(cropped)
+        whole = (w == F.col("w")) & (F.col(f"h_{s}") == F.col("h"))
+        return F.when(both | whole & ~uniform, v).when(uniform, F.array_repeat(v[0], n)).otherwise(cropped)
 
-    out = joined.withColumn("values", F.zip_with(wide("a"), wide("b"), OPS[op]))
-    return _bounds(out).select(*on, "min_value", "max_value", "is_uniform", n.cast("bigint").alias("n_cells"), "values")
+    out = _bounds(same.withColumn("values", F.zip_with(wide("a"), wide("b"), OPS[op])))
+    columns = [*on, F.col("base_row_a").alias("base_row"), F.col("base_col_a").alias("base_col"), "h", "w", "min_value", "max_value", n.cast("bigint").alias("n_cells"), "is_uniform", "values", F.lit(None).cast("array<int>").alias("positions")]
+    out = out.select(*columns)
+    back = lambda s: tile_cells(joined.where(~aligned).select(*on, *[F.col(f"{c}_{s}").alias(c) for c in [*box, "values"]]), on)
+    met = pointwise(back("a"), back("b"), op, [*on, "row", "col"])
+    return out.unionByName(_tiles_of(met, on).select(*out.columns))
+
+
+def _tiles_of(cells: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Tiles of cells that know their tile; the corner of the common part is that of its cells."""
+    built = build_tiles(cells.withColumnsRenamed({c: f"own_{c}" for c in on}), 1 << 30, [f"own_{c}" for c in on])
+    return built.drop(*on).withColumnsRenamed({f"own_{c}": c for c in on})
 
 
 def _bounds(tiles: DataFrame) -> DataFrame:

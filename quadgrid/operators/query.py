@@ -18,6 +18,8 @@ from ..model import int_
 from .tiles import TILE, tile_cells
 
 BOUNDS = ("xini", "xend", "yini", "yend")
+#: Query rows (bounds and a few numbers each) up to this count are broadcast to the raster.
+BROADCAST_ROWS = 200_000
 
 
 def get_cell(cells: DataFrame, row: int, col: int) -> DataFrame:
@@ -26,9 +28,18 @@ def get_cell(cells: DataFrame, row: int, col: int) -> DataFrame:
 
 
 def get_cell_batch(queries: DataFrame, cells: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """queries (query_id and keys) with value; 0 outside."""
-    found = queries.join(cells, list(keys), "left")
-    return found.select("query_id", *keys, F.coalesce("value", F.lit(0)).cast(cells.schema["value"].dataType).alias("value"))
+    """queries (query_id and keys) with value; 0 outside. The cells are filtered by the points and
+    stay where they are; only what was found is joined back to the queries."""
+    kind = cells.schema["value"].dataType
+    points = queries.select(*keys).distinct()
+    found = cells.join(broadcast_if_small(points), list(keys)).select(*keys, "value")
+    return queries.join(found, list(keys), "left").select("query_id", *keys, F.coalesce("value", F.lit(0)).cast(kind).alias("value"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df to be broadcast if it has at most BROADCAST_ROWS rows; they are counted unless given."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def values_window(cells: DataFrame, xini: int, xend: int, yini: int, yend: int) -> DataFrame:
@@ -52,25 +63,22 @@ def cells_by_value(cells: DataFrame, xini: int, xend: int, yini: int, yend: int,
     return values_window(cells, xini, xend, yini, yend).where(F.col("value").between(valini, valend)).select("row", "col")
 
 
-def stored_window(tiles: DataFrame, xini: int, xend: int, yini: int, yend: int, valini: int, valend: int, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
-    """([t,] row, col, value) of matches in stored tiles: tile numbers and the least and greatest
-    values are plain columns, so row groups that can't match are skipped by their statistics."""
-    near = F.col("tile_row").between(xini // tile, xend // tile) & F.col("tile_col").between(yini // tile, yend // tile)
-    hits = tiles.where(near & (F.col("max_value") >= valini) & (F.col("min_value") <= valend))
-    return values_window(tile_cells(hits, keys), xini, xend, yini, yend).where(F.col("value").between(valini, valend))
-
-
-def windows_on_tiles(queries: DataFrame, tiles: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
-    """Each query with each tile that its window touches (and, with keys ("t",), its times)."""
+def touched_tiles(queries: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
+    """Each query with the numbers of each tile that its window touches (and, with keys ("t",), its times)."""
     ids = lambda a, b: F.explode(F.sequence(int_(F.floor(F.col(a) / tile)), int_(F.floor(F.col(b) / tile))))
     wide = queries.where("xini <= xend AND yini <= yend").withColumn("tile_row", ids("xini", "xend")).withColumn("tile_col", ids("yini", "yend"))
     if "t" in keys:
         wide = wide.where("tini <= tend").withColumn("t", F.explode(F.sequence("tini", "tend")))
-    return wide.join(tiles, [*keys, "tile_row", "tile_col"])
+    return wide
+
+
+def windows_on_tiles(queries: DataFrame, tiles: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
+    """Each query with each tile that its window touches."""
+    return touched_tiles(queries, tile, keys).join(tiles, [*keys, "tile_row", "tile_col"])
 
 
-def _inside() -> Column:
-    """The tile lies wholly in the window."""
+def inside() -> Column:
+    """The tile (or node) lies wholly in the window."""
     return (
         (F.col("base_row") >= F.col("xini"))
         & (F.col("base_row") + F.col("h") - 1 <= F.col("xend"))
@@ -79,50 +87,83 @@ def _inside() -> Column:
     )
 
 
-def _all_match() -> Column:
+def touches() -> Column:
+    """The tile's box and the window have places in common."""
+    return (F.col("base_row") <= F.col("xend")) & (F.col("base_row") + F.col("h") > F.col("xini")) & (F.col("base_col") <= F.col("yend")) & (F.col("base_col") + F.col("w") > F.col("yini"))
+
+
+def full() -> Column:
+    """Every place of the box has its cell."""
+    return F.col("n_cells") == F.col("h").cast("bigint") * F.col("w")
+
+
+def all_match() -> Column:
     return (F.col("min_value") >= F.col("valini")) & (F.col("max_value") <= F.col("valend"))
 
 
-def _some_may_match() -> Column:
+def some_may_match() -> Column:
     return (F.col("max_value") >= F.col("valini")) & (F.col("min_value") <= F.col("valend"))
 
 
-def _unpacked(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+def unpacked(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The cells of the given query-tile pairs that lie in the window."""
     carry = ["query_id", *keys, *BOUNDS, "valini", "valend"]
     return tile_cells(hits, carry).where(in_window(F.col("row"), F.col("col"), F.col("xini"), F.col("xend"), F.col("yini"), F.col("yend")))
 
 
+def matching_cells(hits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(query_id, [t,] row, col) of every match in query-tile pairs."""
+    return unpacked(hits.where(some_may_match()), keys).where(F.col("value").between(F.col("valini"), F.col("valend"))).select("query_id", *keys, "row", "col")
+
+
+def matching_counts(queries: DataFrame, hits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(query_id, n_cells); tiles wholly inside window and range are counted without unpacking."""
+    hits = hits.where(some_may_match())
+    whole = hits.where(inside() & all_match()).select("query_id", F.col("n_cells").cast("bigint").alias("n"))
+    part = unpacked(hits.where(~(inside() & all_match())), keys).where(F.col("value").between(F.col("valini"), F.col("valend")))
+    return counts_of(queries, whole.unionByName(part.groupBy("query_id").agg(F.count("*").alias("n"))))
+
+
+def counts_of(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, n_cells): the sum of found (query_id, n), 0 where there is none."""
+    n = found.groupBy("query_id").agg(F.sum("n").alias("n"))
+    return queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_cells"))
+
+
+def sure_of_cells() -> Column:
+    """The tile has a cell in the window for sure."""
+    return touches() & (full() | inside())
+
+
+def checked(queries: DataFrame, hits: DataFrame, strong: bool, keys: Sequence[str] = ()) -> DataFrame:
+    """(query_id, result) from query-tile pairs; see check_batch."""
+    decided = sure_of_cells() & ((inside() & all_match()) | ~some_may_match())
+    if not strong:  # that a tile has no match says nothing of a weak check, with cells or without
+        hits = hits.where(some_may_match())
+    sure = hits.where(decided).select("query_id", some_may_match().alias("match"))
+    rest = unpacked(hits.where(~decided), keys).select("query_id", F.col("value").between(F.col("valini"), F.col("valend")).alias("match"))
+    both = sure.unionByName(rest)
+    found = both.groupBy("query_id").agg((F.bool_and if strong else F.bool_or)("match").alias("result"))
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("result", F.lit(strong)).alias("result"))
+
+
 def cells_by_value_batch(queries: DataFrame, tiles: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
     """(query_id, [t,] row, col) of every match."""
-    hits = windows_on_tiles(queries, tiles, tile, keys).where(_some_may_match())
-    return _unpacked(hits, keys).where(F.col("value").between(F.col("valini"), F.col("valend"))).select("query_id", *keys, "row", "col")
+    return matching_cells(windows_on_tiles(queries, tiles, tile, keys), keys)
 
 
 def count_by_value_batch(queries: DataFrame, tiles: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
-    """(query_id, n_cells); tiles wholly inside window and range are counted without unpacking."""
-    hits = windows_on_tiles(queries, tiles, tile, keys).where(_some_may_match())
-    whole = hits.where(_inside() & _all_match()).select("query_id", F.col("n_cells").cast("bigint").alias("n"))
-    part = _unpacked(hits.where(~(_inside() & _all_match())), keys).where(F.col("value").between(F.col("valini"), F.col("valend")))
-    n = whole.unionByName(part.groupBy("query_id").agg(F.count("*").alias("n"))).groupBy("query_id").agg(F.sum("n").alias("n"))
-    return queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_cells"))
+    """(query_id, n_cells) of the matches."""
+    return matching_counts(queries, windows_on_tiles(queries, tiles, tile, keys), keys)
 
 
 def check_batch(queries: DataFrame, tiles: DataFrame, strong: bool, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
     """(query_id, result): whether all cells (strong) or any cell (weak) of the window match.
 
-    An empty window is true for strong and false for weak. Tiles whose least and greatest
+    A window without cells is true for strong and false for weak. Tiles whose least and greatest
     value decide them aren't unpacked.
     """
-    hits = windows_on_tiles(queries, tiles, tile, keys)
-    decided = (_inside() & _all_match()) | ~_some_may_match()
-    # A tile without any match decides for its window's cells too: there is one at least, as the tile touches the window.
-    touch = (F.col("base_row") <= F.col("xend")) & (F.col("base_row") + F.col("h") > F.col("xini")) & (F.col("base_col") <= F.col("yend")) & (F.col("base_col") + F.col("w") > F.col("yini"))
-    sure = hits.where(decided & touch).select("query_id", _some_may_match().alias("match"))
-    rest = _unpacked(hits.where(~decided), keys).select("query_id", F.col("value").between(F.col("valini"), F.col("valend")).alias("match"))
-    both = sure.unionByName(rest)
-    found = both.groupBy("query_id").agg((F.bool_and if strong else F.bool_or)("match").alias("result"))
-    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("result", F.lit(strong)).alias("result"))
+    return checked(queries, windows_on_tiles(queries, tiles, tile, keys), strong, keys)
 
 
 def check_window(cells: DataFrame, xini: int, xend: int, yini: int, yend: int, valini: int, valend: int, strong: bool) -> bool:

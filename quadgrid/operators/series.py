@@ -19,12 +19,24 @@ def info(cells: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_steps(cells: DataFrame, every: int) -> DataFrame:
+    """(t, snap_t): a row for each step that has cells. Steps divisible by `every` are snapshots, as
+    is the first; any other step refers to the last snapshot that there is."""
+    steps = cells.select("t").distinct()
+    by = Window.orderBy("t")  # a row for each step
+    is_snapshot = (F.col("t") % every == 0) | (F.row_number().over(by) == 1)
+    last = F.max(F.when(is_snapshot, F.col("t"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return steps.select("t", int_(last).alias("snap_t"))
+
+
 def snapshot_deltas(cells: DataFrame, every: int) -> DataFrame:
-    """(t, snap_t, row, col, delta): values at snapshots (t divisible by `every`), else the difference from the last one."""
-    at = cells.withColumn("snap_t", int_(F.col("t") - F.col("t") % every))
-    snap = cells.where(F.col("t") % every == 0).select(F.col("t").alias("snap_t"), "row", "col", F.col("value").alias("base"))
-    joined = at.join(snap, ["snap_t", "row", "col"])
-    delta = F.when(F.col("t") == F.col("snap_t"), F.col("value")).otherwise(F.col("value") - F.col("base"))
+    """(t, snap_t, row, col, delta): values at snapshots, else the difference from the last one, where
+    a cell that it lacks counts as 0."""
+    steps = snapshot_steps(cells, every)
+    at = cells.join(steps, "t")
+    snap = at.where("t = snap_t").select("snap_t", "row", "col", F.col("value").alias("base"))
+    joined = at.join(snap, ["snap_t", "row", "col"], "left")
+    delta = F.when(F.col("t") == F.col("snap_t"), F.col("value")).otherwise(F.col("value") - F.coalesce("base", F.lit(0)))
     return joined.select("t", "snap_t", "row", "col", long_(delta).alias("delta"))
 
 
@@ -35,8 +47,8 @@ def zigzag_deltas(deltas: DataFrame) -> DataFrame:
 def reconstruct(deltas: DataFrame) -> DataFrame:
     """(t, row, col, value) from snapshots and differences."""
     snap = deltas.where("t = snap_t").select("snap_t", "row", "col", F.col("delta").alias("base"))
-    joined = deltas.join(snap, ["snap_t", "row", "col"])
-    value = F.when(F.col("t") == F.col("snap_t"), F.col("delta")).otherwise(F.col("base") + F.col("delta"))
+    joined = deltas.join(snap, ["snap_t", "row", "col"], "left")
+    value = F.when(F.col("t") == F.col("snap_t"), F.col("delta")).otherwise(F.coalesce("base", F.lit(0)) + F.col("delta"))
     return joined.select("t", "row", "col", long_(value).alias("value"))
 
 
@@ -65,8 +77,9 @@ def changed_cells(cells: DataFrame) -> DataFrame:
 
 def adaptive_snapshots(cells: DataFrame, share: float = 0.5) -> DataFrame:
     """(t, is_snapshot, snap_t): a step is a snapshot if more than `share` of its cells changed."""
-    marked = changed_cells(cells).select("t", ((F.col("n_changed") > share * F.col("n_cells")) | (F.col("t") == 0)).alias("is_snapshot"))
-    last = F.max(F.when(F.col("is_snapshot"), F.col("t"))).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))  # a row for each step
+    by = Window.orderBy("t")  # a row for each step
+    marked = changed_cells(cells).select("t", ((F.col("n_changed") > share * F.col("n_cells")) | (F.row_number().over(by) == 1)).alias("is_snapshot"))
+    last = F.max(F.when(F.col("is_snapshot"), F.col("t"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("snap_t", last)
 
 

@@ -6,22 +6,36 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions.keys import color_ramp
-from ..operators import algebra, query, series, stats, tiles, workload
+from ..operators import algebra, descent, query, series, stats, store, tiles, workload
 
 _W = (40, 160, 8, 40)  # the window of the single queries
 LEVELS = 4
 
 
-def _tiles(cells, tile=tiles.TILE):
-    return tiles.build_tiles(cells, tile)
+_STORES: dict[tuple, str] = {}
+
+
+def stored(s, d, name: str) -> store.TileStore:
+    """A raster's store, which a session writes once and then queries often."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _STORES:
+        cells, tile, keys = {
+            "embeddings": (m.embedding_cells, tiles.TILE, ()),
+            "demand": (m.demand_cells, 8, ()),
+            "events": (m.event_cells, 8, ("t",)),
+        }[name]
+        path = m.scratch(s, name)
+        store.save(tiles.build_tiles(cells(s, d), tile, keys), path, tile, keys, region=2)
+        _STORES[key] = path
+    return store.load(s, _STORES[key])
 
 
-def _event_tiles(s, d):
-    return tiles.build_tiles(m.event_cells(s, d), 8, ["t"])
+def _tiles(cells, tile=tiles.TILE):
+    return tiles.build_tiles(cells, tile)
 
 
 def _summary(s, d):
-    strong = query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), True)
+    strong = stored(s, d, "demand").check(m.region_queries(s), True)
     return strong.agg(F.count_if("result").alias("n_true"), F.count_if(~F.col("result")).alias("n_false"))
 
 
@@ -30,10 +44,9 @@ def _ts_dense(s, d):
     return query.values_window(c, 2, 9, 5, 17)
 
 
-def _ts_get_cell(s, d):
+def _ts_points(s):
     i = F.col("id")
-    q = s.range(200).select(i.alias("query_id"), m.int_(i * 7 % 33).alias("t"), m.int_(i * 5 % 18).alias("row"), m.int_(i * 11 % 26).alias("col"))
-    return query.get_cell_batch(q, m.event_cells(s, d), ("t", "row", "col"))
+    return s.range(200).select(i.alias("query_id"), m.int_(i * 7 % 33).alias("t"), m.int_(i * 5 % 18).alias("row"), m.int_(i * 11 % 26).alias("col"))
 
 
 def _roundtrip(s, d):
@@ -55,12 +68,6 @@ def _children(s, d):
     return tiles.children(tiles.pyramid(_tiles(m.demand_cells(s, d), 8), LEVELS))
 
 
-def _stored(s, d):
-    path = m.scratch(s, "tiles")
-    tiles.store(_tiles(m.embedding_cells(s, d)), path)
-    return query.stored_window(s.read.parquet(path), *_W, 50, 200).select("row", "col", "value")
-
-
 def _encoded(s, d):
     zones = m.label_zones(s, d)
     return stats.encode_blocks(zones, stats.dictionary_blocks(zones, 2), 2)
@@ -82,17 +89,23 @@ def _pointwise(op):
 
 QUERIES = {
     "raster_info": lambda s, d: tiles.info(m.embedding_cells(s, d)),
-    "get_cell_batch": lambda s, d: query.get_cell_batch(m.access_queries(s), m.embedding_cells(s, d)),
-    "get_cell_total": lambda s, d: query.get_cell_batch(m.access_queries(s), m.embedding_cells(s, d)).agg(m.long_(F.sum("value")).alias("total")),
+    "get_cell_batch": lambda s, d: stored(s, d, "embeddings").get_cells(m.access_queries(s)),
+    "get_cell_total": lambda s, d: stored(s, d, "embeddings").get_cells(m.access_queries(s)).agg(m.long_(F.sum("value")).alias("total")),
     "values_window": lambda s, d: query.values_window(m.embedding_cells(s, d, _W[:2]), *_W),
     "values_window_dense": lambda s, d: query.values_window_dense(m.embedding_cells(s, d, _W[:2]), *_W),
     "cells_by_value": lambda s, d: query.cells_by_value(m.embedding_cells(s, d, _W[:2]), *_W, 50, 200),
-    "stored_cells_by_value": _stored,
-    "cells_by_value_batch": lambda s, d: query.cells_by_value_batch(m.region_queries(s), _tiles(m.demand_cells(s, d))),
-    "cells_by_value_count": lambda s, d: query.count_by_value_batch(m.region_queries(s), _tiles(m.demand_cells(s, d))),
-    "check_strong_batch": lambda s, d: query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), True),
-    "check_weak_batch": lambda s, d: query.check_batch(m.region_queries(s), _tiles(m.demand_cells(s, d)), False),
+    "stored_cells_by_value": lambda s, d: stored(s, d, "embeddings").window(*_W, (50, 200)),
+    "cells_by_value_batch": lambda s, d: stored(s, d, "demand").cells_by_value(m.region_queries(s)),
+    "cells_by_value_count": lambda s, d: stored(s, d, "demand").count_by_value(m.region_queries(s)),
+    "check_strong_batch": lambda s, d: stored(s, d, "demand").check(m.region_queries(s), True),
+    "check_weak_batch": lambda s, d: stored(s, d, "demand").check(m.region_queries(s), False),
     "check_summary": _summary,
+    "descent_cells_by_value": lambda s, d: descent.cells_by_value(m.large_queries(s), stored(s, d, "demand")),
+    "descent_count": lambda s, d: descent.count_by_value(m.large_queries(s), stored(s, d, "demand")),
+    "descent_check_strong": lambda s, d: descent.check(m.large_queries(s), stored(s, d, "demand"), True).results,
+    "descent_check_weak": lambda s, d: descent.check(m.large_queries(s), stored(s, d, "demand"), False).results,
+    "descent_levels": lambda s, d: descent.trace(m.large_queries(s), stored(s, d, "demand")),
+    "ts_descent_cells_by_value": lambda s, d: descent.cells_by_value(m.series_queries(s), stored(s, d, "events")),
     "tile_stats": lambda s, d: _tiles(m.embedding_cells(s, d)).select("tile_row", "tile_col", "min_value", "max_value", "is_uniform", "n_cells"),
     "last_level": lambda s, d: tiles.last_level(_tiles(m.demand_cells(s, d), 8)),
     "pyramid": lambda s, d: tiles.pyramid(_tiles(m.demand_cells(s, d), 8), LEVELS).select("level", "node_row", "node_col", "min_value", "max_value"),
@@ -112,11 +125,11 @@ QUERIES = {
     "zonal_totals": lambda s, d: algebra.zonal_totals(m.embedding_cells(s, d), m.label_zones(s, d)),
     "zonal_sum": lambda s, d: algebra.zonal_sum(m.embedding_cells(s, d), m.label_zones(s, d)),
     "weighted_sum": lambda s, d: algebra.weighted_sum(_tiles(m.supply_cells(s, d), 2)),
-    "ts_get_cell": _ts_get_cell,
+    "ts_get_cell": lambda s, d: stored(s, d, "events").get_cells(_ts_points(s)),
     "ts_values_window": _ts_dense,
-    "ts_cells_by_value": lambda s, d: query.cells_by_value_batch(m.series_queries(s), _event_tiles(s, d), 8, ["t"]),
-    "ts_check_strong": lambda s, d: query.check_batch(m.series_queries(s), _event_tiles(s, d), True, 8, ["t"]),
-    "ts_check_weak": lambda s, d: query.check_batch(m.series_queries(s), _event_tiles(s, d), False, 8, ["t"]),
+    "ts_cells_by_value": lambda s, d: stored(s, d, "events").cells_by_value(m.series_queries(s)),
+    "ts_check_strong": lambda s, d: stored(s, d, "events").check(m.series_queries(s), True),
+    "ts_check_weak": lambda s, d: stored(s, d, "events").check(m.series_queries(s), False),
     "ts_info": lambda s, d: series.info(m.event_cells(s, d)),
     "ts_delta_snapshot": lambda s, d: series.snapshot_deltas(m.event_cells(s, d), 4),
     "ts_delta_zigzag": _zigzag,
@@ -153,6 +166,8 @@ _CTE = {
         FROM range(30) t(i) CROSS JOIN range(16) a(i) CROSS JOIN range(24) b(i) LEFT JOIN (SELECT day(ts) - 1 AS z, user_id % 16 AS x, hour(ts) AS y, count(*) AS v FROM events GROUP BY 1, 2, 3) ON z = t.i AND x = a.i AND y = b.i)""",
     "q": """q AS (SELECT i AS query_id, i * 7 % 64 AS xini, least(63, i * 7 % 64 + i % 9) AS xend, i * 13 % 64 AS yini, least(63, i * 13 % 64 + i % 5) AS yend,
         CASE WHEN i % 8 = 0 THEN 0 ELSE i * 17 % 400 END AS valini, CASE WHEN i % 8 = 0 THEN 100000 ELSE i * 17 % 400 + 20 + i * 5 % 200 END AS valend FROM range(64) r(i))""",
+    "lq": """lq AS (SELECT i AS query_id, i * 5 % 24 AS xini, i * 5 % 24 + 8 + i % 5 * 7 AS xend, i * 11 % 20 AS yini, i * 11 % 20 + 6 + i % 7 * 6 AS yend,
+        CASE i % 3 WHEN 0 THEN i * 3 WHEN 1 THEN 0 ELSE i * 9 END AS valini, CASE i % 3 WHEN 0 THEN i * 3 + 12 WHEN 1 THEN 100000 ELSE i * 9 + 60 END AS valend FROM range(48) r(i))""",
     "tq": """tq AS (SELECT i AS query_id, i * 7 % 16 AS xini, least(15, i * 7 % 16 + i % 4) AS xend, i * 13 % 24 AS yini, least(23, i * 13 % 24 + i % 5) AS yend,
         i % 30 AS tini, least(29, i % 30 + i % 6) AS tend, CASE WHEN i % 4 = 0 THEN 0 ELSE i % 3 END AS valini, CASE WHEN i % 4 = 0 THEN 1000 ELSE i % 3 + 1 END AS valend FROM range(32) r(i))""",
     "points": """points AS (SELECT i AS query_id, cast(i * 37 % 508 AS INTEGER) AS "row", cast(i * 11 % 68 AS INTEGER) AS col FROM range(200) r(i))""",
@@ -195,6 +210,21 @@ ORACLES = {
     "check_weak_batch": _sql("demand q", _check("q", "demand", "bool_or", "false")),
     "check_summary": _sql("demand q", f"SELECT count(*) FILTER (WHERE result) AS n_true, count(*) FILTER (WHERE NOT result) AS n_false FROM ({_check('q', 'demand', 'bool_and', 'true')})"),
     "stored_cells_by_value": _sql("emb", f'SELECT "row", col, value FROM emb WHERE {_IN_W} AND value BETWEEN 50 AND 200'),
+    "descent_cells_by_value": _sql("demand lq", f'SELECT query_id, "row", col FROM lq JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend'),
+    "descent_count": _sql("demand lq", f"SELECT query_id, count(value) AS n_cells FROM lq LEFT JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend GROUP BY query_id"),
+    "descent_check_strong": _sql("demand lq", _check("lq", "demand", "bool_and", "true")),
+    "descent_check_weak": _sql("demand lq", _check("lq", "demand", "bool_or", "false")),
+    # A pair is looked at where its parent was left open; the top level's pairs are those of the windows.
+    "descent_levels": _sql(
+        "demand nodes lq",
+        """, pairs AS (SELECT query_id, level, node_row, node_col, CASE WHEN max_value < valini OR min_value > valend THEN 'none'
+            WHEN min_value >= valini AND max_value <= valend AND node_row * side >= xini AND (node_row + 1) * side - 1 <= xend AND node_col * side >= yini AND (node_col + 1) * side - 1 <= yend THEN 'all' ELSE 'open' END AS state
+            FROM (SELECT *, cast(8 * 2 ** level AS BIGINT) AS side FROM nodes) JOIN lq ON node_row * side <= xend AND (node_row + 1) * side > xini AND node_col * side <= yend AND (node_col + 1) * side > yini)
+        SELECT c.level, count(*) AS n_pairs, count(*) FILTER (WHERE c.state = 'none') AS n_none, count(*) FILTER (WHERE c.state = 'all') AS n_all, count(*) FILTER (WHERE c.state = 'open') AS n_open
+        FROM pairs c LEFT JOIN pairs p ON p.query_id = c.query_id AND p.level = c.level + 1 AND p.node_row = c.node_row // 2 AND p.node_col = c.node_col // 2
+        WHERE c.level = 3 OR p.state = 'open' GROUP BY c.level""",
+    ).replace("\n, pairs", ", pairs"),
+    "ts_descent_cells_by_value": _sql("ev tq", f'SELECT query_id, t, "row", col FROM tq JOIN ev ON {_MATCH} AND t BETWEEN tini AND tend AND value BETWEEN valini AND valend'),
     "algebra_tiles_unequal": _algebra("*"),
     "decoded_blocks_zones": _sql("zones", 'SELECT "row", col, cast(value AS BIGINT) AS value FROM zones'),
     "block_mean_levels": _sql(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import CELLS_T
-from ..operators.tiles import TILE, build_tiles, store
+from ..operators.tiles import TILE, build_tiles, write_tiles
 
 
 def append_steps(spark: SparkSession, source: str, target: str, checkpoint: str, tile: int = TILE):
@@ -14,7 +14,7 @@ def append_steps(spark: SparkSession, source: str, target: str, checkpoint: str,
     both, each with the cells of its batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        store(build_tiles(batch, tile, ["t"]), f"{target}/batch={number}", ["t"])
+        write_tiles(build_tiles(batch, tile, ["t"]), f"{target}/batch={number}", ["t"])
 
     cells = spark.readStream.schema(CELLS_T).parquet(source)
     return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadgrid import model as m
 from quadgrid.functions import keys
-from quadgrid.operators import algebra, query, series, stats, tiles, workload
+from quadgrid.operators import algebra, query, series, stats, store, tiles, workload
 from quadgrid.sources import files
 from quadgrid.streaming.append import append_steps
 
@@ -155,8 +155,7 @@ def test_tile_algebra_on_other_extents(spark, a_size, b_size):
 
 def test_stored_window_skips_by_statistics(spark, tmp_path):
     c = cells(spark, [[i * 40 + j for j in range(40)] for i in range(40)])
-    tiles.store(tiles.build_tiles(c, 8), str(tmp_path / "t"))
-    found = query.stored_window(spark.read.parquet(str(tmp_path / "t")), 3, 12, 5, 20, 300, 420, 8)
+    found = store.save(tiles.build_tiles(c, 8), str(tmp_path / "t"), 8).window(3, 12, 5, 20, (300, 420))
     assert as_dict(found) == {(i, j): i * 40 + j for i in range(3, 13) for j in range(5, 21) if 300 <= i * 40 + j <= 420}
     plan = found._jdf.queryExecution().toString()
     assert all(x in plan.split("PushedFilters: [")[1].split("]")[0] for x in ("tile_row", "tile_col", "max_value", "min_value"))
