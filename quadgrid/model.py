@@ -103,6 +103,13 @@ def label_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(int_("vec_id").alias("row"), F.posexplode("embedding").alias("col", "x"), int_("label").alias("value")).drop("x")
 
 
+def zone_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels as a series of four zone rasters: vectors are dealt to the steps in turn."""
+    e = _table(spark, sf_dir, "embeddings")
+    at = [int_(F.col("vec_id") % 4).alias("t"), int_(F.floor(F.col("vec_id") / 4)).alias("row")]
+    return e.select(*at, F.posexplode("embedding").alias("col", "x"), long_("label").alias("value")).drop("x")
+
+
 def demand_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered quantity by part and order group, 64 x 64."""
     li = _table(spark, sf_dir, "lineitem")
@@ -176,3 +183,20 @@ def series_queries(spark: SparkSession, n: int = 32) -> DataFrame:
         long_(F.when(every, 0).otherwise(i % 3)).alias("valini"),
         long_(F.when(every, 1000).otherwise(i % 3 + 1)).alias("valend"),
     )
+
+
+def zone_queries(spark: SparkSession, n: int = 40) -> DataFrame:
+    """Boxes of time, row, column and label over the zone series; every fifth takes all labels."""
+    i = F.col("id")
+    every = i % 5 == 0
+    return spark.range(n).select(
+        i.alias("query_id"),
+        int_(i * 7 % 110).alias("xini"),
+        int_(i * 7 % 110 + i % 9).alias("xend"),
+        int_(i * 13 % 60).alias("yini"),
+        int_(i * 13 % 60 + i % 7).alias("yend"),
+        int_(i % 4).alias("tini"),
+        int_(F.least(F.lit(3), i % 4 + i % 2)).alias("tend"),
+        long_(F.when(every, 0).otherwise(i % 8)).alias("valini"),
+        long_(F.when(every, 1000).otherwise(i % 8 + i % 3)).alias("valend"),
+    )

@@ -147,6 +147,16 @@ def checked(queries: DataFrame, hits: DataFrame, strong: bool, keys: Sequence[st
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("result", F.lit(strong)).alias("result"))
 
 
+def picked(points: DataFrame, hits: DataFrame, keys: Sequence[str], kind) -> DataFrame:
+    """points (query_id, row, col and keys) with value, 0 outside; hits has each point beside its tile."""
+    r, c = F.col("row") - F.col("base_row"), F.col("col") - F.col("base_col")
+    place = F.when((r >= 0) & (r < F.col("h")) & (c >= 0) & (c < F.col("w")), int_(r * F.col("w") + c))
+    place = F.when(F.col("positions").isNull(), place).otherwise(F.nullif(F.array_position("positions", place), F.lit(0)) - 1)
+    value = F.when(F.col("is_uniform") & place.isNotNull(), F.col("values")[0]).otherwise(F.get("values", place))
+    found = hits.select("query_id", value.alias("value"))
+    return points.join(found, "query_id", "left").select("query_id", *keys, "row", "col", F.coalesce("value", F.lit(0)).cast(kind).alias("value"))
+
+
 def cells_by_value_batch(queries: DataFrame, tiles: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
     """(query_id, [t,] row, col) of every match."""
     return matching_cells(windows_on_tiles(queries, tiles, tile, keys), keys)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import half_up
-from ..model import int_, long_
+from ..model import cut, int_, long_
 
 
 def value_frequency(cells: DataFrame) -> DataFrame:
@@ -33,22 +33,34 @@ def block_frequency(cells: DataFrame, side: int, keys: Sequence[str] = ()) -> Da
     return blocks(cells, side, keys).groupBy("block").agg(F.count("*").alias("n"))
 
 
+def worth_a_codeword(found: DataFrame, values: DataFrame) -> DataFrame:
+    """Of found (block, n, size, ...) the blocks that are cheaper as codewords: a block of S cells and
+    frequency f stays if floor(32 S + f Hw) <= floor(f S Hv), with the entropies Hw of blocks and Hv of
+    values (value, n)."""
+    hw, hv = entropy(found).scalar(), entropy(values).scalar()
+    return found.where(F.floor(32 * F.col("size") + F.col("n") * hw) <= F.floor(F.col("n") * F.col("size") * hv))
+
+
+def numbered(kept: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(codeword, block, n, ...): codewords from 1 by falling frequency, then by block.
+
+    Rows are range-partitioned in that order and ranked within their partition; the counts of the
+    partitions before give the base. Equal frequencies, which most entries have, are spread too."""
+    order = [F.desc("n"), F.asc("block")]
+    ranged = cut(kept.select("block", "n", *more).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "codewords")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    base = sizes.select("part", before.alias("base"))
+    code = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("base")
+    return ranged.join(base, "part").select(long_(code).alias("codeword"), "block", "n", *more)
+
+
 def dictionary_blocks(cells: DataFrame, side: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(codeword, block, n): the blocks that are cheaper as codewords, numbered by frequency.
-
-    A block of S cells and frequency f stays if floor(32 S + f Hw) <= floor(f S Hv), with the
-    entropies Hw of blocks and Hv of values.
-    """
-    found = blocks(cells, side, keys).groupBy("block").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    hw, hv = entropy(found).scalar(), entropy(value_frequency(cells)).scalar()
-    kept = found.where(F.floor(32 * F.col("size") + F.col("n") * hw) <= F.floor(F.col("n") * F.col("size") * hv))
-    # Numbered by frequency: within one frequency by block, after all blocks of greater ones. The
-    # window over all rows sees one for each frequency only.
-    per_n = kept.groupBy("n").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = per_n.select("n", before.alias("base"))
-    code = F.row_number().over(Window.partitionBy("n").orderBy("block")) + F.col("base")
-    return kept.join(base, "n").select(long_(code).alias("codeword"), "block", "n")
+    """(codeword, block, n): the blocks that are cheaper as codewords, numbered by frequency. Blocks are
+    counted once, into a table; entropies and the choice read that. Values are counted from it too."""
+    found = cut(blocks(cells, side, keys).groupBy("block").agg(F.count("*").alias("n"), F.max("size").alias("size")), "blocks")
+    values = found.select(F.explode(F.split("block", ",")).alias("value"), "n").groupBy("value").agg(F.sum("n").alias("n"))
+    return numbered(worth_a_codeword(found, values))
 
 
 def encode_blocks(cells: DataFrame, dictionary: DataFrame, side: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -74,16 +74,14 @@ class TileStore:
 
     def get_cells(self, points: DataFrame) -> DataFrame:
         """points (query_id, row, col[, t]) with value, 0 outside: a tile is read and one element taken."""
-        keys = [*self.keys, "row", "col"]
-        at = points.withColumns({f"tile_{x}": int_(F.floor(F.col(x) / self.tile)) for x in ("row", "col")})
-        hits = self.join(at.where("row >= 0 AND col >= 0"))
-        r, c = F.col("row") - F.col("base_row"), F.col("col") - F.col("base_col")
-        place = F.when((r >= 0) & (r < F.col("h")) & (c >= 0) & (c < F.col("w")), int_(r * F.col("w") + c))
-        place = F.when(F.col("positions").isNull(), place).otherwise(F.nullif(F.array_position("positions", place), F.lit(0)) - 1)
-        value = F.when(F.col("is_uniform") & place.isNotNull(), F.col("values")[0]).otherwise(F.get("values", place))
-        found = hits.select("query_id", value.alias("value"))
-        kind = self.tiles.schema["values"].dataType.elementType
-        return points.join(found, "query_id", "left").select("query_id", *keys, F.coalesce("value", F.lit(0)).cast(kind).alias("value"))
+        return q.picked(points, self.join(self.tiles_of(points)), self.keys, self.kind)
+
+    def tiles_of(self, points: DataFrame) -> DataFrame:
+        return points.withColumns({f"tile_{x}": int_(F.floor(F.col(x) / self.tile)) for x in ("row", "col")}).where("row >= 0 AND col >= 0")
+
+    @property
+    def kind(self):
+        return self.tiles.schema["values"].dataType.elementType
 
     def window(self, xini: int, xend: int, yini: int, yend: int, values: tuple[int, int] | None = None) -> DataFrame:
         """([t,] row, col, value) of one window, and value range: partitions and row groups are
@@ -114,18 +112,18 @@ def save(
 ) -> TileStore:
     """Store tiles (built with this tile size), their pyramid and their properties below path.
 
-    Files follow the Morton order over all tasks, so a region's tiles lie together, and a region
-    with many is spread over tasks. With buckets, the tiles are a bucketed table instead."""
+    Tasks are rebalanced by region: small regions share a task, one with many tiles is spread over
+    several; within a file tiles lie in Morton order. With buckets, the tiles are a bucketed table."""
     spark, name = tiles.sparkSession, ""
-    z = morton(F.col("tile_row"), F.col("tile_col"))
     if buckets:
         name = f"tiles_{uuid.uuid4().hex[:12]}"
         by = [*keys, "tile_row", "tile_col"]
         tiles.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{path}/tiles").saveAsTable(name)
     else:
-        at = tiles.withColumn("region", region_of(F.col("tile_row"), F.col("tile_col"), region)).withColumn("_z", z)
-        order = [*keys, "region", "_z"]
-        at.repartitionByRange(*order).sortWithinPartitions(*order).drop("_z").write.partitionBy(*keys, "region").parquet(f"{path}/tiles")
+        at = tiles.withColumn("region", region_of(F.col("tile_row"), F.col("tile_col"), region))
+        by = [*keys, "region"]
+        order = [*by, morton(F.col("tile_row"), F.col("tile_col"))]
+        at.hint("rebalance", *by).sortWithinPartitions(*order).write.partitionBy(*by).parquet(f"{path}/tiles")
     stored = spark.table(name) if buckets else spark.read.parquet(f"{path}/tiles")
     pyramid(stored, levels, factor, keys).write.partitionBy("level").parquet(f"{path}/nodes")
     row = (tile, region, levels, factor, ",".join(keys), name)

@@ -6,28 +6,44 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions.keys import color_ramp
-from ..operators import algebra, descent, query, series, stats, store, tiles, workload
+from ..operators import algebra, coded, delta_store, descent, query, series, stats, store, tiles, workload
 
 _W = (40, 160, 8, 40)  # the window of the single queries
 LEVELS = 4
 
 
-_STORES: dict[tuple, str] = {}
+_STORES: dict[tuple, object] = {}
 
 
-def stored(s, d, name: str) -> store.TileStore:
-    """A raster's store, which a session writes once and then queries often."""
+def _once(s, d, name: str, make):
+    """What make(folder) stores, which a session writes once and then queries often."""
     key = (s.sparkContext.applicationId, d, name)
     if key not in _STORES:
-        cells, tile, keys = {
-            "embeddings": (m.embedding_cells, tiles.TILE, ()),
-            "demand": (m.demand_cells, 8, ()),
-            "events": (m.event_cells, 8, ("t",)),
-        }[name]
-        path = m.scratch(s, name)
-        store.save(tiles.build_tiles(cells(s, d), tile, keys), path, tile, keys, region=2)
-        _STORES[key] = path
-    return store.load(s, _STORES[key])
+        _STORES[key] = make(m.scratch(s, name))
+    return _STORES[key]
+
+
+def stored(s, d, name: str) -> store.TileStore:
+    """A raster's tile store."""
+    cells, tile, keys = {
+        "embeddings": (m.embedding_cells, tiles.TILE, ()),
+        "demand": (m.demand_cells, 8, ()),
+        "events": (m.event_cells, 8, ("t",)),
+        "small_events": (m.event_cells, 2, ("t",)),
+    }[name]
+    return _once(s, d, name, lambda path: store.save(tiles.build_tiles(cells(s, d), tile, keys), path, tile, keys, region=2))
+
+
+def _deltas(s, d) -> delta_store.DeltaStore:
+    """The events' series by a snapshot every four steps."""
+    at = stored(s, d, "small_events").tiles
+    return _once(s, d, "deltas", lambda path: delta_store.save(at, series.snapshot_steps(at, 4), path, 2))
+
+
+def _coded(s, d) -> coded.CodedBlocks:
+    """The zone series in blocks of 2 x 2, by the vocabulary of all its steps."""
+    blocks = lambda: tiles.build_tiles(m.zone_series(s, d), 2, ["t"])
+    return _once(s, d, "coded", lambda path: coded.save(coded.encode(blocks(), 2, ["t"]), path))
 
 
 def _tiles(cells, tile=tiles.TILE):
@@ -136,12 +152,25 @@ QUERIES = {
     "ts_reconstruct": lambda s, d: series.reconstruct(series.snapshot_deltas(m.event_cells(s, d), 4)),
     "ts_delta_window": _ts_window,
     "ts_delta_cells_by_value": lambda s, d: _ts_window(s, d).where(F.col("value").between(1, 2)).select("t", "row", "col"),
+    "ts_delta_get_cell": lambda s, d: _deltas(s, d).get_cells(_ts_points(s)),
+    "ts_delta_batch": lambda s, d: _deltas(s, d).cells_by_value(m.series_queries(s)),
+    "ts_delta_count": lambda s, d: _deltas(s, d).count_by_value(m.series_queries(s)),
+    "ts_delta_check_strong": lambda s, d: _deltas(s, d).check(m.series_queries(s), True),
+    "ts_delta_check_weak": lambda s, d: _deltas(s, d).check(m.series_queries(s), False),
+    "ts_delta_settled": lambda s, d: _deltas(s, d).settled(m.series_queries(s)),
+    "ts_snapshot_costs": lambda s, d: delta_store.step_costs(stored(s, d, "events").tiles, 6),
+    "ts_optimal_snapshots": lambda s, d: delta_store.optimal_snapshots(stored(s, d, "events").tiles, 6),
+    "coded_vocabulary": lambda s, d: _coded(s, d).vocabulary.select("codeword", F.array_join(F.col("word").cast("array<string>"), ",").alias("word"), "n"),
+    "coded_cells": lambda s, d: _coded(s, d).cells(),
+    "coded_cells_by_value": lambda s, d: _coded(s, d).cells_by_value(m.zone_queries(s)),
+    "coded_get_cell": lambda s, d: _coded(s, d).get_cells(_ts_points(s)),
+    "coded_settled": lambda s, d: _coded(s, d).settled(m.zone_queries(s)),
     "ts_verify": lambda s, d: series.verify(m.event_cells(s, d), series.snapshot_deltas(m.event_cells(s, d), 4)),
     "ts_adaptive_snapshots": lambda s, d: series.adaptive_snapshots(m.event_cells(s, d), 0.4),
     "value_frequency": lambda s, d: stats.value_frequency(m.event_cells(s, d)),
     "value_entropy": lambda s, d: stats.entropy(stats.value_frequency(m.event_cells(s, d))).select(F.round("entropy", 6).alias("entropy")),
     "block_frequency": lambda s, d: stats.block_frequency(m.event_cells(s, d), 2, ["t"]),
-    "dictionary_blocks": lambda s, d: stats.dictionary_blocks(m.event_cells(s, d), 2, ["t"]),
+    "dictionary_blocks": lambda s, d: stats.dictionary_blocks(m.zone_series(s, d), 2, ["t"]),
     "dictionary_blocks_zones": lambda s, d: stats.dictionary_blocks(m.label_zones(s, d), 2),
     "encoded_blocks_zones": _encoded,
     "decoded_blocks_zones": _decoded,
@@ -170,6 +199,22 @@ _CTE = {
         CASE i % 3 WHEN 0 THEN i * 3 WHEN 1 THEN 0 ELSE i * 9 END AS valini, CASE i % 3 WHEN 0 THEN i * 3 + 12 WHEN 1 THEN 100000 ELSE i * 9 + 60 END AS valend FROM range(48) r(i))""",
     "tq": """tq AS (SELECT i AS query_id, i * 7 % 16 AS xini, least(15, i * 7 % 16 + i % 4) AS xend, i * 13 % 24 AS yini, least(23, i * 13 % 24 + i % 5) AS yend,
         i % 30 AS tini, least(29, i % 30 + i % 6) AS tend, CASE WHEN i % 4 = 0 THEN 0 ELSE i % 3 END AS valini, CASE WHEN i % 4 = 0 THEN 1000 ELSE i % 3 + 1 END AS valend FROM range(32) r(i))""",
+    "zs": """zs AS (SELECT cast(vec_id % 4 AS INTEGER) AS t, cast(vec_id // 4 AS INTEGER) AS "row", cast(i - 1 AS INTEGER) AS col, cast(label AS BIGINT) AS value
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))""",
+    "zq": """zq AS (SELECT i AS query_id, i * 7 % 110 AS xini, i * 7 % 110 + i % 9 AS xend, i * 13 % 60 AS yini, i * 13 % 60 + i % 7 AS yend, i % 4 AS tini, least(3, i % 4 + i % 2) AS tend,
+        CASE WHEN i % 5 = 0 THEN 0 ELSE i % 8 END AS valini, CASE WHEN i % 5 = 0 THEN 1000 ELSE i % 8 + i % 3 END AS valend FROM range(40) r(i))""",
+    # Blocks of 2 x 2 cells as their greatest value and how far each cell lies below it.
+    "zb": """zb AS (SELECT t, "row" // 2 AS block_row, col // 2 AS block_col, max(value) AS top, min(value) AS low, count(*) AS size, list(value ORDER BY "row", col) AS v FROM zs GROUP BY 1, 2, 3)""",
+    "zw": """zw AS (SELECT *, array_to_string([top - x for x in v], ',') AS word FROM zb)""",
+    "zvoc": """zf AS (SELECT word, count(*) AS n, max(size) AS size FROM zw GROUP BY 1),
+        zhw AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT cast(n AS DOUBLE) AS n FROM zf)),
+        zhv AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT cast(count(*) AS DOUBLE) AS n FROM (SELECT top - unnest(v) AS x FROM zb) GROUP BY x)),
+        zvoc AS (SELECT row_number() OVER (ORDER BY n DESC, word) AS codeword, word, n FROM zf, zhw, zhv WHERE floor(32 * size + n * zhw.h) <= floor(n * size * zhv.h))""",
+    # Tiles of 8 x 8 at each step and as differences from every other step up to six before.
+    "bits": """tile_bits AS (SELECT t, t AS snap_t, "row" // 8 AS a, col // 8 AS b, 64 + count(*) * CASE WHEN max(value) = min(value) THEN 0 ELSE length(bin(max(value) - min(value))) END AS n FROM ev GROUP BY 1, 3, 4
+        UNION ALL SELECT e.t, s.t, e."row" // 8, e.col // 8, 64 + count(*) * CASE WHEN max(e.value - s.value) = min(e.value - s.value) THEN 0 ELSE length(bin(max(e.value - s.value) - min(e.value - s.value))) END
+        FROM ev e JOIN ev s ON s.t BETWEEN e.t - 6 AND e.t - 1 AND s."row" = e."row" AND s.col = e.col GROUP BY 1, 2, 3, 4),
+        bits AS (SELECT t, snap_t, cast(sum(n) AS BIGINT) AS bits FROM tile_bits GROUP BY 1, 2)""",
     "points": """points AS (SELECT i AS query_id, cast(i * 37 % 508 AS INTEGER) AS "row", cast(i * 11 % 68 AS INTEGER) AS col FROM range(200) r(i))""",
     "delta": """delta AS (SELECT e.t, cast(e.t - e.t % 4 AS INTEGER) AS snap_t, e."row", e.col, cast(CASE WHEN e.t % 4 = 0 THEN e.value ELSE e.value - s.value END AS BIGINT) AS delta
         FROM ev e JOIN ev s ON s.t = e.t - e.t % 4 AND s."row" = e."row" AND s.col = e.col)""",
@@ -197,7 +242,49 @@ def _algebra(op: str) -> str:
 
 
 _TIME = " AND t BETWEEN tini AND tend"
+_ZONE_STATE = "CASE WHEN top < valini OR low > valend THEN 'none' WHEN low >= valini AND top <= valend THEN 'all' ELSE 'open' END"
 ORACLES = {
+    "ts_delta_get_cell": _sql(
+        "ev",
+        'SELECT i AS query_id, cast(i * 7 % 33 AS INTEGER) AS t, cast(i * 5 % 18 AS INTEGER) AS "row", cast(i * 11 % 26 AS INTEGER) AS col, coalesce(value, 0) AS value FROM range(200) r(i) LEFT JOIN ev ON t = i * 7 % 33 AND "row" = i * 5 % 18 AND col = i * 11 % 26',
+    ),
+    "ts_delta_batch": _sql("ev tq", f'SELECT query_id, t, "row", col FROM tq JOIN ev ON {_MATCH}{_TIME} AND value BETWEEN valini AND valend'),
+    "ts_delta_count": _sql("ev tq", f"SELECT query_id, count(value) AS n_cells FROM tq LEFT JOIN ev ON {_MATCH}{_TIME} AND value BETWEEN valini AND valend GROUP BY query_id"),
+    "ts_delta_check_strong": _sql("ev tq", _check("tq", "ev", "bool_and", "true", _TIME)),
+    "ts_delta_check_weak": _sql("ev tq", _check("tq", "ev", "bool_or", "false", _TIME)),
+    # The bounds of a tile are those of its snapshot's tile and of its differences, added.
+    "ts_delta_settled": _sql(
+        "ev delta tq",
+        """, tb AS (SELECT t, snap_t, "row" // 2 AS a, col // 2 AS b, min(delta) AS lo, max(delta) AS hi FROM delta GROUP BY 1, 2, 3, 4),
+        tv AS (SELECT x.t, x.snap_t, x.a, x.b, x.lo + CASE WHEN x.t = x.snap_t THEN 0 ELSE s.lo END AS lo, x.hi + CASE WHEN x.t = x.snap_t THEN 0 ELSE s.hi END AS hi
+            FROM tb x JOIN tb s ON s.t = x.snap_t AND s.a = x.a AND s.b = x.b),
+        p AS (SELECT t <> snap_t AS relative, hi < valini OR lo > valend AS none, lo >= valini AND hi <= valend AND a * 2 >= xini AND a * 2 + 1 <= xend AND b * 2 >= yini AND b * 2 + 1 <= yend AS whole
+            FROM tv JOIN tq ON t BETWEEN tini AND tend AND a * 2 <= xend AND a * 2 + 1 >= xini AND b * 2 <= yend AND b * 2 + 1 >= yini)
+        SELECT relative, count(*) AS n_pairs, count(*) FILTER (WHERE none) AS n_none, count(*) FILTER (WHERE whole AND NOT none) AS n_all FROM p GROUP BY 1""",
+    ).replace("\n, tb", ", tb"),
+    "ts_snapshot_costs": _sql("ev bits", "SELECT * FROM bits"),
+    # The cheapest way to each step, from the ways to the steps before; then back along the choices.
+    "ts_optimal_snapshots": _sql(
+        "ev bits",
+        """, seg AS (SELECT cast(snap_t AS INTEGER) AS s, cast(t AS INTEGER) AS j, cast(sum(bits) OVER (PARTITION BY snap_t ORDER BY t) AS BIGINT) AS c FROM bits),
+        dp AS (SELECT -1 AS j, [0::BIGINT] AS best, []::INTEGER[] AS pick
+            UNION ALL SELECT dp.j + 1, list_append(any_value(best), min(best[s + 1] + c)), list_append(any_value(pick), -(min(struct_pack(c := best[s + 1] + c, s := -s))).s) FROM dp JOIN seg ON seg.j = dp.j + 1 GROUP BY dp.j),
+        picks AS (SELECT pick FROM dp ORDER BY j DESC LIMIT 1),
+        back AS (SELECT cast(len(pick) - 1 AS INTEGER) AS j, pick FROM picks UNION ALL SELECT cast(pick[j + 1] - 1 AS INTEGER), pick FROM back WHERE pick[j + 1] > 0)
+        SELECT t, t = snap_t AS is_snapshot, snap_t, bits FROM bits JOIN back ON snap_t = pick[j + 1] AND t <= j""",
+    ).replace("\n, seg", ", seg").replace("WITH ", "WITH RECURSIVE ", 1),
+    "coded_vocabulary": _sql("zs zb zw zvoc", "SELECT codeword, word, n FROM zvoc"),
+    "coded_cells": _sql("zs", "SELECT * FROM zs"),
+    "coded_cells_by_value": _sql("zs zq", f'SELECT query_id, t, "row", col FROM zq JOIN zs ON {_MATCH}{_TIME} AND value BETWEEN valini AND valend'),
+    "coded_get_cell": _sql(
+        "zs",
+        'SELECT i AS query_id, cast(i * 7 % 33 AS INTEGER) AS t, cast(i * 5 % 18 AS INTEGER) AS "row", cast(i * 11 % 26 AS INTEGER) AS col, coalesce(value, 0) AS value FROM range(200) r(i) LEFT JOIN zs ON t = i * 7 % 33 AND "row" = i * 5 % 18 AND col = i * 11 % 26',
+    ),
+    "coded_settled": _sql(
+        "zs zb zw zvoc zq",
+        f"""SELECT zvoc.word IS NOT NULL AS coded, count(*) AS n_pairs, count(*) FILTER (WHERE {_ZONE_STATE} = 'none') AS n_none, count(*) FILTER (WHERE {_ZONE_STATE} = 'all') AS n_all, count(*) FILTER (WHERE {_ZONE_STATE} = 'open') AS n_open
+        FROM zw LEFT JOIN zvoc USING (word) JOIN zq ON t BETWEEN tini AND tend AND block_row * 2 <= xend AND block_row * 2 + 1 >= xini AND block_col * 2 <= yend AND block_col * 2 + 1 >= yini GROUP BY 1""",
+    ),
     "raster_info": _sql("emb", 'SELECT cast(max("row") + 1 AS INTEGER) AS n_rows, cast(max(col) + 1 AS INTEGER) AS n_cols, count(*) AS n_cells, min(value) AS min_value, max(value) AS max_value FROM emb'),
     "get_cell_batch": _sql("points emb", _CELL),
     "get_cell_total": _sql("points emb", f"SELECT cast(sum(value) AS BIGINT) AS total FROM ({_CELL})"),
@@ -274,13 +361,6 @@ ORACLES = {
     "value_frequency": _sql("ev", "SELECT value, count(*) AS n FROM ev GROUP BY value"),
     "value_entropy": _sql("ev", "SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT cast(count(*) AS DOUBLE) AS n FROM ev GROUP BY value)"),
     "block_frequency": _sql("ev blocks", "SELECT block, count(*) AS n FROM blocks GROUP BY block"),
-    "dictionary_blocks": _sql(
-        "ev blocks",
-        """, f AS (SELECT block, count(*) AS n, max(size) AS size FROM blocks GROUP BY block),
-        hw AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT cast(n AS DOUBLE) AS n FROM f)),
-        hv AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT cast(count(*) AS DOUBLE) AS n FROM ev GROUP BY value))
-        SELECT row_number() OVER (ORDER BY n DESC, block) AS codeword, block, n FROM f, hw, hv WHERE floor(32 * size + n * hw.h) <= floor(n * size * hv.h)""",
-    ),
     "block_mean": _sql("demand", 'SELECT cast("row" // 8 AS INTEGER) AS block_row, cast(col // 8 AS INTEGER) AS block_col, cast(floor(avg(value) + 0.5) AS BIGINT) AS value FROM demand GROUP BY 1, 2'),
     "color_ramp": _sql(
         "demand",
@@ -290,15 +370,23 @@ ORACLES = {
     "fixed_windows": """SELECT cast(o_orderkey AS BIGINT) AS query_id, x AS xini, x + 8 AS xend, y AS yini, y + 4 AS yend FROM (
         SELECT o_orderkey, cast(least(o_orderkey % 64, 55) AS INTEGER) AS x, cast(least(o_custkey % 64, 59) AS INTEGER) AS y FROM orders)""",
 }
-ORACLES["dictionary_blocks_zones"] = (
-    ORACLES["dictionary_blocks"]
-    .replace(_CTE["ev"], _CTE["zones"])
-    .replace(_CTE["blocks"], _CTE["blocks"].replace("FROM ev GROUP BY t, ", "FROM zones GROUP BY "))
-    .replace("FROM ev GROUP BY value", "FROM zones GROUP BY value")
-    .replace("\n, f AS", ", f AS")
-)
+
+
+def _dictionary(cells: str, by: str) -> str:
+    """The vocabulary of 2 x 2 blocks of values, as text."""
+    return _sql(
+        cells,
+        f"""SELECT row_number() OVER (ORDER BY n DESC, block) AS codeword, block, n FROM (
+        SELECT *, log2(sum(n) OVER ()) - sum(n * log2(n)) OVER () / sum(n) OVER () AS hw FROM (SELECT block, count(*)::DOUBLE AS k, count(*) AS n, max(size) AS size
+            FROM (SELECT string_agg(cast(value AS VARCHAR), ',' ORDER BY "row", col) AS block, count(*) AS size FROM {cells} GROUP BY {by}"row" // 2, col // 2) GROUP BY block)),
+        (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS hv FROM (SELECT count(*)::DOUBLE AS n FROM {cells} GROUP BY value))
+        WHERE floor(32 * size + n * hw) <= floor(n * size * hv)""",
+    )
+
+
+ORACLES["dictionary_blocks"] = _dictionary("zs", "t, ")
+ORACLES["dictionary_blocks_zones"] = _dictionary("zones", "")
 ORACLES["encoded_blocks_zones"] = f"""WITH dict AS ({ORACLES["dictionary_blocks_zones"]}),
     b AS (SELECT cast(vec_id // 2 AS INTEGER) AS block_row, cast((i - 1) // 2 AS INTEGER) AS block_col, string_agg(cast(label AS VARCHAR), ',' ORDER BY vec_id, i) AS block
         FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2)
     SELECT block_row, block_col, coalesce(codeword, 0) AS codeword, CASE WHEN codeword IS NULL THEN block END AS raw FROM b LEFT JOIN dict USING (block)"""
-ORACLES["dictionary_blocks"] = ORACLES["dictionary_blocks"].replace("\n, f AS", ", f AS")
