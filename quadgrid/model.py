@@ -125,6 +125,22 @@ def supply_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(found, SUPPLY)
 
 
+def _block_zones(cells: DataFrame, side: int, per: int) -> DataFrame:
+    """A zone raster, even over blocks: the mean of the block's cells by `per`, rounded down."""
+    at = [F.floor(F.col(x) / side).alias(f"_{x}") for x in ("row", "col")]
+    numbered = cells.select("row", "col", "value", *at)
+    means = numbered.groupBy("_row", "_col").agg(long_(F.floor(F.avg("value") / per)).alias("zone"))
+    return numbered.join(means, ["_row", "_col"]).select("row", "col", F.col("zone").alias("value"))
+
+
+def supply_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_zones(supply_cells(spark, sf_dir), 8, 1)
+
+
+def demand_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_zones(demand_cells(spark, sf_dir), 32, 4)
+
+
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day, user group and hour: a series of 30 rasters of 16 x 24."""
     ev = _table(spark, sf_dir, "events")

@@ -139,6 +139,9 @@ QUERIES = {
     "threshold_tiles": lambda s, d: tiles.tile_cells(algebra.threshold_tiles(_tiles(m.demand_cells(s, d), 4), 30)),
     "threshold_pct": lambda s, d: algebra.ones_percent(algebra.threshold(m.embedding_cells(s, d), 100)),
     "zonal_totals": lambda s, d: algebra.zonal_totals(m.embedding_cells(s, d), m.label_zones(s, d)),
+    "zonal_tiles_sum": lambda s, d: tiles.tile_cells(algebra.zonal_sum_tiles(_tiles(m.embedding_cells(s, d)), _tiles(m.label_zones(s, d)))),
+    "zonal_tiles_totals": lambda s, d: algebra.zonal_totals_tiles(_tiles(m.demand_cells(s, d), 8), _tiles(m.supply_zones(s, d), 8)),
+    "zonal_tiles_cases": lambda s, d: algebra.zonal_pairs(_tiles(m.supply_zones(s, d), 16), _tiles(m.demand_zones(s, d), 16)),
     "zonal_sum": lambda s, d: algebra.zonal_sum(m.embedding_cells(s, d), m.label_zones(s, d)),
     "weighted_sum": lambda s, d: algebra.weighted_sum(_tiles(m.supply_cells(s, d), 2)),
     "ts_get_cell": lambda s, d: stored(s, d, "events").get_cells(_ts_points(s)),
@@ -218,6 +221,8 @@ _CTE = {
     "points": """points AS (SELECT i AS query_id, cast(i * 37 % 508 AS INTEGER) AS "row", cast(i * 11 % 68 AS INTEGER) AS col FROM range(200) r(i))""",
     "delta": """delta AS (SELECT e.t, cast(e.t - e.t % 4 AS INTEGER) AS snap_t, e."row", e.col, cast(CASE WHEN e.t % 4 = 0 THEN e.value ELSE e.value - s.value END AS BIGINT) AS delta
         FROM ev e JOIN ev s ON s.t = e.t - e.t % 4 AND s."row" = e."row" AND s.col = e.col)""",
+    "szones": """szones AS (SELECT "row", col, cast(floor(avg(value) OVER (PARTITION BY "row" // 8, col // 8)) AS BIGINT) AS value FROM supply)""",
+    "dzones": """dzones AS (SELECT "row", col, cast(floor(avg(value) OVER (PARTITION BY "row" // 32, col // 32) / 4) AS BIGINT) AS value FROM demand)""",
     "nodes": """nodes AS (SELECT cast(l.i AS INTEGER) AS level, cast(("row" // 8) // cast(2 ** l.i AS INTEGER) AS INTEGER) AS node_row, cast((col // 8) // cast(2 ** l.i AS INTEGER) AS INTEGER) AS node_col,
         min(value) AS min_value, max(value) AS max_value FROM demand CROSS JOIN range(4) l(i) GROUP BY 1, 2, 3)""",
     "blocks": """blocks AS (SELECT string_agg(cast(value AS VARCHAR), ',' ORDER BY "row", col) AS block, count(*) AS size FROM ev GROUP BY t, "row" // 2, col // 2)""",
@@ -341,6 +346,14 @@ ORACLES = {
     "threshold_pct": _sql("emb", "SELECT cast(floor(count(*) FILTER (WHERE value >= 100) * 100 / count(*)) AS BIGINT) AS pct FROM emb"),
     "zonal_totals": _sql("emb zones", 'SELECT z.value AS zone, cast(sum(a.value) AS BIGINT) AS total FROM emb a JOIN zones z ON a."row" = z."row" AND a.col = z.col GROUP BY 1'),
     "zonal_sum": _sql("emb zones", 'SELECT a."row", a.col, cast(sum(a.value) OVER (PARTITION BY z.value) AS BIGINT) AS value FROM emb a JOIN zones z ON a."row" = z."row" AND a.col = z.col'),
+    "zonal_tiles_sum": _sql("emb zones", 'SELECT a."row", a.col, cast(sum(a.value) OVER (PARTITION BY z.value) AS BIGINT) AS value FROM emb a JOIN zones z ON a."row" = z."row" AND a.col = z.col'),
+    "zonal_tiles_totals": _sql("demand supply szones", 'SELECT z.value AS zone, cast(sum(a.value) AS BIGINT) AS total FROM demand a JOIN szones z ON a."row" = z."row" AND a.col = z.col GROUP BY 1'),
+    "zonal_tiles_cases": _sql(
+        "demand supply szones dzones",
+        """, p AS (SELECT a.value AS v, z.value AS z, min(a.value) OVER w = max(a.value) OVER w AS ua, min(z.value) OVER w = max(z.value) OVER w AS uz
+            FROM szones a JOIN dzones z ON a."row" = z."row" AND a.col = z.col WINDOW w AS (PARTITION BY a."row" // 16, a.col // 16))
+        SELECT CASE WHEN ua AND uz THEN 'uniform' WHEN uz THEN 'zone' WHEN ua THEN 'value' ELSE 'mixed' END AS kind, z AS zone, cast(sum(v) AS BIGINT) AS total FROM p GROUP BY 1, 2""",
+    ).replace("\n, p AS", ", p AS"),
     "weighted_sum": _sql("supply", "SELECT cast(sum(value) AS BIGINT) AS total FROM supply"),
     "ts_get_cell": _sql(
         "ev",

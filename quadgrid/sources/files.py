@@ -2,49 +2,205 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _CELLS = "row int, col int, value int"
+#: Bytes of a file that one task reads.
+PIECE = 32 << 20
 
 
-def read_bin(spark: SparkSession, path: str, n_rows: int, n_cols: int) -> DataFrame:
-    """Little-endian 32-bit integers in row order, without a header.
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
-    A raster row is a record, so a file of any size is split over tasks.
-    """
-    records = spark.sparkContext.binaryRecords(path, 4 * n_cols).zipWithIndex().map(lambda x: (x[1], bytes(x[0])))
-    rows = spark.createDataFrame(records, "row long, raw binary").where(F.col("row") < n_rows)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0).to_numpy()
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4")
-            cols = np.tile(np.arange(n_cols, dtype=np.int32), len(row))
-            yield pa.RecordBatch.from_pydict({"row": pa.array(np.repeat(row, n_cols).astype(np.int32)), "col": pa.array(cols), "value": pa.array(values)})
+def _sizes(paths: list[str]) -> list[int]:
+    """The files' sizes; a missing file is an error."""
+    out = []
+    for path in paths:
+        fs, at = _file_system(path)
+        info = fs.get_file_info(at)
+        if info.type != pafs.FileType.File:
+            raise FileNotFoundError(path)
+        out.append(info.size)
+    return out
 
-    return rows.mapInArrow(unpack, _CELLS)
 
+@dataclass
+class Piece(InputPartition):
+    """A byte range of one file. Binary: `first` is the number of its first cell. Text: `first` is the
+    number of its first word, and a word belongs to the piece in which it begins."""
+
+    path: str
+    t: int
+    start: int
+    end: int
+    first: int
+    n_rows: int
+    n_cols: int
+    scale: int
+    text: bool
+
+    def __post_init__(self) -> None:
+        super().__init__(None)
+
+
+class RasterSource(DataSource):
+    """Raster files as cells: `spark.read.format("quadgrid_raster").option("pieces", ...)`.
+
+    The option lists byte ranges (see `binary_pieces` and `text_pieces`), so a series of any number
+    of steps is one scan with a task for each range."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quadgrid_raster"
+
+    def schema(self) -> str:
+        return f"t int, {_CELLS}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PieceReader([Piece(**p) for p in json.loads(self.options["pieces"])])
+
+
+class _PieceReader(DataSourceReader):
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+    def partitions(self) -> list[InputPartition]:
+        return self.pieces
+
+    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        values = _text_values(piece) if piece.text else _binary_values(piece)
+        pos = piece.first
+        for v in values:
+            at = np.arange(pos, pos + len(v))
+            columns = [np.full(len(v), piece.t, np.int32), (at // piece.n_cols).astype(np.int32), (at % piece.n_cols).astype(np.int32), v]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "row", "col", "value"])
+            pos += len(v)
+
+
+def _binary_values(piece: Piece, step: int = 4 << 20) -> Iterator[np.ndarray]:
+    fs, path = _file_system(piece.path)
+    with fs.open_input_file(path) as f:
+        for at in range(piece.start, piece.end, step):
+            data = f.read_at(min(step, piece.end - at), at)
+            if len(data) != min(step, piece.end - at):
+                raise EOFError(f"{piece.path} ends before byte {piece.end}")
+            yield np.frombuffer(data, "<i4")
+
+
+def _words(path: str, start: int, end: int, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words that begin in a byte range, some at a time; the last one is read to its end."""
+    fs, at = _file_system(path)
+    with fs.open_input_file(at) as f:
+        size = f.size()
+        rest = b"x" if start and f.read_at(1, start - 1).strip() else b""  # a word from before the range
+        skip = bool(rest)
+        for pos in range(start, end, step):
+            data = rest + f.read_at(min(step, end - pos), pos)
+            whole = data[-1:].strip() == b""
+            words = data.split()
+            rest = b"" if whole or not words else words.pop()
+            if skip and words:
+                words, skip = words[1:], False
+            elif skip and whole:
+                skip = False
+            yield words
+        pos = end
+        while rest and pos < size:
+            more = f.read_at(min(4096, size - pos), pos)
+            head = more[:1].strip() and more.split()[0]
+            rest += head or b""
+            if not head or len(head) < len(more):
+                break
+            pos += len(more)
+        if rest and not skip:
+            yield [rest]
+
+
+def _text_values(piece: Piece) -> Iterator[np.ndarray]:
+    """Words from number 12 on (six keys and their values come before) are cells, scaled and truncated."""
+    skip = max(0, -piece.first)
+    piece.first = max(0, piece.first)
+    for words in _words(piece.path, piece.start, piece.end):
+        drop = min(skip, len(words))
+        skip -= drop
+        if words := words[drop:]:
+            yield np.trunc(np.array(words, float) * 10.0**piece.scale).astype(np.int32)
+
+
+def _scan(spark: SparkSession, pieces: list[dict]) -> DataFrame:
+    spark.dataSource.register(RasterSource)
+    return spark.read.format("quadgrid_raster").option("pieces", json.dumps(pieces)).load()
+
+
+def binary_pieces(paths: list[str], n_rows: int, n_cols: int) -> list[dict]:
+    """Ranges of whole cells; a file must have n_rows x n_cols cells of four bytes exactly."""
+    out = []
+    for t, (path, size) in enumerate(zip(paths, _sizes(paths))):
+        if size != 4 * n_rows * n_cols:
+            raise ValueError(f"{path} has {size} bytes instead of {4 * n_rows * n_cols}")
+        for start in range(0, size, PIECE):
+            out.append({"path": path, "t": t, "start": start, "end": min(size, start + PIECE), "first": start // 4, "n_rows": n_rows, "n_cols": n_cols, "scale": 0, "text": False})
+    return out
 
-def read_asc(spark: SparkSession, path: str, scale: int = 0) -> DataFrame:
-    """An ASCII grid: `ncols`, `nrows`, four more key and value lines, then the values, which
-    are multiplied by 10^scale and truncated. Exactly ncols x nrows values count."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def text_pieces(spark: SparkSession, paths: list[str], scale: int) -> list[dict]:
+    """Ranges of ASCII grids: words are counted by range in tasks, and prefix sums give each range the
+    number of its first cell. The header's size and the number of cells must agree."""
+    ranges = [(t, path, a, min(size, a + PIECE)) for t, (path, size) in enumerate(zip(paths, _sizes(paths))) for a in range(0, max(1, size), PIECE)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.split()
-                head = {words[i].lower(): words[i + 1] for i in (0, 2)}
-                cols, rows = int(head["ncols"]), int(head["nrows"])
-                values = np.trunc(np.array(words[12 : 12 + rows * cols], float) * 10.0**scale).astype(np.int32)
-                pos = np.arange(len(values))
-                yield pa.RecordBatch.from_pydict({"row": pa.array((pos // cols).astype(np.int32)), "col": pa.array((pos % cols).astype(np.int32)), "value": pa.array(values)})
+            rows = batch.to_pylist()
+            n = [sum(map(len, _words(r["path"], r["start"], r["end"]))) for r in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n"])
+
+    df = spark.createDataFrame(ranges, "t int, path string, start bigint, end bigint").repartition(max(1, min(len(ranges), 10_000)))
+    counted = sorted(map(tuple, df.mapInArrow(count, "t int, path string, start bigint, end bigint, n bigint").collect()), key=lambda r: (r[0], r[2]))  # a row for each range
+    out, seen, shape = [], {}, {}
+    for t, path, start, end, n in counted:
+        if t not in shape:
+            shape[t] = _header(path)
+        first = seen.get(t, 0)
+        seen[t] = first + n
+        out.append({"path": path, "t": t, "start": start, "end": end, "first": first - 12, "n_rows": shape[t][0], "n_cols": shape[t][1], "scale": scale, "text": True})
+    for t, (rows, cols) in shape.items():
+        if seen[t] - 12 != rows * cols:
+            raise ValueError(f"{paths[t]} has {seen[t] - 12} cells instead of {rows * cols}")
+    return out
+
+
+def _header(path: str) -> tuple[int, int]:
+    """(rows, columns) from `ncols N` and `nrows N` at the beginning, in either order."""
+    fs, at = _file_system(path)
+    with fs.open_input_file(at) as f:
+        words = f.read(1 << 16).split()[:4]
+    head = {words[i].decode().lower(): words[i + 1] for i in range(0, len(words) - 1, 2)}
+    if not {"ncols", "nrows"} <= head.keys():
+        raise ValueError(f"{path} doesn't begin with ncols and nrows")
+    return int(head["nrows"]), int(head["ncols"])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(parse, _CELLS)
+
+def read_bin(spark: SparkSession, path: str, n_rows: int, n_cols: int) -> DataFrame:
+    """Little-endian 32-bit integers in row order, without a header; a file of another size is an error."""
+    return _scan(spark, binary_pieces([path], n_rows, n_cols)).drop("t")
+
+
+def read_asc(spark: SparkSession, path: str, scale: int = 0) -> DataFrame:
+    """An ASCII grid: `ncols`, `nrows`, four more key and value lines, then the values, which
+    are multiplied by 10^scale and truncated. Another number of values than ncols x nrows is an error."""
+    return _scan(spark, text_pieces(spark, [path], scale)).drop("t")
 
 
 def read_raster(spark: SparkSession, path: str, n_rows: int | None = None, n_cols: int | None = None, scale: int = 0) -> DataFrame:
@@ -56,19 +212,20 @@ def read_raster(spark: SparkSession, path: str, n_rows: int | None = None, n_col
     return read_bin(spark, path, n_rows, n_cols)
 
 
-def read_manifest(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """A series: the first line has rows and columns first, the other words are file names in
-    the order of t. One small file for each time step is named, so the list fits the driver."""
+def read_manifest(spark: SparkSession, path: str, folder: str | None = None, scale: int = 0) -> DataFrame:
+    """A series (t, row, col, value): the first line has rows and columns first, the other words are
+    file names in the order of t. All files are one scan; a file's name is all that the driver holds of it."""
     lines = [r["value"] for r in spark.read.text(path).collect()]
     n_rows, n_cols = (int(x) for x in lines[0].split()[:2])
     folder = folder or path.rpartition("/")[0]
-    out = None
-    for t, name in enumerate(" ".join(lines[1:]).split()):
-        one = read_raster(spark, f"{folder}/{name}", n_rows, n_cols).select(F.lit(t).alias("t"), "row", "col", "value")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    paths = [f"{folder}/{name}" for name in " ".join(lines[1:]).split()]
+    if not paths:
         raise ValueError(f"{path} names no raster")
-    return out
+    texts = [t for t, p in enumerate(paths) if p.endswith(".asc")]
+    plain = [t for t in range(len(paths)) if t not in set(texts)]
+    pieces = [p | {"t": plain[p["t"]]} for p in binary_pieces([paths[t] for t in plain], n_rows, n_cols)]
+    pieces += [p | {"t": texts[p["t"]]} for p in (text_pieces(spark, [paths[t] for t in texts], scale) if texts else [])]
+    return _scan(spark, pieces)
 
 
 def read_points(spark: SparkSession, path: str, series: bool = False, header: bool = False) -> DataFrame:
@@ -90,15 +247,87 @@ def _numbers(spark: SparkSession, path: str, names: list[str], header: bool) ->
     return lines.select("query_id", *[F.col("w")[i].cast("int").alias(n) for i, n in enumerate(names)])
 
 
-def write_window(dense: DataFrame, path: str) -> int:
-    """A window (pos, value) as little-endian integers in order; returns how many. The rows
-    come to the driver partition by partition, as the file is one stream."""
-    n = 0
-    with open(path, "wb") as out:
-        for row in dense.orderBy("pos").toLocalIterator():
-            out.write(int(row["value"]).to_bytes(4, "little", signed=True))
-            n += 1
-    return n
+# --- the window sink -------------------------------------------------------------------------
+
+#: Cells of one part file.
+CHUNK = 1 << 20
+
+
+def write_windows(cells: DataFrame, queries: DataFrame, path: str, chunk: int = CHUNK) -> int:
+    """The windows of queries (query_id, xini, xend, yini, yend) in the order of query_id, row by row, as
+    little-endian 32-bit integers; cells is (query_id, row, col, value). Returns how many were written.
+
+    Prefix sums over the windows' sizes give each cell its place in the whole; a task fills the part
+    files of its places, and `manifest` names these in order. Places without a cell are 0.
+    """
+    spark = cells.sparkSession
+    size = (F.col("xend") - F.col("xini") + 1).cast("bigint") * (F.col("yend") - F.col("yini") + 1)
+    sized = queries.where("xini <= xend AND yini <= yend").withColumn("size", size)
+    ranged = sized.repartitionByRange("query_id").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        sums = ranged.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect()  # a row for each partition
+        bases, total = [], 0
+        for r in sums:
+            bases.append((r["part"], total))
+            total += r["n"]
+        if not total:
+            spark.createDataFrame([], "place int, file string, n bigint").coalesce(1).write.json(f"{path}/manifest")
+            return 0
+        base = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
+        within = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        begins = ranged.join(base, "part").withColumn("begin", F.col("base") + within).select("query_id", "begin", "xini", "xend", "yini", "yend")
+        width = F.col("yend") - F.col("yini") + 1
+        inside = F.col("row").between(F.col("xini"), F.col("xend")) & F.col("col").between(F.col("yini"), F.col("yend"))
+        place = F.col("begin") + (F.col("row") - F.col("xini")).cast("bigint") * width + F.col("col") - F.col("yini")
+        placed = cells.join(begins, "query_id").where(inside).select(place.alias("place"), F.col("value").cast("int").alias("value"))
+        n_chunks = -(-total // chunk)
+        marks = spark.range(n_chunks).select((F.col("id") * chunk).alias("place"), F.lit(None).cast("int").alias("value"))
+        both = placed.unionByName(marks).withColumn("chunk", F.floor(F.col("place") / chunk))
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, None
+
+            def flush() -> pa.RecordBatch:
+                n = min(chunk, total - now * chunk)
+                file = _write_part(path, now, held[:n])
+                return pa.RecordBatch.from_pydict({"place": pa.array([now], pa.int64()), "file": pa.array([file]), "n": pa.array([n], pa.int64())})
+
+            for batch in batches:
+                chunks, places, values = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+                known = np.asarray(values.is_valid())
+                values = values.fill_null(0).to_numpy()
+                for c in np.unique(chunks).tolist():
+                    if c != now:
+                        if now is not None:
+                            yield flush()
+                        now, held = c, np.zeros(chunk, "<i4")
+                    mine = (chunks == c) & known
+                    held[places[mine] - c * chunk] = values[mine]
+            if now is not None:
+                yield flush()
+
+        parts = both.repartitionByRange("chunk").sortWithinPartitions("chunk").select("chunk", "place", "value")
+        parts.mapInArrow(fill, "place bigint, file string, n bigint").write.json(f"{path}/manifest")
+        return total
+    finally:
+        ranged.unpersist()
+
+
+def _write_part(path: str, number: int, values: np.ndarray) -> str:
+    """A part file, which appears under its name only when whole; a task that runs again replaces it."""
+    fs, folder = _file_system(path)
+    fs.create_dir(folder, recursive=True)
+    name = f"part-{number:08d}.bin"
+    with fs.open_output_stream(f"{folder}/_{name}.tmp", compression=None) as out:
+        out.write(values.astype("<i4").tobytes())
+    fs.move(f"{folder}/_{name}.tmp", f"{folder}/{name}")
+    return name
+
+
+def window_files(spark: SparkSession, path: str) -> list[str]:
+    """The part files of a sink in their order."""
+    schema = "place bigint, file string, n bigint"
+    return [f"{path}/{r['file']}" for r in spark.read.schema(schema).json(f"{path}/manifest").orderBy("place").collect()]
 
 
 def gradient(spark: SparkSession, n: int, top: int = 100) -> DataFrame:

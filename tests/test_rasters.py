@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,8 +118,10 @@ def test_files(spark, tmp_path):
     assert s.count() == 12 and as_dict(s.where("t = 1")) == want
     q = files.read_regions(spark, str(tmp_path / "q"), values=True)
     assert sorted(tuple(r)[1:] for r in q.collect()) == [(0, 1, 0, 2, -5, 5), (1, 1, 1, 1, 0, 9)]
-    n = files.write_window(query.values_window_dense(files.read_bin(spark, str(tmp_path / "a.bin"), 2, 3), 0, 1, 1, 2), str(tmp_path / "out"))
-    assert n == 4 and (tmp_path / "out").read_bytes()[:4] == (4).to_bytes(4, "little")
+    window = spark.createDataFrame([(0, 0, 1, 1, 2)], "query_id long, xini int, xend int, yini int, yend int")
+    n = files.write_windows(files.read_bin(spark, str(tmp_path / "a.bin"), 2, 3).selectExpr("0L query_id", "row", "col", "value"), window, str(tmp_path / "out"))
+    (part,) = files.window_files(spark, str(tmp_path / "out"))
+    assert n == 4 and np.fromfile(part, "<i4").tolist() == [4, 5, -7, 8]
 
 
 def test_workloads_stay_inside(spark):
