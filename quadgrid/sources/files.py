@@ -81,7 +81,7 @@ class _PieceReader(DataSourceReader):
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         values = _text_values(piece) if piece.text else _binary_values(piece)
-        pos = piece.first
+        pos = max(0, piece.first)
         for v in values:
             at = np.arange(pos, pos + len(v))
             columns = [np.full(len(v), piece.t, np.int32), (at // piece.n_cols).astype(np.int32), (at % piece.n_cols).astype(np.int32), v]
@@ -129,9 +129,9 @@ def _words(path: str, start: int, end: int, step: int = 1 << 20) -> Iterator[lis
 
 
 def _text_values(piece: Piece) -> Iterator[np.ndarray]:
-    """Words from number 12 on (six keys and their values come before) are cells, scaled and truncated."""
+    """The piece's words as cells, scaled and truncated; of the first piece without the header, whose
+    words have negative numbers."""
     skip = max(0, -piece.first)
-    piece.first = max(0, piece.first)
     for words in _words(piece.path, piece.start, piece.end):
         drop = min(skip, len(words))
         skip -= drop
