@@ -432,6 +432,36 @@ def test_quality(docs, rows, nothing):
     assert quality.quality_report(nothing).count() == 0
 
 
+def test_quality_texts_that_only_repetition_rejects(spark):
+    """A passage of 60 words standing twice in 1,000, and passages of 6 words that cover 45 %, pass the base rules."""
+    fresh = iter(f"w{i}" for i in range(10**6))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    long, short = take(60), [take(6) for _ in range(20)]
+    texts = {
+        1: take(400) + long + take(400) + long + take(80),
+        2: [w for s in short for w in s + take(7)] + [w for s in short for w in s + take(7)],
+        3: take(400) + long[:50] + take(400) + long[:50] + take(80),
+        4: take(1000),
+    }
+    got = {r["doc_id"]: r for r in quality.quality_report(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    assert [got[i]["base_failed"] for i in texts] == [False] * 4 and [got[i]["kept"] for i in texts] == [False, False, True, True]
+    assert got[1]["repeat_longest"] == 60 and got[2]["repeat_covered"] == 240 > quality.MAX_COVERED * got[2]["n_words"]
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 3, 50])
+def test_repeats_of_long_texts_by_a_walk(monkeypatch, alphabet):
+    """Above LONG the common prefixes come another way; both give the same lengths."""
+    rng = np.random.default_rng(alphabet)
+    words, doc = rng.integers(0, alphabet, 700), np.sort(rng.integers(0, 4, 700))
+    want = quality.longest_repeats(words, doc)
+    monkeypatch.setattr(quality, "LONG", 10)
+    assert quality.longest_repeats(words, doc).tolist() == want.tolist()
+    monkeypatch.setattr(quality, "PIECE", 4)
+    number: dict = {}
+    text = b"ab \x0b cde\tab\xc2\xa0 f  " * 5
+    assert quality.word_numbers(text, number).tolist() == [{w: i for i, w in enumerate(dict.fromkeys(text.split()))}[w] for w in text.split()]
+
+
 # --- lines -----------------------------------------------------------------------------------
 
 
