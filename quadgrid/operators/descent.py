@@ -52,10 +52,10 @@ def descend(queries: DataFrame, store: TileStore, strong: bool | None = None, fu
     out, columns = Descent(), _query_columns(store)
     size = store.tile * store.factor ** (store.levels - 1)
     frontier = q.touched_tiles(queries, size, store.keys).withColumnsRenamed({"tile_row": "node_row", "tile_col": "node_col"})
-    frontier = frontier.select(*columns, "node_row", "node_col")
+    frontier, most = frontier.select(*columns, "node_row", "node_col"), None
     for level in range(store.levels - 1, -1, -1):
         nodes = store.nodes.where(F.col("level") == level).drop("level")
-        hits = q.broadcast_if_small(frontier).join(nodes, [*store.keys, "node_row", "node_col"]).where(q.touches())
+        hits = q.broadcast_if_small(frontier, most).join(nodes, [*store.keys, "node_row", "node_col"]).where(q.touches())
         takes = q.inside() & q.all_match() & (q.full() if full_only else F.lit(True))
         # A check fails by a node without match only if the node has a cell in the window.
         none = ~q.some_may_match() & (q.sure_of_cells() if strong else F.lit(True))
@@ -72,7 +72,7 @@ def descend(queries: DataFrame, store: TileStore, strong: bool | None = None, fu
             open_ = open_.join(settled, "query_id", "left_anti")
         if level:
             size //= store.factor
-            frontier = _children(open_, store, size)
+            frontier, most = _children(open_, store, size), n.get("open", 0) * store.factor**2
     out.open = open_.select(*columns, F.col("node_row").alias("tile_row"), F.col("node_col").alias("tile_col"))
     return out
 

@@ -25,19 +25,19 @@ def _once(s, d, name: str, make):
 
 def stored(s, d, name: str) -> store.TileStore:
     """A raster's tile store."""
-    cells, tile, keys = {
-        "embeddings": (m.embedding_cells, tiles.TILE, ()),
-        "demand": (m.demand_cells, 8, ()),
-        "events": (m.event_cells, 8, ("t",)),
-        "small_events": (m.event_cells, 2, ("t",)),
+    cells, tile, keys, region = {
+        "embeddings": (m.embedding_cells, tiles.TILE, (), 8),
+        "demand": (m.demand_cells, 8, (), 2),
+        "events": (m.event_cells, 8, ("t",), 4),
+        "small_events": (m.event_cells, 2, ("t",), 16),
     }[name]
-    return _once(s, d, name, lambda path: store.save(tiles.build_tiles(cells(s, d), tile, keys), path, tile, keys, region=2))
+    return _once(s, d, name, lambda path: store.save(tiles.build_tiles(cells(s, d), tile, keys), path, tile, keys, region))
 
 
 def _deltas(s, d) -> delta_store.DeltaStore:
     """The events' series by a snapshot every four steps."""
     at = stored(s, d, "small_events").tiles
-    return _once(s, d, "deltas", lambda path: delta_store.save(at, series.snapshot_steps(at, 4), path, 2))
+    return _once(s, d, "deltas", lambda path: delta_store.save(at, series.snapshot_steps(at, 4), path, 2, 16))
 
 
 def _coded(s, d) -> coded.CodedBlocks:
