@@ -51,23 +51,34 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label)[1]
 
 
 def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
     """As `cut`, with the folder's name, for tables that `remove` ends."""
-    path = shared_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
     df.write.parquet(path)
-    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+    end_with_driver(spark, path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def end_with_driver(spark: SparkSession, path: str) -> None:
+    """Have an existing folder deleted when the driver's JVM ends: tables between steps don't pile up."""
+    fs, at = _hadoop_path(spark, path)
+    fs.deleteOnExit(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared one, through Spark's own file systems."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _hadoop_path(spark, path)
+    fs.delete(at, True)
+    fs.cancelDeleteOnExit(at)
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

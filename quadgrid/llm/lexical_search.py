@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, shared_dir, table
+from .common import arrow_map, cut, end_with_driver, shared_dir, table
 
 TOP = 10
 PAIRS = 200_000
@@ -285,6 +285,7 @@ def _block(docs: DataFrame, pairs: DataFrame) -> DataFrame | None:
     sliced = F.pmod(F.xxhash64("doc_id", "n"), F.lit(SLICE)) == 0
     path = shared_dir(spark, "term-vectors")
     restricted_vectors(docs, vocabulary).withColumn("first", sliced).write.partitionBy("first").parquet(path)
+    end_with_driver(spark, path)
     vectors = spark.read.schema("doc_id bigint, n bigint, terms array<int>, tfs array<bigint>, first boolean").parquet(path)
     n_docs, length = vectors.agg(F.count("*"), F.sum("n")).first()
     if not n_docs:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicWriter, arrow_map, chunks, cut, encode, make_dir, mix, open_map, shared_dir, table
+from .common import AtomicWriter, arrow_map, chunks, cut, encode, end_with_driver, make_dir, mix, open_map, shared_dir, table
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -205,6 +205,7 @@ def build_index(counted: DataFrame, min_docs: int = 1) -> LineIndex:
     spark = counted.sparkSession
     folder = shared_dir(spark, "index")
     make_dir(folder)
+    end_with_driver(spark, folder)
     counted = cut(counted, "counted-keys")
     n = max(1, -(-counted.count() // SHARD_ROWS))
 
