@@ -182,15 +182,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
             yield t.slice(lo, hi - lo), np.flatnonzero(is_probe[lo:hi]), np.flatnonzero(~is_probe[lo:hi])
 
 
-def components_near(members: DataFrame) -> DataFrame:
+def components_near(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """(x, component): the documents and the other components of which a bucket holds a member
-    whose sketch allows the threshold. members: (key, doc_id, component, sketch).
+    whose sketch allows the threshold. members: (key, doc_id, component).
 
     The members outside a bucket's largest component probe all its members.
     """
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     stats = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
     rows = members.join(cut(stats.where("parts > 1"), "bucket-parts").hint("merge"), "key")
+    rows = cut(rows.join(sketches.hint("merge"), "doc_id"), "open-rows")  # counted and dealt out from one table
     columns = ("key", "doc_id", "component", "sketch")
     dealt = _in_blocks(rows.select(*columns), rows.where("component <> major").select(*columns), "key", BLOCK)
 
@@ -332,8 +333,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     mixed = still_open(members)
     ends = mixed.where("component <> lo_component").select(*pair("lo", "doc_id"))
     go_on("ends", ends.unionByName(mixed.where("component <> hi_component").select(*pair("doc_id", "hi"))))
-    rest = still_open(members.where("n > 3")).select("key", "doc_id", "component").join(sketches.hint("merge"), "doc_id")
-    near = components_near(rest)
+    near = components_near(still_open(members.where("n > 3")).select("key", "doc_id", "component"), sketches)
     tell("across", near)
     if near.limit(1).count():
         found = links_into(near, label, sketches, sets, percent)
