@@ -22,7 +22,7 @@ class Extent:
     n_times: int = 1
 
 
-DEMAND, SUPPLY, EVENTS = Extent(64, 64), Extent(64, 48), Extent(16, 24, 30)
+DEMAND, SUPPLY, EVENTS = Extent(64, 64), Extent(64, 48), Extent(16, 24, 31)
 EMBEDDING_COLS = 64
 _ROOTS: set[str] = set()  # scratch folders of this driver
 
@@ -142,7 +142,7 @@ def demand_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by day, user group and hour: a series of 30 rasters of 16 x 24."""
+    """Events by day, user group and hour: a series of 31 rasters of 16 x 24."""
     ev = _table(spark, sf_dir, "events")
     keys = [int_(F.dayofmonth("ts") - 1).alias("t"), int_(F.col("user_id") % 16).alias("row"), int_(F.hour("ts")).alias("col")]
     return densify(ev.groupBy(*keys).agg(F.count("*").alias("value")), EVENTS, series=True)

@@ -195,7 +195,7 @@ _CTE = {
     "supply": """supply AS (SELECT cast(a.i AS INTEGER) AS "row", cast(b.i AS INTEGER) AS col, cast(coalesce(v, 0) AS BIGINT) AS value
         FROM range(64) a(i) CROSS JOIN range(48) b(i) LEFT JOIN (SELECT l_partkey % 64 AS x, l_suppkey % 48 AS y, count(*) AS v FROM lineitem GROUP BY 1, 2) ON x = a.i AND y = b.i)""",
     "ev": """ev AS (SELECT cast(t.i AS INTEGER) AS t, cast(a.i AS INTEGER) AS "row", cast(b.i AS INTEGER) AS col, cast(coalesce(v, 0) AS BIGINT) AS value
-        FROM range(30) t(i) CROSS JOIN range(16) a(i) CROSS JOIN range(24) b(i) LEFT JOIN (SELECT day(ts) - 1 AS z, user_id % 16 AS x, hour(ts) AS y, count(*) AS v FROM events GROUP BY 1, 2, 3) ON z = t.i AND x = a.i AND y = b.i)""",
+        FROM range(31) t(i) CROSS JOIN range(16) a(i) CROSS JOIN range(24) b(i) LEFT JOIN (SELECT day(ts) - 1 AS z, user_id % 16 AS x, hour(ts) AS y, count(*) AS v FROM events GROUP BY 1, 2, 3) ON z = t.i AND x = a.i AND y = b.i)""",
     "q": """q AS (SELECT i AS query_id, i * 7 % 64 AS xini, least(63, i * 7 % 64 + i % 9) AS xend, i * 13 % 64 AS yini, least(63, i * 13 % 64 + i % 5) AS yend,
         CASE WHEN i % 8 = 0 THEN 0 ELSE i * 17 % 400 END AS valini, CASE WHEN i % 8 = 0 THEN 100000 ELSE i * 17 % 400 + 20 + i * 5 % 200 END AS valend FROM range(64) r(i))""",
     "lq": """lq AS (SELECT i AS query_id, i * 5 % 24 AS xini, i * 5 % 24 + 8 + i % 5 * 7 AS xend, i * 11 % 20 AS yini, i * 11 % 20 + 6 + i % 7 * 6 AS yend,

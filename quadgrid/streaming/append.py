@@ -11,7 +11,7 @@ from ..operators.tiles import TILE, build_tiles, write_tiles
 def append_steps(spark: SparkSession, source: str, target: str, checkpoint: str, tile: int = TILE):
     """Start the stream; each micro-batch writes its time steps below a partition of its own, so a
     batch that runs again replaces what it wrote. A step that comes in two batches has tiles in
-    both, each with the cells of its batch."""
+    both, each with the cells of its batch; `tiles.merge_parts(..., order="batch")` makes one of them."""
 
     def write(batch: DataFrame, number: int) -> None:
         write_tiles(build_tiles(batch, tile, ["t"]), f"{target}/batch={number}", ["t"])
