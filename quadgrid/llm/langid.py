@@ -30,6 +30,8 @@ from .common import arrow_map, chunks, free_name, mix, table
 BITS = 15
 SIZE = 1 << BITS
 PER_LANGUAGE, EPOCHS = 800, 4
+#: A language's texts are ranked in so many parts, then what is left of them in fewer.
+PARTS = (64, 8, 1)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 UNKNOWN = "und"
 #: Texts whose best language has a lower score are rejected by `accepted`.
@@ -154,8 +156,10 @@ def sampled(learn: DataFrame, per_language: int) -> DataFrame:
     hashes, exactly. Only hashes are grouped and ranked; the texts of the chosen ones are read after that."""
     hashes = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
     distinct = learn.select("lang", *hashes).distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))
-    chosen = distinct.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    chosen = distinct
+    for parts in PARTS:  # the best of each part of a language, then of these: no task ranks a whole language
+        place = F.row_number().over(Window.partitionBy("lang", F.pmod("g", F.lit(parts))).orderBy("h", "g"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
     keys = ["lang", "h", "g"]
     return learn.select("lang", *hashes, "text").join(F.broadcast(chosen), keys).groupBy(*keys).agg(F.first("text").alias("text"))
 
