@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions.keys import color_ramp
-from ..operators import algebra, coded, delta_store, descent, query, series, stats, store, tiles, workload
+from ..operators import algebra, coded, delta_store, descent, measure, query, series, stats, store, tiles, workload
+from ..sources import files
 
 _W = (40, 160, 8, 40)  # the window of the single queries
 LEVELS = 4
@@ -46,6 +47,57 @@ def _coded(s, d) -> coded.CodedBlocks:
     return _once(s, d, "coded", lambda path: coded.save(coded.encode(blocks(), 2, ["t"]), path))
 
 
+def _sink(s, d):
+    """All windows of the batch, written as part files and read again."""
+    q, path = m.region_queries(s), m.scratch(s, "windows")
+    cells = query.unpacked(stored(s, d, "demand").on(q), ()).select("query_id", "row", "col", "value")
+    files.write_windows(cells, q, path, 500)
+    return files.read_windows(s, path)
+
+
+def _text_file(lines, path: str) -> str:
+    """The one text file of lines (order, value)."""
+    lines.coalesce(1).sortWithinPartitions("order").select("value").write.text(path)
+    return lines.sparkSession.read.text(path).inputFiles()[0]
+
+
+def _manifest(s, d):
+    """The series as a binary file for each step, named by a manifest and read as one scan."""
+    e, folder = m.EVENTS, m.scratch(s, "steps")
+    whole = s.range(e.n_times).select(F.col("id").alias("query_id"), F.lit(0).alias("xini"), F.lit(e.n_rows - 1).alias("xend"), F.lit(0).alias("yini"), F.lit(e.n_cols - 1).alias("yend"))
+    cells = m.event_cells(s, d).select(F.col("t").cast("bigint").alias("query_id"), "row", "col", "value")
+    files.write_windows(cells, whole, folder, e.n_rows * e.n_cols)
+    names = [x.rpartition("/")[2] for x in files.window_files(s, folder)]
+    lines = s.createDataFrame(list(enumerate([f"{e.n_rows} {e.n_cols} 2 2 0 0", *names])), "order int, value string")
+    return files.read_manifest(s, _text_file(lines, f"{folder}/list"), folder)
+
+
+def _ascii(s, d):
+    """A raster's quarters as an ASCII grid, read at scale 2: 25 times the raster."""
+    lines = m.demand_cells(s, d).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: (x["value"] / 4).cast("string")).alias("v"))
+    lines = lines.select(F.col("row").alias("order"), F.array_join("v", " ").alias("value"))
+    head = [f"ncols {m.DEMAND.n_cols}", f"nrows {m.DEMAND.n_rows}", "xllcorner 0", "yllcorner 0", "cellsize 1", "NODATA_value -9999"]
+    header = s.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "order int, value string")
+    return files.read_asc(s, _text_file(header.unionByName(lines), m.scratch(s, "grid")), 2)
+
+
+def _query_file(s, d):
+    """The batch's queries as a text file with their number in its first line."""
+    q = m.region_queries(s)
+    lines = q.select(F.col("query_id").cast("int").alias("order"), F.concat_ws(" ", "xini", "xend", "yini", "yend", "valini", "valend").alias("value"))
+    lines = lines.unionByName(q.agg(F.lit(-1).alias("order"), F.count("*").cast("string").alias("value")))
+    read = files.read_regions(s, _text_file(lines, m.scratch(s, "queries")), values=True, header=True)
+    return stored(s, d, "demand").cells_by_value(read.withColumn("query_id", F.col("query_id") - 1))
+
+
+def _history(s, d):
+    """A batch is timed and counted, remembered, and read from the history."""
+    path, q = m.scratch(s, "history"), m.region_queries(s)
+    found = stored(s, d, "demand")
+    measure.remember(s, path, measure.timed("search", found.cells_by_value(q), 64), measure.timed("count", found.count_by_value(q), 64))
+    return measure.history(s, path).select("name", "n_queries", "n_rows", "n_cells")
+
+
 def _tiles(cells, tile=tiles.TILE):
     return tiles.build_tiles(cells, tile)
 
@@ -182,6 +234,11 @@ QUERIES = {
     "color_ramp": lambda s, d: m.demand_cells(s, d).select("row", "col", *[c.alias(k) for k, c in color_ramp(F.col("value")).items()]),
     "verify_roundtrip": _roundtrip,
     "fixed_windows": _fixed,
+    "file_windows": _sink,
+    "file_manifest": _manifest,
+    "file_ascii": _ascii,
+    "file_queries": _query_file,
+    "run_history": _history,
 }
 
 # The derived rasters in DuckDB; each query's WITH takes the ones it needs.
@@ -249,6 +306,19 @@ def _algebra(op: str) -> str:
 _TIME = " AND t BETWEEN tini AND tend"
 _ZONE_STATE = "CASE WHEN top < valini OR low > valend THEN 'none' WHEN low >= valini AND top <= valend THEN 'all' ELSE 'open' END"
 ORACLES = {
+    "file_windows": _sql(
+        "demand q",
+        f"""SELECT cast(b + ("row" - xini) * (yend - yini + 1) + col - yini AS BIGINT) AS place, cast(value AS INTEGER) AS value FROM
+        (SELECT *, coalesce(sum((xend - xini + 1) * (yend - yini + 1)) OVER (ORDER BY query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM q) JOIN demand ON {_MATCH}""",
+    ),
+    "file_manifest": _sql("ev", 'SELECT t, "row", col, cast(value AS INTEGER) AS value FROM ev'),
+    "file_ascii": _sql("demand", 'SELECT "row", col, cast(value * 25 AS INTEGER) AS value FROM demand'),
+    "file_queries": _sql("demand q", f'SELECT query_id, "row", col FROM q JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend'),
+    "run_history": _sql(
+        "demand q",
+        f"""SELECT 'search' AS name, cast(64 AS BIGINT) AS n_queries, count(*) AS n_rows, count(*) AS n_cells FROM q JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend
+        UNION ALL SELECT 'count', 64, 64, count(*) FROM q JOIN demand ON {_MATCH} AND value BETWEEN valini AND valend""",
+    ),
     "ts_delta_get_cell": _sql(
         "ev",
         'SELECT i AS query_id, cast(i * 7 % 33 AS INTEGER) AS t, cast(i * 5 % 18 AS INTEGER) AS "row", cast(i * 11 % 26 AS INTEGER) AS col, coalesce(value, 0) AS value FROM range(200) r(i) LEFT JOIN ev ON t = i * 7 % 33 AND "row" = i * 5 % 18 AND col = i * 11 % 26',

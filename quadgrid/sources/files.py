@@ -271,7 +271,7 @@ def write_windows(cells: DataFrame, queries: DataFrame, path: str, chunk: int =
             bases.append((r["part"], total))
             total += r["n"]
         if not total:
-            spark.createDataFrame([], "place int, file string, n bigint").coalesce(1).write.json(f"{path}/manifest")
+            spark.createDataFrame([], "place bigint, file string, n bigint").coalesce(1).write.json(f"{path}/manifest")
             return 0
         base = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
         within = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -290,7 +290,7 @@ def write_windows(cells: DataFrame, queries: DataFrame, path: str, chunk: int =
             def flush() -> pa.RecordBatch:
                 n = min(chunk, total - now * chunk)
                 file = _write_part(path, now, held[:n])
-                return pa.RecordBatch.from_pydict({"place": pa.array([now], pa.int64()), "file": pa.array([file]), "n": pa.array([n], pa.int64())})
+                return pa.RecordBatch.from_pydict({"place": pa.array([now * chunk], pa.int64()), "file": pa.array([file]), "n": pa.array([n], pa.int64())})
 
             for batch in batches:
                 chunks, places, values = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
@@ -324,10 +324,26 @@ def _write_part(path: str, number: int, values: np.ndarray) -> str:
     return name
 
 
+def _parts(spark: SparkSession, path: str) -> list:
+    """The manifest's rows (place of the first cell, file, n) in order: one for each part file."""
+    return spark.read.schema("place bigint, file string, n bigint").json(f"{path}/manifest").orderBy("place").collect()
+
+
 def window_files(spark: SparkSession, path: str) -> list[str]:
     """The part files of a sink in their order."""
-    schema = "place bigint, file string, n bigint"
-    return [f"{path}/{r['file']}" for r in spark.read.schema(schema).json(f"{path}/manifest").orderBy("place").collect()]
+    return [f"{path}/{r['file']}" for r in _parts(spark, path)]
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value) of all that a sink wrote; a part of another size than the manifest says is an error."""
+    rows, wide = _parts(spark, path), 1 << 30
+    files = [f"{path}/{r['file']}" for r in rows]
+    pieces = []
+    for r, file, size in zip(rows, files, _sizes(files)):
+        if size != 4 * r["n"]:
+            raise ValueError(f"{file} has {size} bytes instead of {4 * r['n']}")
+        pieces.append({"path": file, "t": 0, "start": 0, "end": size, "first": r["place"], "n_rows": 0, "n_cols": wide, "scale": 0, "text": False})
+    return _scan(spark, pieces).select((F.col("row").cast("bigint") * wide + F.col("col")).alias("place"), "value")
 
 
 def gradient(spark: SparkSession, n: int, top: int = 100) -> DataFrame:
