@@ -293,7 +293,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tell: Callable[[str
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     marked = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("rep <> doc_id").select("doc_id", "d1", "d2", "rep").distinct(), "copies")
     # Only the copy's row goes; other sets of its doc_id stay, as they may stand for classes too.
-    nodes = full.join(marked.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
+    # A table of its own: its wide rows are moved once, and read for the buckets and the sketches.
+    nodes = cut(full.join(marked.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti").select("doc_id", "keys", "sketch"), "nodes")
     bands = nodes.select("doc_id", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     # A table of its own, so that a join's hot key can be split (an aggregate's partition can't be).
