@@ -19,13 +19,13 @@ def key_index(ids: DataFrame) -> LineIndex:
     return index_keys(ids.select(F.col(name).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
 
 
-def rows_by_id(docs: DataFrame, ids: DataFrame, inside: bool, key: Column | None = None) -> DataFrame:
-    """The rows of docs whose key (by default doc_id) is in `ids` (one column), or isn't; a null is in no set.
+def rows_by_id(docs: DataFrame, ids: DataFrame | LineIndex, inside: bool, key: Column | None = None) -> DataFrame:
+    """The rows of docs whose key (by default doc_id) is in `ids` (one column, or its key_index), or isn't; a null is in no set.
 
     Each task probes the ids' index in the shared folder; neither side is shuffled to the other,
     whatever their sizes.
     """
-    index, n = key_index(ids), len(docs.columns)
+    index, n = ids if isinstance(ids, LineIndex) else key_index(ids), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated_windows
 from .common import arrow_map, chunks, cut, encode, mix, table
+from .id_filter import key_index, rows_by_id
 from .line_dedup import LineIndex, build_index, index_keys
 from .near_dedup import groups
 
@@ -312,26 +314,36 @@ def merge_spans(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): the covered byte ranges and what remains."""
+    """(doc_id, n_bytes, n_removed, spans, kept): the covered byte ranges and what remains.
+
+    Only texts that have spans are joined to them; tasks find these, and the others, by an index
+    of the rows' keys, and the others stay where they are.
+    """
     spans = repeated_spans(docs, width, group)
-    joined = _rows(docs).join(spans.hint("merge"), ["doc_id", "rk"], "left").select("doc_id", "text", "spans")
+    rows, covered = _rows(docs), key_index(spans.select("rk").distinct())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, text, spans), or (doc_id, text, rk) of which those with spans are passed over."""
         for batch in batches:
+            whole = batch.schema.names[2] == "rk"
+            if whole:
+                batch = batch.filter(pc.invert(covered.holds(batch.column(2))))
             for piece in chunks(batch):
-                rows = []
+                out = []
                 for doc_id, text, found in zip(*(c.to_pylist() for c in piece.columns)):
                     raw = encode(text)
-                    merged = merge_spans(found or [], len(raw))
+                    merged = [] if whole else merge_spans(found or [], len(raw))
                     edges = [0, *(x for s in merged for x in s), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    rows.append((None if doc_id == NO_ID else doc_id, len(raw), len(raw) - len(kept), [x for s in merged for x in s], kept))
-                ids, size, removed, places, kept = zip(*rows)
+                    out.append((None if doc_id == NO_ID else doc_id, len(raw), len(raw) - len(kept), [x for s in merged for x in s], kept))
+                ids, size, removed, places, kept = zip(*out)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(places, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())}
                 )
 
-    return arrow_map(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<bigint>, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<bigint>, kept binary"
+    joined = rows_by_id(rows, covered, inside=True, key=F.col("rk")).join(spans.hint("merge"), ["doc_id", "rk"], "left")
+    return arrow_map(rows, remains, schema).unionByName(arrow_map(joined.select("doc_id", "text", "spans"), remains, schema))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
