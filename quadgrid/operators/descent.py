@@ -24,7 +24,7 @@ from .store import TileStore
 
 @dataclass
 class Descent:
-    """What a descent found, and for each level how many pairs it looked at, dropped, took and left open."""
+    """What a descent found, and for each level that it reached how many pairs it looked at, dropped, took and left open."""
 
     taken: list[DataFrame] = field(default_factory=list)  # query rows with the box of a node that matches as a whole
     failed: list[DataFrame] = field(default_factory=list)  # (query_id) with a node in the window that has no match
@@ -62,7 +62,8 @@ def descend(queries: DataFrame, store: TileStore, strong: bool | None = None, fu
         state = F.when(none, "none").when(takes, "all").otherwise("open")
         hits = cut(hits.select(*columns, "node_row", "node_col", "base_row", "base_col", "h", "w", "n_cells", state.alias("state")), f"level-{level}")
         n = {r["state"]: r["count"] for r in hits.groupBy("state").count().collect()}  # three rows
-        out.levels.append((level, sum(n.values()), n.get("none", 0), n.get("all", 0), n.get("open", 0)))
+        if n:
+            out.levels.append((level, sum(n.values()), n.get("none", 0), n.get("all", 0), n.get("open", 0)))
         taken, open_ = hits.where("state = 'all'"), hits.where("state = 'open'")
         if strong is None:
             out.taken.append(taken)
@@ -70,6 +71,8 @@ def descend(queries: DataFrame, store: TileStore, strong: bool | None = None, fu
             settled = hits.where("state = 'none'" if strong else "state = 'all'").select("query_id").distinct()
             (out.failed if strong else out.taken).append(settled)
             open_ = open_.join(settled, "query_id", "left_anti")
+        if not n.get("open"):  # all pairs are settled: no level below has any
+            break
         if level:
             size //= store.factor
             frontier, most = _children(open_, store, size), n.get("open", 0) * store.factor**2
@@ -131,6 +134,6 @@ def check(queries: DataFrame, store: TileStore, strong: bool) -> Check:
 
 
 def trace(queries: DataFrame, store: TileStore) -> DataFrame:
-    """(level, n_pairs, n_none, n_all, n_open) of a search's descent."""
+    """(level, n_pairs, n_none, n_all, n_open) of a search's descent; a level without pairs has no row."""
     rows = descend(queries, store).levels
     return queries.sparkSession.createDataFrame(rows, "level int, n_pairs bigint, n_none bigint, n_all bigint, n_open bigint")

@@ -101,6 +101,21 @@ def test_descent_opens_fewer_tiles_than_windows_touch(spark, tmp_path):
     assert dict(map(tuple, descent.check(q, s, True).results.collect())) == {0: False, 1: False, 2: True}
 
 
+def test_descent_ends_where_all_pairs_are_settled(spark, tmp_path):
+    """Levels that no pair reaches have no row in the trace."""
+    cells = {(i, j): 1000 + i for i in range(32) for j in range(32)}
+    s = store.save(tiles.build_tiles(frame(spark, cells), 4), str(tmp_path / "s"), 4, levels=4)
+    none = spark.createDataFrame([(0, 0, 20, 0, 20, None, None, 0, 99), (1, 3, 9, 0, 31, None, None, 2000, 3000)], m.QUERIES)
+    assert list(map(tuple, descent.trace(none, s).collect())) == [(3, 2, 2, 0, 0)]
+    whole = spark.createDataFrame([(0, 0, 31, 0, 31, None, None, 0, 9999), (1, 0, 15, 0, 15, None, None, 1000, 1015)], m.QUERIES)
+    assert sorted(map(tuple, descent.trace(whole, s).collect())) == [(2, 1, 0, 1, 0), (3, 2, 0, 1, 1)]
+    assert descent.trace(none.where("query_id > 1"), s).count() == 0
+    for q, n, strong in ((none, {0: 0, 1: 0}, False), (whole, {0: 1024, 1: 256}, True)):
+        assert dict(map(tuple, descent.count_by_value(q, s).collect())) == n and descent.cells_by_value(q, s).count() == sum(n.values())
+        for kind in (True, False):
+            assert dict(map(tuple, descent.check(q, s, kind).results.collect())) == {0: strong, 1: strong}
+
+
 def _plan(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
