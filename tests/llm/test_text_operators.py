@@ -81,6 +81,27 @@ def test_substring_dedup(spark, width, group):
     assert got == sorted((str(d), *want[i]) for i, (d, _) in enumerate(rows))
 
 
+def test_substring_ranges_are_a_row_a_segment(spark, monkeypatch):
+    """However many groups find ranges of a segment, joins to its ranges give no more rows than there are segments."""
+    rng, found, plain = random.Random(11), [], substring_dedup.cut
+
+    def kept(df, label):
+        out = plain(df, label)
+        if label in ("ranges", "part-ranges"):
+            found.append((label, out))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "cut", kept)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, left, right = text(70), [text(50) for _ in range(5)], [text(50) for _ in range(5)]
+    rows = [(5 * i + j, text(90) + left[i] + passage + right[j] + text(90)) for i in range(5) for j in range(5)]
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 80, 3).collect()}
+    assert got == {d: (n, kept_) for d, (_, n, _, kept_) in covered_bytes(rows, 80).items()} and all(n >= 170 for n, _ in got.values())
+    assert {label for label, _ in found} == {"ranges", "part-ranges"}
+    for _, ranges in found:
+        assert ranges.count() == ranges.select("h", "s1", "s2").distinct().count()
+
+
 def test_substring_dedup_of_nothing(nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
